@@ -85,54 +85,48 @@ def has_non_ascii(col: Column) -> Column:
     return F.octet_length(col) > F.length(col)
 
 
-def matches_with_gaps(col: Column, pattern: str) -> tuple[Column, Column]:
-    """All matches, and the lengths of the pieces of text around them."""
-    found = F.regexp_extract_all(col, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(col, pattern, -1), lambda piece: F.length(piece))
-    return found, gaps
+def literal(value: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def located(found: Column, gaps: Column) -> Column:
-    """Turn matches and gap lengths into ``array<struct<matched, offset, length>>``.
+def found_and_gaps(text: str, pattern: str) -> str:
+    """SQL: all matches of a pattern, and the lengths of the pieces of text around them."""
+    regex = literal(pattern)
+    return (
+        f"'found', regexp_extract_all({text}, {regex}, 0), "
+        f"'gaps', transform(split({text}, {regex}, -1), piece -> length(piece))"
+    )
+
+
+def located(found: str, gaps: str) -> str:
+    """SQL: matches and gap lengths to ``array<struct<matched, offset, length>>``.
 
-    Offsets are prefix sums. They are taken per block of 64 and then over the
-    blocks, so a text with very many matches stays far from quadratic.
+    Offsets are prefix sums. They are taken per block and then over the blocks,
+    so a text with very many matches stays far from quadratic. (SQL text and not
+    column calls: a rule set holds thousands of nodes, and one string is one
+    round trip to the JVM.)
     """
-    steps = F.zip_with(
-        F.transform(found, lambda m: F.length(m)), gaps,
-        lambda size, gap: F.struct(F.coalesce(gap, F.lit(0)).alias("gap"), F.coalesce(size, F.lit(0)).alias("size")),
+    block = _PREFIX_BLOCK
+    step_sum = "(acc, x) -> acc + x.gap + x.size"
+    place = f"""transform({found}, (m, i) -> named_struct(
+        'matched', m,
+        'offset', get(bases, cast(floor(i / {block}) as int)) + get(steps, i).gap
+            + aggregate(slice(steps, cast(floor(i / {block}) as int) * {block} + 1, i % {block}), 0, {step_sum}),
+        'length', length(m)))"""
+    bases = "transform(sums, (s, b) -> aggregate(slice(sums, 1, b), 0, (acc, x) -> acc + x))"
+    sums = f"""transform(sequence(0, cast(floor((size(steps) - 1) / {block}) as int)),
+        b -> aggregate(slice(steps, b * {block} + 1, {block}), 0, {step_sum}))"""
+    steps = f"""zip_with(transform({found}, f -> length(f)), {gaps},
+        (f, g) -> named_struct('gap', coalesce(g, 0), 'size', coalesce(f, 0)))"""
+    return (
+        f"get(transform(array({steps}), steps -> get(transform(array({sums}), sums -> "
+        f"get(transform(array({bases}), bases -> {place}), 0)), 0)), 0)"
     )
 
-    def with_steps(s: Column) -> Column:
-        block_sums = F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(s) - 1) / _PREFIX_BLOCK).cast("int")),
-            lambda b: F.aggregate(
-                F.slice(s, b * _PREFIX_BLOCK + 1, F.lit(_PREFIX_BLOCK)), F.lit(0),
-                lambda acc, x: acc + x["gap"] + x["size"],
-            ),
-        )
-        return let(F.struct(s.alias("steps"), block_sums.alias("sums")), with_sums)
-
-    def with_sums(c: Column) -> Column:
-        bases = F.transform(c["sums"], lambda _, b: total(F.slice(c["sums"], F.lit(1), b)))
-        return let(F.struct(c["steps"].alias("steps"), bases.alias("bases")), with_bases)
-
-    def with_bases(c: Column) -> Column:
-        def place(m: Column, i: Column) -> Column:
-            block = F.floor(i / _PREFIX_BLOCK).cast("int")
-            before = F.aggregate(
-                F.slice(c["steps"], block * _PREFIX_BLOCK + 1, i - block * _PREFIX_BLOCK), F.lit(0),
-                lambda acc, x: acc + x["gap"] + x["size"],
-            )
-            offset = F.get(c["bases"], block) + before + F.get(c["steps"], i)["gap"]
-            return F.struct(m.alias("matched"), offset.alias("offset"), F.length(m).alias("length"))
-
-        return F.transform(found, place)
-
-    return let(steps, with_steps)
-
-
-def spans(col: Column, pattern: str) -> Column:
-    """Every match of ``pattern`` with its code-point offset."""
-    found, gaps = matches_with_gaps(col, pattern)
-    return let(F.struct(found.alias("found"), gaps.alias("gaps")), lambda h: located(h["found"], h["gaps"]))
+
+def spans(text: str, pattern: str) -> Column:
+    """Every match of ``pattern`` in column ``text`` with its code-point offset."""
+    return F.expr(
+        f"get(transform(array(named_struct({found_and_gaps(text, pattern)})), h -> {located('h.found', 'h.gaps')}), 0)"
+    )

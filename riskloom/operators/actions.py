@@ -63,10 +63,11 @@ def sanitized(content: Column, action: Column, detections: Column) -> Column:
     )
 
 
-def sanitized_events(events: DataFrame, results: DataFrame, key: str = "id") -> DataFrame:
+def sanitized_events(events: DataFrame, results: DataFrame) -> DataFrame:
     """Events with dangerous fields replaced. Only flagged events meet a replacement."""
+    keys = ["calendar_id", "id"]
     fixes = results.where(F.col("action") != "pass").select(
-        key,
+        *keys,
         *(
             F.get(
                 F.transform(
@@ -77,9 +78,10 @@ def sanitized_events(events: DataFrame, results: DataFrame, key: str = "id") ->
             for name in SANITIZED_FIELDS
         ),
     ).where(" or ".join(f"__{name} is not null" for name in SANITIZED_FIELDS))
-    return events.join(fixes, key, "left").withColumns(
+    keyed = events.withColumn("calendar_id", F.coalesce("calendarId", F.lit("")))
+    return keyed.join(fixes, keys, "left").withColumns(
         {name: F.coalesce(f"__{name}", name) for name in SANITIZED_FIELDS}
-    ).drop(*(f"__{name}" for name in SANITIZED_FIELDS))
+    ).drop("calendar_id", *(f"__{name}" for name in SANITIZED_FIELDS))
 
 
 def all_detections(fields: Column) -> Column:
@@ -156,12 +158,12 @@ def quarantine_key(event_id: Column) -> Column:
 def quarantine_rows(events: DataFrame, results: DataFrame, now: datetime, ttl_days: int = 7) -> DataFrame:
     """Entries for blocked and redacted events, with the original field values."""
     kept = results.where(F.col("action").isin("block", "redact"))
-    originals = events.select("id", *(F.col(name).alias(f"__{name}") for name in SANITIZED_FIELDS))
+    originals = events.select(F.coalesce("calendarId", F.lit("")).alias("calendar_id"), "id", *(F.col(name).alias(f"__{name}") for name in SANITIZED_FIELDS))
     original_fields = F.map_filter(
         F.create_map(*(c for name in SANITIZED_FIELDS for c in (F.lit(name), F.col(f"__{name}")))),
         lambda _, v: F.coalesce(v, F.lit("")) != "",
     )
-    return kept.join(originals, "id").select(
+    return kept.join(originals, ["calendar_id", "id"]).select(
         quarantine_key(F.col("id")).alias("entry_key"), F.col("id").alias("event_id"), "calendar_id",
         "organizer_email", "risk_score", "risk_level", "action", original_fields.alias("original_fields"),
         "detections", F.lit(now).cast("timestamp").alias("quarantined_at"),

@@ -20,8 +20,6 @@ from riskloom.functions.regexes import for_spark
 from riskloom.operators import patterns as P
 from riskloom.schemas import DETECTION, ddl
 
-_EMPTY = F.array
-
 
 @dataclass(frozen=True)
 class Prepared:
@@ -69,51 +67,35 @@ def detection(tier, rule_id, rule_name, severity, matched, offset, length, confi
     )
 
 
-def _anchored(low: Column, anchors: tuple[tuple[str, ...], ...]) -> Column:
-    groups = (reduce(lambda a, b: a | b, (F.contains(low, F.lit(lit)) for lit in group)) for group in anchors)
-    return reduce(lambda a, b: a & b, groups)
+def _anchored(low: str, anchors: tuple[tuple[str, ...], ...]) -> str:
+    groups = (" or ".join(f"contains({low}, {tx.literal(lit)})" for lit in group) for group in anchors)
+    return " and ".join(f"({group})" for group in groups)
 
 
-def pattern_rule(rule: P.PatternRule, p: Prepared) -> Column:
+def pattern_rule(rule: P.PatternRule) -> Column:
     """One detection per match, in pattern order and then match order.
 
     Each pattern only yields its matches and gap lengths; one shared expression
     turns the hits of all patterns into detections with offsets.
     """
-    text, low = (p.bare, p.bare_low) if rule.outside_fences else (p.text, p.low)
-    facts = F.array(*(
-        F.struct(
-            F.lit(pat.name).alias("name"), F.lit(pat.severity).alias("severity"),
-            F.lit(pat.confidence).alias("confidence"), F.lit(pat.content_chars or 2**31 - 1).alias("chars"),
-        )
+    text, low = ("__bare", "__bare_low") if rule.outside_fences else ("__text", "__low")
+    facts = ", ".join(
+        f"named_struct('name', {tx.literal(pat.name)}, 'severity', {pat.severity}D, "
+        f"'confidence', {pat.confidence}D, 'chars', {pat.content_chars or 2**31 - 1})"
         for pat in rule.patterns
-    ))
-
-    def hit(k: int, pat: P.Pattern) -> Column:
-        found, gaps = tx.matches_with_gaps(text, for_spark(pat.regex, pat.ignore_case))
-        return F.when(
-            _anchored(low, pat.anchors), F.struct(F.lit(k).alias("k"), found.alias("found"), gaps.alias("gaps"))
-        )
-
-    hits = F.filter(
-        F.array(*(hit(k, pat) for k, pat in enumerate(rule.patterns))),
-        lambda h: h.isNotNull() & (F.size(h["found"]) > 0),
     )
-
-    def expand(h: Column) -> Column:
-        fact = F.get(facts, h["k"])
-        return F.transform(
-            tx.located(h["found"], h["gaps"]),
-            lambda m: detection(
-                rule.tier, rule.rule_id, fact["name"], fact["severity"],
-                m["matched"].substr(F.lit(1), fact["chars"]), m["offset"], m["length"], fact["confidence"],
-            ),
-        )
-
-    any_anchor = reduce(lambda a, b: a | b, (_anchored(low, pat.anchors) for pat in rule.patterns))
-    if len(rule.patterns) == 1:
-        return F.when(any_anchor, F.flatten(F.transform(hits, expand))).otherwise(no_detections())
-    return F.flatten(F.transform(hits, expand))
+    hits = ", ".join(
+        f"if({_anchored(low, pat.anchors)}, named_struct('k', {k}, "
+        f"{tx.found_and_gaps(text, for_spark(pat.regex, pat.ignore_case))}), null)"
+        for k, pat in enumerate(rule.patterns)
+    )
+    return F.expr(f"""flatten(transform(
+        filter(array({hits}), h -> h is not null and size(h.found) > 0),
+        h -> transform({tx.located("h.found", "h.gaps")}, m -> named_struct(
+            'tier', '{rule.tier}', 'rule_id', '{rule.rule_id}', 'rule_name', get(array({facts}), h.k).name,
+            'severity', get(array({facts}), h.k).severity,
+            'matched', substr(m.matched, 1, get(array({facts}), h.k).chars), 'offset', m.offset, 'length', m.length,
+            'confidence', get(array({facts}), h.k).confidence, 'metadata', cast(null as map<string, string>)))))""")
 
 
 def _single(condition: Column, found: Column) -> Column:
@@ -133,7 +115,7 @@ def zero_width(p: Prepared) -> Column:
 
 def base64_payloads(p: Prepared) -> Column:
     decoded = F.transform(
-        tx.spans(p.text, tx.BASE64_RUN),
+        tx.spans("__text", tx.BASE64_RUN),
         lambda m: F.struct(m.alias("m"), tx.base64_text(m["matched"]).alias("plain")),
     )
     suspicious = for_spark("|".join(f"(?:{rx})" for rx in P.SUSPICIOUS_DECODED), ignore_case=True)
@@ -149,7 +131,7 @@ def base64_payloads(p: Prepared) -> Column:
 
 def markdown_links(p: Prepared) -> Column:
     links = F.transform(
-        tx.spans(p.text, P.MARKDOWN_LINK),
+        tx.spans("__text", P.MARKDOWN_LINK),
         lambda m: F.struct(m.alias("m"), F.regexp_extract(m["matched"], P.MARKDOWN_LINK, 2).alias("url")),
     )
     return F.when(F.contains(p.text, F.lit("](")), F.transform(
@@ -251,7 +233,7 @@ Rule = Callable[[Prepared], Column]
 
 
 def _from(rule: P.PatternRule) -> Rule:
-    return lambda p: pattern_rule(rule, p)
+    return lambda _: pattern_rule(rule)
 
 
 def tier_rules(config: ScanConfig) -> dict[str, dict[str, Rule]]:

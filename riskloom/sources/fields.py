@@ -42,7 +42,8 @@ def explode_fields(events: DataFrame, owner_domain: str | None = None, keep_empt
 
     With ``keep_empty`` an event without such a field keeps one row of nulls.
     """
-    unfold = F.posexplode_outer if keep_empty else F.posexplode
     context = ["calendar_id", "id", "organizer_email", "organizer_domain", "is_external"]
     opened = with_organizer(events, owner_domain).withColumn("calendar_id", F.coalesce("calendarId", F.lit("")))
-    return opened.select(*context, unfold(field_array()).alias("field_no", "f")).select(*context, "field_no", "f.*")
+    fields = opened.select(*context, F.posexplode_outer(field_array()).alias("field_no", "f"))
+    fields = fields.select(*context, "field_no", "f.*")
+    return fields if keep_empty else fields.where("field_no is not null")
