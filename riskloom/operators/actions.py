@@ -66,18 +66,11 @@ def sanitized(content: Column, action: Column, detections: Column) -> Column:
 def sanitized_events(events: DataFrame, results: DataFrame) -> DataFrame:
     """Events with dangerous fields replaced. Only flagged events meet a replacement."""
     keys = ["calendar_id", "id"]
-    fixes = results.where(F.col("action") != "pass").select(
-        *keys,
-        *(
-            F.get(
-                F.transform(
-                    F.filter("fields", lambda f, n=name: (f["field_name"] == n) & f["sanitized"].isNotNull()),
-                    lambda f: f["sanitized"],
-                ), F.lit(0),
-            ).alias(f"__{name}")
-            for name in SANITIZED_FIELDS
-        ),
-    ).where(" or ".join(f"__{name} is not null" for name in SANITIZED_FIELDS))
+    def fix(name: str) -> Column:
+        mine = F.filter("fields", lambda f: (f["field_name"] == name) & f["sanitized"].isNotNull())
+        return F.get(F.transform(mine, lambda f: f["sanitized"]), F.lit(0)).alias(f"__{name}")
+
+    fixes = results.where(F.col("action").isin("redact", "block")).select(*keys, *map(fix, SANITIZED_FIELDS))
     keyed = events.withColumn("calendar_id", F.coalesce("calendarId", F.lit("")))
     return keyed.join(fixes, keys, "left").withColumns(
         {name: F.coalesce(f"__{name}", name) for name in SANITIZED_FIELDS}

@@ -32,13 +32,21 @@ def detect(
         for tier, by_id in rules.tier_rules(config).items()
     }
     # Weighting never changes order or count, so capping first gives the same list.
-    df = df.withColumns({"structural": tiers[patterns.STRUCTURAL], "__contextual": tiers[patterns.CONTEXTUAL]})
-    df = df.withColumn(
-        "contextual", rules.weighted(F.col("__contextual"), F.col("field_type"), F.col("is_external"))
-    )
+    tiers[patterns.CONTEXTUAL] = rules.weighted(tiers[patterns.CONTEXTUAL], F.col("field_type"), F.col("is_external"))
     for name, tier in (extra_tiers or {}).items():
-        df = df.withColumn(name, rules.capped(tier(p), config.max_detections))
-    return df.drop("__contextual", *rules.PREPARED_NAMES)
+        tiers[name] = rules.capped(tier(p), config.max_detections)
+    return evaluated(df, tiers).drop(*rules.PREPARED_NAMES)
+
+
+def evaluated(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add costly columns as the one row of a generator.
+
+    The optimizer moves filters below a projection by copying its expressions,
+    and a filter on the action would copy the whole scan many times over. It
+    does not move filters on generated columns, so each value is computed once.
+    """
+    row = F.struct(*(value.alias(name) for name, value in columns.items()))
+    return df.select("*", F.inline_outer(F.array(row)))
 
 
 def score_fields(
@@ -54,7 +62,7 @@ def score_fields(
     df = detected.withColumns(
         {f"__{name}_score": scoring.tier_score_of(F.col(name)) for name in columns.values()}
     )
-    df = df.withColumns({
+    df = evaluated(df, {
         "risk_score": scoring.composite(tier_scores, config),
         "detections": rules.capped(F.concat(*(F.col(n) for n in columns.values())), config.max_detections),
     })
