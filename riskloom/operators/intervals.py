@@ -31,16 +31,17 @@ def _cell(micros: Column, level: int) -> Column:
 def _range_cells(start: Column, end: Column) -> Column:
     first, last = _micros(start), _micros(end) - 1
     duration = _micros(end) - _micros(start)
-    expr = F
-    for level, width in enumerate(CELL_SECONDS):
-        cells = F.transform(
+    def covered(level: int) -> Column:
+        return F.transform(
             F.sequence(_cell(first, level), _cell(last, level)),
-            lambda c, lv=level: F.struct(F.lit(lv).alias("level"), c.alias("cell")),
+            lambda c: F.struct(F.lit(level).alias("level"), c.alias("cell")),
         )
-        if level < len(CELL_SECONDS) - 1:
-            expr = expr.when(duration <= width * _CELLS_PER_INTERVAL * _SECOND, cells)
-        else:
-            expr = expr.otherwise(cells)
+
+    *narrow, widest = range(len(CELL_SECONDS))
+    expr = F
+    for level in narrow:
+        expr = expr.when(duration <= CELL_SECONDS[level] * _CELLS_PER_INTERVAL * _SECOND, covered(level))
+    expr = expr.otherwise(covered(widest))
     return F.when(duration > 0, expr)
 
 

@@ -64,10 +64,10 @@ def match_fingerprints(
     return df.withColumn("hit", F.coalesce("__by_content", "__by_shape")).drop("__by_content", "__by_shape")
 
 
-def with_threat_detections(df: DataFrame, threats: DataFrame, as_of: datetime | None, salt: int = 8) -> DataFrame:
+def with_threat_detections(
+    df: DataFrame, threats: DataFrame, as_of: datetime | None, spread: Column, salt: int = 8
+) -> DataFrame:
     """Add the ``threat_intel`` detection array from the two hashes of each row."""
-    keys = [c for c in ("calendar_id", "id", "field_no") if c in df.columns]
-    spread = F.struct(*keys) if keys else F.struct("original_length", "structural", "content_hash")
     matched = match_fingerprints(df, threats, as_of, salt, spread)
     hit = F.col("hit")
     bonus = F.least(hit["report_count"] * F.lit(P.REPORT_BONUS), F.lit(P.REPORT_BONUS_MAX))

@@ -90,7 +90,9 @@ def scan_fields(
         local = F.size("structural") + F.size("contextual") > 0
         if not extra_tiers and _lookup_alone_is_harmless(config):
             df = df.withColumn(content, F.when(local, F.col(content)))
-        df = lookup.with_threat_detections(df, threats, as_of, salt)
+        identity = [name for name, kind in fields.dtypes if name != content and "map<" not in kind and kind != "variant"]
+        spread = F.struct(*(identity or ["original_length"]))
+        df = lookup.with_threat_detections(df, threats, as_of, spread, salt)
     return score_fields(df, config, content, tuple(extra_tiers or ()))
 
 
