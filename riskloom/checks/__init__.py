@@ -26,4 +26,4 @@ def check(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from riskloom.checks import calendar, changes, rules, scan, scalars, sources, threats  # noqa: F401
+    from riskloom.checks import calendar, changes, rules, scan, scalars, sources, streams, threats  # noqa: F401

@@ -72,8 +72,11 @@ V_TEXT = f"""v_src AS MATERIALIZED (
 
 def v_events(spark: SparkSession, sf: str) -> DataFrame:
     """Scan-input events from the documents: every field kind, some of them dirty."""
+    return events_of(read_table(spark, sf, "documents", spread_by="doc_id"))
+
+
+def events_of(docs: DataFrame) -> DataFrame:
     d = F.col("doc_id")
-    docs = read_table(spark, sf, "documents", spread_by="doc_id")
     domain = F.when(d % 3 == 0, "outside.example").otherwise(OWNER_DOMAIN)
     return docs.select(
         d.cast("string").alias("id"), F.col("source").alias("calendarId"),
@@ -236,8 +239,11 @@ RULE_IDS = [
 
 def v_reports(spark: SparkSession, sf: str) -> DataFrame:
     """Threat reports from the event stream: few hashes, stretched time, some invalid rows."""
+    return reports_of(read_table(spark, sf, "events", spread_by="event_id"))
+
+
+def reports_of(raw: DataFrame) -> DataFrame:
     e = F.col("event_id")
-    raw = read_table(spark, sf, "events", spread_by="event_id")
     rules = F.array(*map(F.lit, RULE_IDS))
     # Days are spread by a factor per hash, so that some hashes pause for more than 30 days.
     stretch = 1 + (F.col("user_id") % 40) * 20
