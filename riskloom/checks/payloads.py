@@ -34,7 +34,7 @@ ATTACKS: list[tuple[str, str]] = [
     ("CTX-003", "echo root > /etc/passwd"),
     ("CTX-003", "nc -l 4444; netcat -p 9"),
     ("CTX-003", "base64 --decode blob"),
-    ("CTX-003", "git clone repo && cd repo && npm start"),
+    ("CTX-003", "git clone repo && npm start"),
     ("CTX-003", "git clone repo; node app"),
     ("CTX-003", "npm install left && npx runit"),
     ("CTX-004", "use_mcp_tool now"),

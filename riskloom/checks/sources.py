@@ -63,17 +63,17 @@ def src_4(spark, sf):
 
 
 @check("src_6_rewritten", with_views("""
- SELECT doc_id AS response_id, CASE WHEN doc_id % 3 = 0 THEN 'clean ' || doc_id ELSE summary END AS summary, location, '7' AS extra,
- CASE WHEN doc_id % 4 = 2 THEN '1' END AS total FROM v_events WHERE doc_id % 4 < 3""", V_EVENTS))
+ SELECT doc_id AS response_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 4 < 3 THEN 'clean ' || doc_id ELSE summary END AS summary, location, '7' AS extra,
+ CASE WHEN doc_id % 4 = 2 THEN '1' END AS total FROM v_events""", V_EVENTS))
 def src_6(spark, sf):
-    """Replace the summary of every third event inside its body, then read the body again."""
-    bodies = _bodies(spark, sf).where("response_id % 4 < 3")
+    """Replace the summary of every third event inside its body (``{event}`` bodies stay), then read it again."""
+    bodies = _bodies(spark, sf)
     fixes = v_events(spark, sf).where(F.col("id").cast("long") % 3 == 0).select(
         F.col("id").cast("long").alias("response_id"), "id", F.concat(F.lit("clean "), "id").alias("summary"),
         F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("location"))
     body = F.col("body")
     first = F.coalesce(
-        F.get_json_object(body, "$[0]"), F.get_json_object(body, "$.events[0]"), F.when(~F.startswith(body, F.lit("[")), body))
+        F.get_json_object(body, "$[0]"), F.get_json_object(body, "$.events[0]"), F.get_json_object(body, "$.event"), F.when(~F.startswith(body, F.lit("[")), body))
     return rewritten(bodies, fixes).select(
         "response_id", F.get_json_object(first, "$.summary").alias("summary"), F.get_json_object(first, "$.location").alias("location"),
         F.get_json_object(first, "$.extra").alias("extra"), F.get_json_object(body, "$.total").alias("total"))
