@@ -68,20 +68,22 @@ def title_match(one: Column, two: Column) -> Column:
     )
 
 
-def similarity(a: Column, b: Column, match: Column | None = None) -> Column:
+def similarity(a: Column, b: Column) -> Column:
     """Rule ladder of duplicate likelihood. Days are compared in UTC."""
-    match = title_match(a["summary"], b["summary"]) if match is None else match
     overlap = events_overlap(a, b)
     same_day = F.coalesce(F.to_date(a["start_ts"]) == F.to_date(b["start_ts"]), F.lit(False))
-    return (
-        F.when(a["is_all_day"] != b["is_all_day"], 0.2)
-        .when(match["exact"] & overlap, 0.95)
-        .when(match["similar"] & overlap, 0.7)
-        .when(match["exact"] & same_day, 0.6)
-        .when(match["exact"], 0.4)
-        .when(match["similar"], 0.3)
-        .otherwise(0.1)
-    )
+
+    def ladder(match: Column) -> Column:
+        return (
+            F.when(match["exact"] & overlap, 0.95)
+            .when(match["similar"] & overlap, 0.7)
+            .when(match["exact"] & same_day, 0.6)
+            .when(match["exact"], 0.4)
+            .when(match["similar"], 0.3)
+            .otherwise(0.1)
+        )
+
+    return F.when(a["is_all_day"] != b["is_all_day"], 0.2).otherwise(let(title_match(a["summary"], b["summary"]), ladder))
 
 
 def _narrow(events: DataFrame) -> DataFrame:
@@ -131,8 +133,8 @@ def duplicates(pairs: DataFrame, threshold: float = WARN_SIMILARITY) -> DataFram
 
 def check_summary(pairs: DataFrame, threshold: float = WARN_SIMILARITY) -> DataFrame:
     """Per event with a hit: numbers of conflicts and duplicates, and the warning text."""
-    alike = similarity(F.col("a"), F.col("b"))
-    counts = pairs.groupBy(F.col("a.event_id").alias("event_id")).agg(
+    alike = F.col("__alike")
+    counts = pairs.withColumn("__alike", similarity(F.col("a"), F.col("b"))).groupBy(F.col("a.event_id").alias("event_id")).agg(
         F.count(F.lit(1)).alias("n_conflicts"),
         F.sum((alike >= threshold).cast("long")).alias("n_duplicates"),
         F.max(alike).alias("max_similarity"),

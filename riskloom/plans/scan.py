@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,17 +28,28 @@ def detect(
     """
     df = rules.prepare(fields, content, config)
     p = rules.prepared_columns()
-    tiers = {
-        tier: rules.capped(F.concat(*(rule(p) for rule in by_id.values())), config.max_detections)
-        for tier, by_id in rules.tier_rules(config).items()
-    }
     # Weighting never changes order or count, so capping first gives the same list.
+    tiers = {tier: rules.capped(found, config.max_detections) for tier, found in _built_in_tiers(config).items()}
     tiers[patterns.CONTEXTUAL] = rules.weighted(tiers[patterns.CONTEXTUAL], F.col("field_type"), F.col("is_external"))
     for name, tier in (extra_tiers or {}).items():
         tiers[name] = rules.capped(tier(p), config.max_detections)
     return evaluated(df, tiers).drop(*rules.PREPARED_NAMES)
 
 
+def _built_in_tiers(config: ScanConfig) -> dict[str, Column]:
+    """The two rule tiers as columns. They are large, so a session builds them once per rule set."""
+    key = (id(SparkContext._active_spark_context), config.trusted_npx_packages)
+    if key not in _TIERS:
+        p = rules.prepared_columns()
+        _TIERS[key] = {
+            tier: F.concat(*(rule(p) for rule in by_id.values())) for tier, by_id in rules.tier_rules(config).items()
+        }
+    return _TIERS[key]
+
+
+_TIERS: dict[tuple, dict[str, Column]] = {}
+
+
 def evaluated(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add costly columns as the one row of a generator.
 
