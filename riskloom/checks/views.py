@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.checks.payloads import CYCLE, PAYLOADS
+from riskloom.functions.text import literal
 from riskloom.sources.tables import read_table
 
 OWNER_DOMAIN = "home.example"
@@ -22,8 +23,11 @@ def sql_list(values) -> str:
 SQL_PAYLOADS = sql_list(PAYLOADS)
 
 
+_SPARK_PAYLOADS = f"array({', '.join(map(literal, PAYLOADS))})"
+
+
 def payload(number: Column) -> Column:
-    return F.get(F.array(*map(F.lit, PAYLOADS)), (number % CYCLE).cast("int"))
+    return F.get(F.expr(_SPARK_PAYLOADS), (number % CYCLE).cast("int"))
 
 
 def sql_payload(number: str) -> str:

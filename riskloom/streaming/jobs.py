@@ -58,8 +58,12 @@ def threat_state(
         spark = batch.sparkSession
         before = latest_version(spark, state, below=batch_id)
         prior = read_version(spark, state, before) if before is not None else None
-        updates = threats.fan_out(threats.accepted(batch))
-        write_version(threats.advance(updates, prior, salt), state, batch_id)
+        # Read several times below; persisted rows are recomputed from the source if an executor is lost.
+        updates = threats.fan_out(threats.accepted(batch)).persist()
+        try:
+            write_version(threats.advance(updates, prior, salt), state, batch_id)
+        finally:
+            updates.unpersist()
 
     return _start(reports, handle, checkpoint, trigger or {"availableNow": True})
 
