@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from riskloom.checks import check
 from riskloom.checks.payloads import ATTACKS, BENIGN, CYCLE
-from riskloom.checks.rule_sql import DETECTIONS, SCORES
+from riskloom.checks.rule_sql import SCORES
 from riskloom.checks.views import OWNER_DOMAIN, V_EVENTS, V_TEXT, quoted, v_events, v_text, with_views
 from riskloom.config import ScanConfig
 from riskloom.operators import actions, scoring
 from riskloom.plans.quality import detection_quality
-from riskloom.plans.scan import detect, scan_events, scan_fields, scan_texts
+from riskloom.plans.scan import detect, scan_events, scan_fields
 from riskloom.sources.fields import explode_fields
 
 NOW = datetime(2024, 3, 1, 12, 0, 0)

@@ -204,11 +204,10 @@ def snk_3(spark, sf):
 @check("ti_13_precedence", with_views(f"""
  SELECT r.report_id, CASE WHEN c.hash IS NOT NULL THEN 'content' WHEN s.hash IS NOT NULL THEN 'structural' ELSE 'none' END AS matched,
  coalesce(c.report_count, s.report_count) AS report_count FROM v_reports r
- LEFT JOIN (SELECT * FROM v_threats WHERE last_seen + INTERVAL 30 DAY >= {_AS_OF_SQL} AND report_count % 2 = 0) c ON c.hash = r.content_hash
- LEFT JOIN (SELECT * FROM v_threats WHERE last_seen + INTERVAL 30 DAY >= {_AS_OF_SQL} AND report_count % 2 = 0) s ON s.hash = r.structural_hash""", V_REPORTS, _REPLAY, _THREATS))
+ LEFT JOIN (SELECT * FROM v_threats WHERE last_seen + INTERVAL 30 DAY >= {_AS_OF_SQL} AND category <> 'prompt-injection') c ON c.hash = r.content_hash
+ LEFT JOIN (SELECT * FROM v_threats WHERE last_seen + INTERVAL 30 DAY >= {_AS_OF_SQL} AND category <> 'prompt-injection') s ON s.hash = r.structural_hash""", V_REPORTS, _REPLAY, _THREATS))
 def ti_13(spark, sf):
-    known = _threats(spark, sf).where("report_count % 2 = 0").withColumn(
-        "category", F.when(F.col("hash").isNotNull(), F.col("category")))
+    known = _threats(spark, sf).where("category <> 'prompt-injection'")
     rows = v_reports(spark, sf).select("report_id", "content_hash", "structural_hash")
     found = lookup.match_fingerprints(rows, known, AS_OF, 4, F.col("report_id"))
     by_content = found.join(

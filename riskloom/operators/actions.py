@@ -7,7 +7,6 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.text import let
 from riskloom.operators.scoring import level_rank
 
 SANITIZED_FIELDS = ("summary", "description", "location")
