@@ -83,6 +83,48 @@ def op2(spark, sf):
         F.array_join("rejected_by", ",").alias("rejected_by"))
 
 
+@query("op3_candidate_boosting")
+def op3(spark, sf):
+    from riskloom.llm import pii_boost
+
+    rows = pii_boost.found(table(spark, sf, "documents"))
+    of_base = F.filter("spans", lambda s: s["base"])
+    joined = lambda spans: F.array_join(F.transform(
+        spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
+    counts = [count(kind).alias(f"n_{kind}") for kind in pii_boost.KINDS[: pii_boost.BASE_KINDS]]
+    return rows.select("doc_id", *counts, F.sha2(joined(of_base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query("op4_importance")
+def op4(spark, sf):
+    from riskloom.llm import importance
+
+    return importance.resampled(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op5_recurrent_lm")
+def op5(spark, sf):
+    from riskloom.llm import recurrent_lm
+
+    return recurrent_lm.scored(table(spark, sf, "documents"))
+
+
+@query("op6_nnls_packing")
+def op6(spark, sf):
+    from riskloom.llm import packing_nnls
+
+    return packing_nnls.packed(table(spark, sf, "documents")).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query("op7_chosen_path")
+def op7(spark, sf):
+    from riskloom.llm import chosen_path
+
+    return chosen_path.classes(table(spark, sf, "documents"))
+
+
 @query("op8_virtual_slots")
 def op8(spark, sf):
     from riskloom.llm import slots
@@ -100,3 +142,18 @@ def op9(spark, sf):
 
     rows = curriculum.allocation(table(spark, sf, "documents"))
     return rows.select("doc_id", "source", "size", "source_size", "target", "taken", "times")
+
+
+@query("op10_multi_index")
+def op10(spark, sf):
+    from riskloom.llm import multi_index
+
+    vectors = table(spark, sf, "embeddings")
+    return multi_index.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
+@query("op1_best_fit_packing")
+def op1(spark, sf):
+    from riskloom.llm import packing_bfd
+
+    return packing_bfd.packed(table(spark, sf, "documents"))

@@ -108,3 +108,28 @@ def encoder(path: str) -> WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
+
+
+def pieces_of(enc: WordEncoder, texts: pa.Array, window: int, end_id: int | None):
+    """Ids of all documents and the pieces of at most ``window`` ids they are cut into.
+
+    Returns flat ids (each document closed by ``end_id`` unless that is None) and,
+    per piece, the document's row, first id in the document, length, first id in
+    the flat ids, and the document's number of ids. Nothing is lost: a document's
+    pieces, one after the other, are its ids. A document without ids has no piece.
+    """
+    ids, bounds = enc.texts(texts)
+    n = len(bounds) - 1
+    if end_id is not None:
+        closed = np.empty(len(ids) + n, np.int32)
+        bounds = bounds + np.arange(n + 1)
+        last = np.zeros(len(closed), bool)
+        last[bounds[1:] - 1] = True
+        closed[last], closed[~last] = end_id, ids
+        ids = closed
+    sizes = np.diff(bounds)
+    counts = -(-sizes // window)
+    row = np.repeat(np.arange(n), counts)
+    start = ranges(np.zeros(n, np.int64), counts) * window
+    length = np.minimum(window, sizes[row] - start)
+    return ids, row, start, length, bounds[:-1][row] + start, sizes[row]
