@@ -103,13 +103,14 @@ def _override_rule() -> str:
     w = P.OVERRIDE_WINDOW
     raised = f"len(list_filter({sql_list(P.OVERRIDE_MODIFIERS)}, lambda x: contains(win, x))) > 0"
     return (
-        "SELECT item_id, 'contextual' AS tier, 11 AS rule_no, k, 1 AS i, 'CTX-001' AS rule_id, 'Instruction Override' AS rule_name, "
+        "SELECT item_id, 'contextual' AS tier, 11 AS rule_no, k, i, 'CTX-001' AS rule_id, 'Instruction Override' AS rule_name, "
         f"CASE WHEN {raised} THEN 0.80 ELSE 0.65 END AS severity, snip[1:100] AS matched, pos - 1 AS start_at, "
         f"least(length(snip), 100) AS n_chars, CASE WHEN {raised} THEN 0.90 ELSE 0.75 END AS confidence FROM ("
-        f"SELECT item_id, k, pos, low[pos:pos + length(verb) + {w - 1}] AS win, "
+        f"SELECT item_id, k, i, pos, low[pos:pos + length(verb) + {w - 1}] AS win, "
         f"trim(text[pos:pos + length(verb) + {w - 1}], {SPACE_SET}) AS snip FROM ("
-        "SELECT item_id, text, low, verb, k, instr(low, verb) AS pos FROM v_prep, "
-        f"(SELECT unnest({sql_list(P.OVERRIDE_VERBS)}) AS verb, unnest(range({len(P.OVERRIDE_VERBS)})) AS k)) WHERE pos > 0) "
+        "SELECT item_id, text, low, verb, k, i, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + (i - 1) * length(verb) + 1 AS BIGINT) AS pos "
+        "FROM (SELECT *, unnest(range(1, len(gaps))) AS i FROM (SELECT item_id, text, low, verb, k, string_split(low, verb) AS gaps FROM v_prep, "
+        f"(SELECT unnest({sql_list(P.OVERRIDE_VERBS)}) AS verb, unnest(range({len(P.OVERRIDE_VERBS)})) AS k) WHERE contains(low, verb))))) "
         f"WHERE len(list_filter({sql_list(P.OVERRIDE_NOUNS)}, lambda x: contains(win, x))) > 0"
     )
 
@@ -158,7 +159,7 @@ WEIGHT = (
     "WHEN 'attendee_name' THEN 1.3 ELSE 1.0 END)::DOUBLE"
 )
 
-# Detections of all rules over v_src, weighted, capped at 50 per tier; ``ord`` is the list position in a tier.
+# Detections of all rules over v_src, weighted; ``ord`` is the list position in a tier.
 DETECTIONS = PREP + ",\nv_raw AS MATERIALIZED (" + "\n UNION ALL ".join(
     f"SELECT item_id, {_SCORES} FROM ({sql})" for _, sql in sorted(RULE_SQL.items())
 ) + f"""),
@@ -166,9 +167,9 @@ v_det AS MATERIALIZED (
  SELECT * FROM (SELECT r.* EXCLUDE (severity),
    CASE WHEN tier = 'contextual' THEN least(r.severity::DOUBLE * {WEIGHT}, 1.0) ELSE r.severity::DOUBLE END AS severity,
    row_number() OVER (PARTITION BY r.item_id, tier ORDER BY rule_no, k, i) AS ord
-  FROM v_raw r JOIN v_src s USING (item_id)) WHERE ord <= 50)"""
+  FROM v_raw r JOIN v_src s USING (item_id)))"""
 
-# Field scores, and the kept list (structural first, 50 in all; ``pos`` is its position).
+# Field scores, and the detection list (structural first; ``pos`` is its position).
 SCORES = DETECTIONS + """,
 v_tier AS (SELECT item_id, tier, least(max(severity) + least((count(*) - 1) * 0.05::DOUBLE, 0.15::DOUBLE), 1.0::DOUBLE) AS tier_score
  FROM v_det GROUP BY item_id, tier),
@@ -180,4 +181,4 @@ v_score AS MATERIALIZED (SELECT *, CASE risk_level WHEN 'critical' THEN 'block'
      coalesce(max(tier_score) FILTER (WHERE tier = 'contextual'), 0::DOUBLE) AS ct
     FROM v_src s LEFT JOIN v_tier t USING (item_id) GROUP BY s.item_id) s))),
 v_kept AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE tier WHEN 'structural' THEN 0 ELSE 1 END, ord) AS pos
- FROM v_det) WHERE pos <= 50)"""
+ FROM v_det))"""

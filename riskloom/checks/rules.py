@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.checks import check
 from riskloom.checks.rule_sql import DETECTIONS, PREP, RULE_SQL
 from riskloom.checks.views import V_TEXT, v_text, with_views
-from riskloom.config import ScanConfig
+from riskloom.config import DETECTION_LIMIT, ScanConfig
 from riskloom.operators import rules
 from riskloom.plans.scan import detect
 
@@ -70,8 +70,8 @@ def r_off(spark, sf):
 
 
 @check("r_cap_per_tier", with_views(
-    "SELECT item_id, tier, CAST(count(*) AS BIGINT) AS n FROM v_det GROUP BY item_id, tier", V_TEXT, DETECTIONS))
+    "SELECT item_id, tier, least(CAST(count(*) AS BIGINT), 50) AS n FROM v_det GROUP BY item_id, tier", V_TEXT, DETECTIONS))
 def r_cap(spark, sf):
-    found = detect(v_text(spark, sf), content="text")
+    found = detect(v_text(spark, sf), ScanConfig(max_detections=DETECTION_LIMIT), content="text")
     sizes = F.array(*(F.struct(F.lit(t).alias("tier"), F.size(t).cast("long").alias("n")) for t in ("structural", "contextual")))
     return found.select("item_id", F.explode(sizes).alias("s")).select("item_id", "s.*").where("n > 0")

@@ -149,13 +149,15 @@ def sc_8_labels(spark, sf):
 
 # ---- actions ----------------------------------------------------------------
 
-# Splices run right to left over a list: element i of the fold is (offset, length, rule).
-_REDACTED = """v_red AS MATERIALIZED (
- SELECT s.item_id, list_reduce(list_prepend({'o': 0::BIGINT, 'l': 0::BIGINT, 'r': '', 't': s.text}, coalesce(d.spans, [])),
-  lambda acc, x: {'o': 0::BIGINT, 'l': 0::BIGINT, 'r': '', 't': acc.t[1:x.o] || '[REDACTED:' || x.r || ']' || acc.t[x.o + x.l + 1:]}).t AS redacted
- FROM v_src s JOIN v_score c USING (item_id) LEFT JOIN (
-  SELECT item_id, list({'o': CAST(start_at AS BIGINT), 'l': CAST(n_chars AS BIGINT), 'r': rule_id, 't': ''} ORDER BY start_at DESC, pos) AS spans
-  FROM v_kept WHERE n_chars > 0 GROUP BY item_id) d USING (item_id) WHERE c.action = 'redact')"""
+# Overlapping detections are one stretch, named after its first; pieces of text between stretches are put together.
+_REDACTED = """v_span AS MATERIALIZED (
+ SELECT item_id, start_at, start_at + n_chars AS end_at, pos, rule_id,
+  coalesce(max(start_at + n_chars) OVER (PARTITION BY item_id ORDER BY start_at, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach
+ FROM v_kept WHERE n_chars > 0),
+v_red AS MATERIALIZED (
+ SELECT s.item_id, coalesce(string_agg(CASE WHEN d.start_at >= d.reach THEN s.text[CAST(d.reach + 1 AS BIGINT):CAST(d.start_at AS BIGINT)] || '[REDACTED:' || d.rule_id || ']' ELSE '' END, '' ORDER BY d.start_at, d.pos), '')
+  || any_value(s.text)[CAST(coalesce(max(d.end_at), 0) + 1 AS BIGINT):] AS redacted
+ FROM v_src s JOIN v_score c USING (item_id) LEFT JOIN v_span d USING (item_id) WHERE c.action = 'redact' GROUP BY s.item_id)"""
 
 
 @check("ac_1_redacted", with_views("SELECT item_id, redacted FROM v_red", V_TEXT, SCORES, _REDACTED))
@@ -189,13 +191,12 @@ def ac_3(spark, sf):
         "id", "summary", F.sha2("description", 256).alias("description_hash"), "location")
 
 
-_NOTICE = """v_notice AS MATERIALIZED (SELECT id, calendar_id, 'Event: ' || id || chr(10) || '  Risk Level: ' || upper(risk_level) || chr(10) || '  Risk Score: ' || printf('%.2f', risk_score)
- || chr(10) || '  Action Taken: ' || action || chr(10)
- || CASE WHEN is_external THEN '  WARNING: Event from external organizer (' || coalesce(organizer_email, 'unknown') || ')' || chr(10) ELSE '' END
+_NOTICE = """v_notice AS MATERIALIZED (SELECT id, calendar_id, id || ': ' || risk_level || ' (' || printf('%.2f', risk_score) || '), ' || action || chr(10)
+ || CASE WHEN is_external THEN '  sent from outside: ' || coalesce(organizer_email, 'unknown') || chr(10) ELSE '' END
  || coalesce(tops || chr(10), '')
- || CASE action WHEN 'redact' THEN '  NOTE: Dangerous content has been redacted from the event below.' || chr(10)
-  WHEN 'block' THEN '  NOTE: This event''s content has been blocked entirely.' || chr(10) || '  Review the quarantine entry to inspect if needed.' || chr(10) ELSE '' END AS notice
- FROM v_event LEFT JOIN (SELECT id, string_agg('  Detection: [' || rule_id || '] ' || rule_name || ' (severity: ' || printf('%.2f', severity) || ')', chr(10) ORDER BY rn) AS tops
+ || CASE action WHEN 'redact' THEN '  text: risky passages were cut out' || chr(10)
+  WHEN 'block' THEN '  text: withheld' || chr(10) || '  original: kept in quarantine' || chr(10) ELSE '' END AS notice
+ FROM v_event LEFT JOIN (SELECT id, string_agg('  ' || rule_id || ' ' || rule_name || ', severity ' || printf('%.2f', severity), chr(10) ORDER BY rn) AS tops
   FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY severity DESC, field_no, pos) AS rn FROM v_found) WHERE rn <= 3 GROUP BY id) USING (id)
  WHERE risk_level <> 'safe')"""
 
@@ -207,7 +208,7 @@ def ac_4(spark, sf):
 
 
 @check("ac_5_batch_notice", with_views(f"""
- SELECT calendar_id, 0 AS part, NULL AS part_order, '[SECURITY NOTICE]' || chr(10) || count(*) || ' event(s) flagged for potential security risks.' || chr(10) AS body
+ SELECT calendar_id, 0 AS part, NULL AS part_order, 'Content warnings' || chr(10) || count(*) || ' event(s) with risky content' || chr(10) AS body
  FROM v_notice GROUP BY calendar_id
  UNION ALL SELECT calendar_id, 1, id, notice FROM v_notice
  UNION ALL SELECT DISTINCT calendar_id, 2, NULL, {quoted(chr(10).join(actions.NOTICE_FOOTER))} FROM v_notice""", *EVENTS_SQL, _NOTICE))
@@ -217,7 +218,7 @@ def ac_5(spark, sf):
 
 
 # Quarantined twice: half of the entries are written again a day later.
-_QUARANTINE = """v_quar AS MATERIALIZED (SELECT regexp_replace(v.id, '[^a-zA-Z0-9_-]', '_', 'g') AS entry_key, v.id AS event_id, v.calendar_id, v.organizer_email, v.risk_score, v.risk_level, v.action,
+_QUARANTINE = """v_quar AS MATERIALIZED (SELECT CASE WHEN v.calendar_id <> '' THEN regexp_replace(v.calendar_id, '[^a-zA-Z0-9_-]', '_', 'g') || '.' ELSE '' END || regexp_replace(v.id, '[^a-zA-Z0-9_-]', '_', 'g') AS entry_key, v.id AS event_id, v.calendar_id, v.organizer_email, v.risk_score, v.risk_level, v.action,
  e.summary, e.description, e.location, CAST(v.id AS BIGINT) % 2 AS odd,
  TIMESTAMP '2024-03-01 12:00:00' + to_days(CAST(CAST(v.id AS BIGINT) % 2 AS INTEGER)) AS quarantined_at,
  TIMESTAMP '2024-03-08 12:00:00' + to_days(CAST(CAST(v.id AS BIGINT) % 2 AS INTEGER)) AS expires_at,
@@ -259,14 +260,13 @@ def ac_6(spark, sf):
 
 
 @check("ac_7_quarantine_get", with_views(f"""
- SELECT event_id, risk_level, {_SQL_STAMP.format('expires_at')} FROM v_quar WHERE entry_key = (SELECT min(id) FROM v_event WHERE action = 'block') AND expires_at >= TIMESTAMP '2024-03-01 12:00:00'""",
+ SELECT event_id, risk_level, {_SQL_STAMP.format('expires_at')} FROM v_quar WHERE event_id = (SELECT min(id) FROM v_event WHERE action = 'block') AND expires_at >= TIMESTAMP '2024-03-01 12:00:00'""",
     *EVENTS_SQL, _QUARANTINE))
 def ac_7(spark, sf):
     """The entry of the first blocked event (by id)."""
     entries = _entries(spark, sf)
     wanted = entries.where("action = 'block'").agg(F.min("event_id")).scalar()
-    live = entries.where(F.col("expires_at") >= F.lit(NOW).cast("timestamp"))
-    return live.where(F.col("entry_key") == actions.quarantine_key(wanted)).select("event_id", "risk_level", _stamp("expires_at"))
+    return actions.quarantine_get(entries, wanted, NOW).select("event_id", "risk_level", _stamp("expires_at"))
 
 
 @check("ac_8_cleanup", with_views("""
@@ -291,7 +291,13 @@ def ac_9(spark, sf):
         "total_quarantined")
 
 
-@check("ac_10_review_view")
+@check("ac_10_review_view", with_views(r"""
+ SELECT event_id, 'event = ' || event_id || chr(10) || 'calendar = ' || coalesce(nullif(calendar_id, ''), '-') || chr(10) || 'from = ' || coalesce(organizer_email, '-') || chr(10)
+ || 'held since = ' || strftime(quarantined_at, '%Y-%m-%dT%H:%M:%SZ') || chr(10) || 'held until = ' || strftime(expires_at, '%Y-%m-%dT%H:%M:%SZ') || chr(10)
+ || 'risk = ' || risk_level || ' ' || printf('%.2f', risk_score) || ' ' || action || coalesce(chr(10) || lines, '')
+ || list_aggregate(list_transform(flatten([CASE WHEN coalesce(x, '') <> '' THEN string_split(x, chr(10)) ELSE [] END for x in [summary, description, location]]), lambda y: chr(10) || ' > ' || y), 'string_agg', '') AS review_text
+ FROM v_quar LEFT JOIN (SELECT id, string_agg('found ' || rule_id || ' in ' || field_name || ', severity ' || printf('%.2f', severity), chr(10) ORDER BY field_no, pos) AS lines
+  FROM v_found GROUP BY id) d ON d.id = event_id""", *EVENTS_SQL, _QUARANTINE))
 def ac_10(spark, sf):
     return actions.review_view(_entries(spark, sf))
 

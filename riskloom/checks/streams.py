@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +18,9 @@ from riskloom.streaming import jobs
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder under the shared checkpoint folder; a local one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="riskloom-")
+    """A fresh folder under the shared checkpoint folder, or in the warehouse where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -49,17 +49,17 @@ SQL_PLANTED = f"""CASE WHEN {sql_payload('doc_id')} IS NULL THEN text
 
 def v_text(spark: SparkSession, sf: str) -> DataFrame:
     """All text tables, one text per row; documents with planted payloads."""
-    docs = read_table(spark, sf, "documents", spread_by="doc_id").select(
+    docs = read_table(spark, sf, "documents").select(
         F.concat(F.lit("doc:"), F.col("doc_id")).alias("item_id"),
         F.when(F.col("doc_id") % 4 == 1, "attendee_name").when(F.col("doc_id") % 4 == 2, "title")
         .otherwise("description").alias("field_type"),
         (F.col("doc_id") % 3 == 0).alias("is_external"), _planted().alias("text"),
     )
-    pages = read_table(spark, sf, "pages", spread_by="page_id").select(
+    pages = read_table(spark, sf, "pages").select(
         F.concat(F.lit("page:"), F.col("page_id")).alias("item_id"), F.lit("title").alias("field_type"),
         (F.col("page_id") % 5 == 0).alias("is_external"), F.col("html").alias("text"),
     )
-    talk = read_table(spark, sf, "conversations", spread_by="conv_id").select(
+    talk = read_table(spark, sf, "conversations").select(
         F.concat(F.lit("conv:"), F.col("conv_id"), F.lit(":"), F.col("turn")).alias("item_id"),
         F.lit("location").alias("field_type"), F.lit(False).alias("is_external"), "text",
     )
@@ -76,7 +76,7 @@ V_TEXT = f"""v_src AS MATERIALIZED (
 
 def v_events(spark: SparkSession, sf: str) -> DataFrame:
     """Scan-input events from the documents: every field kind, some of them dirty."""
-    return events_of(read_table(spark, sf, "documents", spread_by="doc_id"))
+    return events_of(read_table(spark, sf, "documents"))
 
 
 def events_of(docs: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ v_src AS MATERIALIZED (SELECT id || '#' || field_name AS item_id, field_type, is
 def v_cal(spark: SparkSession, sf: str) -> DataFrame:
     """Calendar events from the event stream: one calendar per user."""
     e = F.col("event_id")
-    raw = read_table(spark, sf, "events", spread_by="event_id")
+    raw = read_table(spark, sf, "events")
     day_start = F.date_trunc("day", "ts")
     all_day = e % 23 == 0
     minute = F.date_trunc("minute", "ts")
@@ -204,7 +204,7 @@ ACCOUNTS = ["home", "lab", "work"]
 def v_access(spark: SparkSession, sf: str) -> DataFrame:
     """Access of three accounts to calendars made from the customers."""
     c = F.col("c_custkey")
-    raw = read_table(spark, sf, "customer", spread_by="c_custkey")
+    raw = read_table(spark, sf, "customer")
     unfolded = raw.select(c, "c_name", "c_mktsegment", F.explode(F.array(*(F.lit(i) for i in range(3)))).alias("a"))
     a = F.col("a")
     return unfolded.where((c + a) % 3 < 2).select(
@@ -243,7 +243,7 @@ RULE_IDS = [
 
 def v_reports(spark: SparkSession, sf: str) -> DataFrame:
     """Threat reports from the event stream: few hashes, stretched time, some invalid rows."""
-    return reports_of(read_table(spark, sf, "events", spread_by="event_id"))
+    return reports_of(read_table(spark, sf, "events"))
 
 
 def reports_of(raw: DataFrame) -> DataFrame:

@@ -19,14 +19,17 @@ class ScanConfig:
 
     ``max_chars`` is ``None`` by default: whole texts are scanned. Set it to
     ``FIELD_CHAR_LIMIT`` to get the bounded scan. ``max_detections`` bounds the
-    list kept per tier and per field; ``None`` keeps every detection.
+    list kept per tier and per field; ``None``, the default, keeps every
+    detection. ``first_override_only`` looks at the first occurrence of each
+    override verb instead of all of them.
     """
 
     thresholds: dict = field(default_factory=lambda: dict(DEFAULT_THRESHOLDS))
     weights: dict = field(default_factory=lambda: dict(DEFAULT_WEIGHTS))
     max_chars: int | None = None
-    max_detections: int | None = DETECTION_LIMIT
+    max_detections: int | None = None
     trusted_npx_packages: tuple[str, ...] = ()
+    first_override_only: bool = False
 
     def __post_init__(self) -> None:
         t = self.thresholds

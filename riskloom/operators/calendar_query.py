@@ -85,11 +85,18 @@ def field_selection(fields: list[str] | None, include_defaults: bool = True) ->
 
 
 def project_fields(events: DataFrame, fields: list[str] | None, include_defaults: bool = True) -> DataFrame:
-    """Select the asked-for fields that the table has; columnar sources then read only those."""
+    """Select the asked-for fields; columnar sources then read only those.
+
+    ``id`` names the event id. An allowed field that the table lacks comes out as
+    a null column, so the result always has every field that was asked for.
+    """
     wanted = field_selection(fields, include_defaults)
     if wanted is None:
         return events
-    return events.select(*(f for f in wanted if f in events.columns))
+    have = {c: F.col(c) for c in events.columns}
+    if "event_id" in have:
+        have.setdefault("id", F.col("event_id"))
+    return events.select(*(have.get(f, F.lit(None).cast("string")).alias(f) for f in wanted))
 
 
 def get_events(events: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ class Pattern:
     confidence: float
     content_chars: int | None = None
     ignore_case: bool = True
+    scan: str | None = None
 
 
 @dataclass(frozen=True)
@@ -32,12 +33,28 @@ class PatternRule:
 
 def _rule(rule_id, tier, title, confidence, rows, content_chars=None, outside_fences=False, named=True):
     patterns = tuple(
-        Pattern(f"{title}: {name}" if named else title, severity, regex, anchors, confidence, content_chars)
+        Pattern(f"{title}: {name}" if named else title, severity, regex, anchors, confidence, content_chars, scan=SCANS.get(regex))
         for name, severity, regex, anchors in rows
     )
     return PatternRule(rule_id, tier, patterns, outside_fences)
 
 
+# Patterns that run to a far delimiter would be tried again from every start inside the same run. Each is searched
+# with a wider pattern that takes the run whole, once, and the runs that match exactly are kept: the same matches in
+# linear time.
+_CHAIN = r"[^&;]*+(?:[&;]++(?:[^&;]*\b(?:{0})\b)?+)?+"
+SCANS = {
+    r"\bcurl\b[^|]*\|\s*(?:ba)?sh\b": r"\bcurl\b[^|]*+(?:\|(?:\s*(?:ba)?sh\b)?+)?+",
+    r"\bwget\b[^|]*\|\s*(?:ba)?sh\b": r"\bwget\b[^|]*+(?:\|(?:\s*(?:ba)?sh\b)?+)?+",
+    r"\bgit\s+clone\b[^&;]*[&;]+[^&;]*\b(?:npm\s+(?:install|start|run)|node\s+|python\s+|\./)\b":
+        r"\bgit\s+clone\b" + _CHAIN.format(r"npm\s+(?:install|start|run)|node\s+|python\s+|\./"),
+    r"\bnpm\s+install\b[^&;]*[&;]+[^&;]*\b(?:npm\s+(?:start|run)|node\s+|npx\s+)\b":
+        r"\bnpm\s+install\b" + _CHAIN.format(r"npm\s+(?:start|run)|node\s+|npx\s+"),
+    r"data:\s*[^;]+;\s*base64\s*,": r"data:[^;]++(?:;(?:\s*base64\s*,)?+)?+",
+}
+TAG_SCAN = r"<\s*(?:script|iframe|object|embed|form|input|svg|link|meta|base)\b[^>]*+>?+"
+MARKDOWN_LINK_SCAN = r"\[[^\]]*+(?:\](?:\([^)]++\)?+)?+)?+"
+
 STRUCTURAL, CONTEXTUAL, THREAT_INTEL = "structural", "contextual", "threat-intel"
 
 # ---- Fixed values: structural rules --------------------------------------
@@ -47,7 +64,7 @@ DANGEROUS_TAGS = ("script", "iframe", "object", "embed", "form", "input", "svg",
 HTML_INJECTION = PatternRule("STRUCT-003", STRUCTURAL, (
     Pattern("HTML/Script Injection", 0.90,
             r"<\s*(?:script|iframe|object|embed|form|input|svg|link|meta|base)\b[^>]*>",
-            (("<",), DANGEROUS_TAGS), 0.95, 80),
+            (("<",), DANGEROUS_TAGS), 0.95, 80, scan=TAG_SCAN),
     Pattern("HTML Event Handler", 0.85, r"""\bon\w+\s*=\s*["'][^"']*["']""", (("on",), ("=",), ('"', "'")), 0.90, 80),
 ))
 

@@ -84,14 +84,22 @@ def pattern_rule(rule: P.PatternRule) -> Column:
         f"'confidence', {pat.confidence}D, 'chars', {pat.content_chars or 2**31 - 1})"
         for pat in rule.patterns
     )
+    def exact(pat: P.Pattern) -> str:
+        """Which of the runs found are matches; null when all are."""
+        if pat.scan is None:
+            return "'ok', cast(null as array<boolean>)"
+        # The run ends where the match does; what a closing word edge asks of the text behind it was checked there.
+        whole = tx.literal(for_spark(f"^(?:{pat.regex.removesuffix(chr(92) + 'b')})$", pat.ignore_case))
+        return f"'ok', transform(regexp_extract_all({text}, {tx.literal(for_spark(pat.scan, pat.ignore_case))}, 0), f -> rlike(f, {whole}))"
+
     hits = ", ".join(
         f"if({_anchored(low, pat.anchors)}, named_struct('k', {k}, "
-        f"{tx.found_and_gaps(text, for_spark(pat.regex, pat.ignore_case))}), null)"
+        f"{tx.found_and_gaps(text, for_spark(pat.scan or pat.regex, pat.ignore_case))}, {exact(pat)}), null)"
         for k, pat in enumerate(rule.patterns)
     )
     return F.expr(f"""flatten(transform(
         filter(array({hits}), h -> h is not null and size(h.found) > 0),
-        h -> transform({tx.located("h.found", "h.gaps")}, m -> named_struct(
+        h -> transform(filter({tx.located("h.found", "h.gaps")}, (m, i) -> coalesce(get(h.ok, i), true)), m -> named_struct(
             'tier', '{rule.tier}', 'rule_id', '{rule.rule_id}', 'rule_name', get(array({facts}), h.k).name,
             'severity', get(array({facts}), h.k).severity,
             'matched', substr(m.matched, 1, get(array({facts}), h.k).chars), 'offset', m.offset, 'length', m.length,
@@ -131,7 +139,7 @@ def base64_payloads(p: Prepared) -> Column:
 
 def markdown_links(p: Prepared) -> Column:
     links = F.transform(
-        tx.spans("__text", P.MARKDOWN_LINK),
+        F.filter(tx.spans("__text", P.MARKDOWN_LINK_SCAN), lambda m: F.rlike(m["matched"], F.lit(f"^{P.MARKDOWN_LINK}$"))),
         lambda m: F.struct(m.alias("m"), F.regexp_extract(m["matched"], P.MARKDOWN_LINK, 2).alias("url")),
     )
     return F.when(F.contains(p.text, F.lit("](")), F.transform(
@@ -174,17 +182,17 @@ def excessive_encoding(p: Prepared) -> Column:
     )
 
 
-def instruction_override(p: Prepared) -> Column:
-    """First occurrence of each verb, with a noun close behind it."""
-    verbs, nouns, modifiers = (
-        F.array(*map(F.lit, words)) for words in (P.OVERRIDE_VERBS, P.OVERRIDE_NOUNS, P.OVERRIDE_MODIFIERS)
-    )
+def instruction_override(p: Prepared, first_only: bool = False) -> Column:
+    """Every occurrence of each verb (or its first), with a noun close behind it."""
+    nouns, modifiers = (F.array(*map(F.lit, words)) for words in (P.OVERRIDE_NOUNS, P.OVERRIDE_MODIFIERS))
 
-    def at_verb(verb: Column) -> Column:
-        reach = F.length(verb) + P.OVERRIDE_WINDOW
-        return tx.let(F.position(verb, p.low), lambda at: F.struct(
+    def at_verb(verb: str) -> Column:
+        reach = F.lit(len(verb) + P.OVERRIDE_WINDOW)
+        places = tx.spans("__low", verb)
+        found = F.transform(F.slice(places, 1, 1) if first_only else places, lambda m: tx.let(m["offset"] + 1, lambda at: F.struct(
             at.alias("at"), p.low.substr(at, reach).alias("window"), tx.strip(p.text.substr(at, reach)).alias("snippet"),
-        ))
+        )))
+        return F.when(F.contains(p.low, F.lit(verb)), found).otherwise(F.slice(found, 1, 0))
 
     def found(s: Column) -> Column:
         raised = F.exists(modifiers, lambda m: F.contains(s["window"], m))
@@ -195,9 +203,7 @@ def instruction_override(p: Prepared) -> Column:
         )
 
     windows = F.filter(
-        F.transform(F.filter(verbs, lambda v: F.contains(p.low, v)), at_verb),
-        lambda s: F.exists(nouns, lambda n: F.contains(s["window"], n)),
-    )
+        F.concat(*map(at_verb, P.OVERRIDE_VERBS)), lambda s: F.exists(nouns, lambda n: F.contains(s["window"], n)))
     return F.transform(windows, found)
 
 
@@ -251,7 +257,7 @@ def tier_rules(config: ScanConfig) -> dict[str, dict[str, Rule]]:
             "STRUCT-009": _from(P.HIDDEN_TEXT),
         },
         P.CONTEXTUAL: {
-            "CTX-001": instruction_override,
+            "CTX-001": lambda p: instruction_override(p, config.first_override_only),
             "CTX-002": imperative_system,
             "CTX-003": _from(P.SHELL_COMMANDS),
             "CTX-004": _from(P.TOOL_CALLS),

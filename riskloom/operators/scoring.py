@@ -26,6 +26,9 @@ def tier_score_of(detections: Column) -> Column:
 
 def composite(tier_scores: dict[str, Column], config: ScanConfig) -> Column:
     """Weighted sum over the tiers, raised when tiers corroborate each other."""
+    without = set(tier_scores) - set(config.weights)
+    if without:
+        raise ValueError(f"no weight for: {', '.join(sorted(without))}")
     weighted = reduce(
         lambda a, b: a + b,
         (F.coalesce(tier_scores[t], F.lit(0.0)) * F.lit(w) for t, w in config.weights.items() if t in tier_scores),

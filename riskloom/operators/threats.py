@@ -155,11 +155,15 @@ def _admissions(live: DataFrame) -> DataFrame:
 
 
 def _continued(base: Column, more: Column) -> Column:
-    """An entry carried on by later reports; ``base`` may be null."""
+    """An entry carried on by more reports, in whatever order they come; ``base`` may be null."""
+    later = more["last_seen"] >= base["last_seen"]
     return F.when(base.isNull(), more).otherwise(F.struct(
-        (base["report_count"] + more["report_count"]).alias("report_count"), base["first_seen"].alias("first_seen"),
-        more["last_seen"].alias("last_seen"), more["last_risk"].alias("last_risk"),
-        F.coalesce(more["organizer_domain"], base["organizer_domain"]).alias("organizer_domain"),
+        (base["report_count"] + more["report_count"]).alias("report_count"),
+        F.least(base["first_seen"], more["first_seen"]).alias("first_seen"),
+        F.greatest(base["last_seen"], more["last_seen"]).alias("last_seen"),
+        F.when(later, more["last_risk"]).otherwise(base["last_risk"]).alias("last_risk"),
+        F.when(later, F.coalesce(more["organizer_domain"], base["organizer_domain"])).otherwise(
+            F.coalesce(base["organizer_domain"], more["organizer_domain"])).alias("organizer_domain"),
         F.array_sort(F.array_union(base["pattern_ids"], more["pattern_ids"])).alias("pattern_ids"),
     ))
 

@@ -38,7 +38,7 @@ def detect(
 
 def _built_in_tiers(config: ScanConfig) -> dict[str, Column]:
     """The two rule tiers as columns. They are large, so a session builds them once per rule set."""
-    key = (id(SparkContext._active_spark_context), config.trusted_npx_packages)
+    key = (SparkContext._active_spark_context.applicationId, config.trusted_npx_packages, config.first_override_only)
     if key not in _TIERS:
         p = rules.prepared_columns()
         _TIERS[key] = {
@@ -97,21 +97,12 @@ def scan_fields(
         })
     df = detect(df, config, content, extra_tiers)
     if threats is not None:
-        # A field without a structural or contextual detection stays below the redact
-        # level whatever the lookup adds, so its text need not travel to the join.
-        local = F.size("structural") + F.size("contextual") > 0
-        if not extra_tiers and _lookup_alone_is_harmless(config):
-            df = df.withColumn(content, F.when(local, F.col(content)))
-        identity = [name for name, kind in fields.dtypes if name != content and "map<" not in kind and kind != "variant"]
-        spread = F.struct(*(identity or ["original_length"]))
+        # Spread by a number of the row itself: copies of one text must not share a slice.
+        spread = F.monotonically_increasing_id()
         df = lookup.with_threat_detections(df, threats, as_of, spread, salt)
     return score_fields(df, config, content, tuple(extra_tiers or ()))
 
 
-def _lookup_alone_is_harmless(config: ScanConfig) -> bool:
-    return config.weights.get(patterns.THREAT_INTEL, 0.0) < config.thresholds["dangerous"]
-
-
 def scan_texts(
     df: DataFrame, text: str = "text", config: ScanConfig = ScanConfig(), field_type: str = "description",
     external: Column | None = None, **options,
@@ -131,10 +122,11 @@ def scan_events(
     """Scan nested events: one result row per event, with its fields as an array.
 
     Events are exploded to fields and scanned narrowly; one shuffle by event
-    gathers detections and replacement texts, never the event texts. Events are
-    identified by (calendarId, id).
+    gathers detections and replacement texts, never the event texts. Rows stay
+    apart by a number of their own, so an event delivered twice gives two results.
     """
-    fields = explode_fields(events, owner_domain, keep_empty=True)
+    numbered = events.withColumn("__event_no", F.monotonically_increasing_id())
+    fields = explode_fields(numbered, owner_domain, keep_empty=True, extra=("__event_no",))
     scanned = scan_fields(fields, config, threats=threats, as_of=as_of, extra_tiers=extra_tiers)
     return gather_events(scanned, config)
 
@@ -148,15 +140,17 @@ def gather_events(scanned: DataFrame, config: ScanConfig = ScanConfig()) -> Data
         ).alias("field"),
     ))
     keys = ["calendar_id", "id", "organizer_email", "organizer_domain", "is_external"]
+    keys += [c for c in ("__event_no", "event_hash") if c in scanned.columns]
     folded = scanned.groupBy(*keys).agg(
         F.coalesce(F.max(F.when(F.col("field_no").isNotNull(), F.col("risk_score"))), F.lit(0.0)).alias("risk_score"),
         F.count("field_no").alias("field_count"),
-        F.map_from_entries(F.collect_list(entry)).alias("__by_no"),
+        F.collect_list(entry).alias("__entries"),
     )
-    in_order = F.transform(F.array_sort(F.map_keys("__by_no")), lambda no: F.element_at(F.col("__by_no"), no))
+    places = F.transform(F.col("__entries"), lambda e, i: F.struct(e["no"].alias("no"), i.alias("i")))
+    in_order = F.transform(F.array_sort(places), lambda p: F.get(F.col("__entries"), p["i"])["field"])
     folded = folded.withColumns({
         "fields": in_order, "risk_level": scoring.level(F.col("risk_score"), config),
-    }).drop("__by_no")
+    }).drop("__entries", "__event_no")
     return folded.withColumns({
         "action": scoring.action(F.col("risk_level")), "detections": actions.all_detections(F.col("fields")),
     })

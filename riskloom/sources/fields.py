@@ -37,13 +37,21 @@ def with_organizer(events: DataFrame, owner_domain: str | None) -> DataFrame:
     })
 
 
-def explode_fields(events: DataFrame, owner_domain: str | None = None, keep_empty: bool = False) -> DataFrame:
-    """One row per non-blank field; only the key and the scan context travel along.
+def event_hash() -> Column:
+    """Tells deliveries of one event with different texts apart."""
+    return F.xxhash64("summary", "description", "location")
+
+
+def explode_fields(
+    events: DataFrame, owner_domain: str | None = None, keep_empty: bool = False, extra: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row per non-blank field; only the key, the scan context and ``extra`` columns travel along.
 
     With ``keep_empty`` an event without such a field keeps one row of nulls.
     """
-    context = ["calendar_id", "id", "organizer_email", "organizer_domain", "is_external"]
-    opened = with_organizer(events, owner_domain).withColumn("calendar_id", F.coalesce("calendarId", F.lit("")))
+    context = ["calendar_id", "id", "organizer_email", "organizer_domain", "is_external", "event_hash", *extra]
+    opened = with_organizer(events, owner_domain).withColumns(
+        {"calendar_id": F.coalesce("calendarId", F.lit("")), "event_hash": event_hash()})
     fields = opened.select(*context, F.posexplode_outer(field_array()).alias("field_no", "f"))
     fields = fields.select(*context, "field_no", "f.*")
     return fields if keep_empty else fields.where("field_no is not null")

@@ -1,21 +1,13 @@
-"""Reading and writing tables: spread of small inputs, audit and versioned tables."""
+"""Reading and writing tables: audit and versioned tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, folder: str, name: str, spread_by: str | None = None) -> DataFrame:
-    """Read a Parquet table. ``spread_by`` evens out a table kept in fewer files than cores.
-
-    One file with one row group is one task however many cores there are. Such a
-    table is hash-partitioned by a key; a table of many files is left alone.
-    """
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by is not None and len(df.inputFiles()) < cores:
-        df = df.repartition(cores * 2, spread_by)
-    return df
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """Read a Parquet table. Its files and row groups decide the tasks; nothing is shuffled."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def write_audit(audit: DataFrame, path: str, form: str = "parquet") -> None:
