@@ -150,6 +150,35 @@ def mu_7(spark, sf):
     return rc.instances(v_cal(spark, sf), LOW, HIGH).select("event_id", "instance_id", _stamp("instance_start", "start_at"))
 
 
+# One rule of each kind, by event number; the first EXDATE takes out the second instance of a daily series.
+_RULES = (
+    "RRULE:FREQ=WEEKLY;BYDAY=MO,WE,FR", "RRULE:FREQ=WEEKLY;INTERVAL=2;BYDAY=TU,SU;COUNT=5", "RRULE:FREQ=MONTHLY;BYMONTHDAY=1,31",
+    "RRULE:FREQ=YEARLY", "RRULE:FREQ=DAILY;UNTIL=20240220T000000Z", "RRULE:FREQ=HOURLY;COUNT=3", "RRULE:FREQ=MONTHLY;BYMONTHDAY=-1",
+    "RRULE:FREQ=MONTHLY;BYDAY=2TU",
+)
+
+
+# The twin walks all days after the start and asks of each whether the rule holds there.
+@check("mu_7_rules", with_views(f"""
+ SELECT event_id, kind, {_TS.format('inst')} AS start_at, reason FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY inst) AS nth FROM (
+   SELECT event_id, event_no % 8 AS kind, start_ts, end_ts - start_ts AS len, start_ts + to_days(CAST(d AS INTEGER)) AS inst, NULL AS reason
+   FROM v_cal, (SELECT unnest(range(0, 500)) AS d)) WHERE CASE kind
+    WHEN 0 THEN isodow(inst) IN (1, 3, 5)
+    WHEN 1 THEN isodow(inst) IN (2, 7) AND date_diff('day', date_trunc('week', start_ts), date_trunc('week', inst)) % 14 = 0
+    WHEN 2 THEN day(inst) IN (1, 31) WHEN 3 THEN month(inst) = month(start_ts) AND day(inst) = day(start_ts)
+    WHEN 4 THEN inst <= TIMESTAMP '2024-02-20' WHEN 6 THEN day(inst + INTERVAL 1 DAY) = 1 END)
+ WHERE (kind <> 1 OR nth <= 5) AND (kind <> 4 OR nth <> 2) AND inst + len > TIMESTAMP '2024-01-10' AND inst < TIMESTAMP '2024-03-10'
+ UNION ALL SELECT event_id, event_no % 8, {_TS.format('start_ts')}, CASE event_no % 8 WHEN 5 THEN 'FREQ=HOURLY' ELSE 'BYDAY=2TU' END FROM v_cal WHERE event_no % 8 IN (5, 7)""", V_CAL))
+def mu_7_rules(spark, sf):
+    kind = (F.col("event_no") % 8).cast("int")
+    rule = F.get(F.array(*map(F.lit, _RULES)), kind)
+    gone = F.concat(F.lit("EXDATE:"), F.date_format(F.col("start_ts") + F.expr("interval 1 day"), "yyyyMMdd'T'HHmmss'Z'"))
+    planted = v_cal(spark, sf).withColumn("recurrence", F.when(kind == 4, F.array(rule, gone)).otherwise(F.array(rule)))
+    return rc.instances(planted, LOW, HIGH).select(
+        "event_id", (F.col("event_no") % 8).alias("kind"), _stamp("instance_start", "start_at"), F.col("unexpanded").alias("reason"))
+
+
 @check("mu_8_scope", with_views("""
  SELECT event_id, CASE WHEN scope = 'bogus' THEN 'INVALID_MODIFICATION_SCOPE' WHEN scope = 'thisEventOnly' AND event_no % 5 = 0 THEN 'MISSING_ORIGINAL_START_TIME'
  WHEN scope = 'thisAndFollowing' AND event_no % 7 = 0 THEN 'MISSING_FUTURE_START_DATE' WHEN event_no % 7 <> 0 AND start_ts + INTERVAL 20 DAY <= TIMESTAMP '2024-02-01' THEN 'FUTURE_DATE_IN_PAST'

@@ -49,17 +49,58 @@ def _part(rule: Column, name: str) -> Column:
     return F.when(value != "", value)
 
 
-def instances(events: DataFrame, time_min: datetime, time_max: datetime) -> DataFrame:
+# Weekdays of a rule, Monday first; parts of a rule that are worked out.
+WEEKDAYS = ("MO", "TU", "WE", "TH", "FR", "SA", "SU")
+RULE_PARTS = ("FREQ", "INTERVAL", "COUNT", "UNTIL", "BYDAY", "BYMONTHDAY", "WKST")
+FREQUENCIES = ("DAILY", "WEEKLY", "MONTHLY", "YEARLY")
+
+
+def unsupported(recurrence: Column, rule: Column) -> Column:
+    """Why a rule is not worked out; null when it is (or when there is none)."""
+    freq, days = _part(rule, "FREQ"), _part(rule, "BYDAY")
+    parts = F.transform(F.split(F.regexp_replace(rule, "^RRULE:", ""), ";"), lambda p: F.split_part(p, F.lit("="), F.lit(1)))
+    other = F.array_except(parts, F.array(*map(F.lit, RULE_PARTS)))
+    rules = F.size(F.filter(recurrence, lambda r: F.rlike(r, F.lit("^(RRULE|RDATE|EXRULE)"))))
+    return (
+        F.when(rule.isNull(), F.lit(None).cast("string"))
+        .when(rules > 1, F.lit("more than one rule"))
+        .when(freq.isNull() | ~freq.isin(*FREQUENCIES), F.concat(F.lit("FREQ="), F.coalesce(freq, F.lit("?"))))
+        .when(F.size(other) > 0, F.array_join(other, ","))
+        .when(days.isNotNull() & ((freq != "WEEKLY") | ~F.rlike(days, F.lit("^(MO|TU|WE|TH|FR|SA|SU)(,(MO|TU|WE|TH|FR|SA|SU))*$"))), F.concat(
+            F.lit("BYDAY="), days))
+        .when(_part(rule, "BYMONTHDAY").isNotNull() & (freq != "MONTHLY"), F.lit("BYMONTHDAY"))
+        .when(F.coalesce(_part(rule, "WKST"), F.lit("MO")) != "MO", F.lit("WKST"))
+    )
+
+
+def excluded_starts(recurrence: Column, zone: Column) -> Column:
+    """Starts named by EXDATE entries: UTC stamps, local stamps (in the entry's or the event's zone) and whole days."""
+    def stamps(entry: Column) -> Column:
+        named = F.regexp_extract(entry, "TZID=([^:;]+)", 1)
+        local = F.when(named != "", named).otherwise(zone)
+        return F.transform(F.split(F.substring_index(entry, ":", -1), ","), lambda t: F.coalesce(
+            F.try_to_timestamp(t, F.lit(COMPACT_UTC)),
+            F.to_utc_timestamp(F.try_to_timestamp(t, F.lit("yyyyMMdd'T'HHmmss")), local),
+            F.to_utc_timestamp(F.try_to_timestamp(t, F.lit("yyyyMMdd")), local)))
+
+    return F.flatten(F.transform(F.filter(recurrence, lambda r: F.startswith(r, F.lit("EXDATE"))), stamps))
+
+
+def instances(events: DataFrame, time_min: datetime, time_max: datetime, zone: Column | None = None) -> DataFrame:
     """Instances of recurring events that fall in the range; single events pass through.
 
-    Supported: FREQ=DAILY, WEEKLY or MONTHLY with INTERVAL, COUNT and UNTIL.
-    Daily and weekly series jump straight to the range, however old they are.
-    Monthly series skip months that lack the day.
+    FREQ=DAILY, WEEKLY, MONTHLY or YEARLY with INTERVAL, COUNT and UNTIL, BYDAY of
+    weekly and BYMONTHDAY of monthly rules, and EXDATE. Steps are taken in the
+    local time of ``zone`` (UTC if none is given). Series without COUNT jump
+    straight to the range, however old they are. Months that lack a day are
+    skipped. An event whose rule is not worked out keeps one row, whatever the
+    range, with the reason in ``unexpanded`` (null for all others).
     """
     low, high = F.lit(time_min).cast("timestamp"), F.lit(time_max).cast("timestamp")
     rule = F.get(F.filter("recurrence", lambda r: F.startswith(r, F.lit("RRULE:"))), F.lit(0))
-    seconds = F.unix_timestamp
-    parsed = events.withColumn("__rule", rule).withColumns({
+    seconds, zone = F.unix_timestamp, F.lit("UTC") if zone is None else F.coalesce(zone, F.lit("UTC"))
+    parsed = events.withColumns({"__rule": rule, "__zone": zone}).withColumns({
+        "unexpanded": unsupported(F.col("recurrence"), F.col("__rule")),
         "__freq": _part(F.col("__rule"), "FREQ"),
         "__every": F.coalesce(_part(F.col("__rule"), "INTERVAL").cast("int"), F.lit(1)),
         "__count": _part(F.col("__rule"), "COUNT").cast("int"),
@@ -68,37 +109,57 @@ def instances(events: DataFrame, time_min: datetime, time_max: datetime) -> Data
             F.try_to_timestamp(_part(F.col("__rule"), "UNTIL"), F.lit("yyyyMMdd")),
         ),
         "__length": seconds("end_ts") - seconds("start_ts"),
-    })
-    last_start = F.least(F.coalesce("__until", high), high)
-
-    step = F.col("__every") * F.when(F.col("__freq") == "WEEKLY", 7 * _DAY).otherwise(_DAY)
-    first = F.greatest(F.lit(0), F.floor((seconds(low) - F.col("__length") - seconds("start_ts")) / step))
-    last = F.least(
-        F.floor((seconds(last_start) - seconds("start_ts")) / step),
-        F.coalesce(F.col("__count") - 1, F.lit(2**31 - 1)).cast("long"),
-    )
-    steady = F.when(last >= first, F.transform(
-        F.sequence(first, last), lambda n: F.timestamp_seconds(seconds("start_ts") + n * step)
-    ))
-
-    months = F.greatest(F.lit(0), F.floor(F.months_between(last_start, F.col("start_ts")) + 1)).cast("int")
-    monthly = F.filter(
-        F.transform(F.sequence(F.lit(0), F.floor(months / F.col("__every")).cast("int")), lambda n: (
-            F.timestamp_add("MONTH", n * F.col("__every"), F.col("start_ts")))),
-        lambda t: (F.day(t) == F.day("start_ts")) & (t <= last_start),
-    )
-    monthly = F.when(F.col("__count").isNotNull(), F.slice(monthly, F.lit(1), F.col("__count"))).otherwise(monthly)
-
-    starts = (
-        F.when(F.col("__freq").isin("DAILY", "WEEKLY"), steady).when(F.col("__freq") == "MONTHLY", monthly)
-        .when(F.col("__rule").isNull(), F.array("start_ts"))
-    )
-    opened = parsed.withColumn("instance_start", F.explode(starts))
+        "__days": F.split(_part(F.col("__rule"), "BYDAY"), ","),
+        "__month_days": F.split(_part(F.col("__rule"), "BYMONTHDAY"), ",").cast("array<int>"),
+        "__out": F.coalesce(excluded_starts(F.col("recurrence"), F.col("__zone")), F.array().cast("array<timestamp>")),
+        "__local": F.from_utc_timestamp("start_ts", F.col("__zone")),
+    }).withColumn("__last", F.least(F.coalesce("__until", high), high)).withColumn(
+        "__to", F.from_utc_timestamp("__last", F.col("__zone")))
+
+    # Days: steps from the first start, or from the Monday of its week for every weekday asked for.
+    weekly = F.col("__days").isNotNull()
+    shift = F.when(weekly, F.weekday("__local")).otherwise(0)
+    base = F.timestamp_add("DAY", -shift, F.col("__local"))
+    order = F.array(*map(F.lit, WEEKDAYS))
+    offsets = F.when(weekly, F.array_sort(F.transform("__days", lambda d: (F.array_position(order, d) - 1).cast("int")))).otherwise(
+        F.array(F.lit(0)))
+    step = (F.col("__every") * F.when(F.col("__freq") == "WEEKLY", 7).otherwise(1)).cast("int")
+    # Local and real time are at most a day or so apart, hence the margin; instances outside the range go below.
+    ahead = F.floor((seconds(low) - 2 * _DAY - F.col("__length") - seconds(base)) / (step * _DAY))
+    first = F.when(F.col("__count").isNull(), F.greatest(F.lit(0), ahead)).otherwise(0).cast("int")
+    last = F.floor((seconds("__to") - seconds(base)) / (step * _DAY)).cast("int")
+    last = F.when(F.col("__count").isNull(), last).otherwise(F.least(last, F.col("__count"))).cast("int")
+    by_day = F.when(last >= first, F.flatten(F.transform(F.sequence(first, last), lambda k: F.transform(
+        offsets, lambda o: F.timestamp_add("DAY", k * step + o, base)))))
+
+    # Months: the days asked for in every step-th month; a negative day counts from the month's end.
+    months = (F.col("__every") * F.when(F.col("__freq") == "YEARLY", 12).otherwise(1)).cast("int")
+    opening = F.timestamp_add("DAY", 1 - F.day("__local"), F.col("__local"))
+    since = F.floor(F.months_between(low, opening) / months) - 2
+    begin = F.when(F.col("__count").isNull(), F.greatest(F.lit(0), since)).otherwise(0).cast("int")
+    end = (F.floor(F.months_between("__to", opening) / months) + 1).cast("int")
+    wanted = F.coalesce("__month_days", F.array(F.day("__local")))
+
+    def in_month(k: Column) -> Column:
+        month = F.timestamp_add("MONTH", k * months, opening)
+        after = F.timestamp_add("MONTH", k * months + 1, opening)
+        days = F.transform(wanted, lambda d: F.when(d > 0, F.timestamp_add("DAY", d - 1, month)).otherwise(F.timestamp_add("DAY", d, after)))
+        return F.array_sort(F.filter(days, lambda t: F.month(t) == F.month(month)))
+
+    by_month = F.when(end >= begin, F.flatten(F.transform(F.sequence(begin, end), in_month)))
+
+    local = F.when(F.col("__freq").isin("DAILY", "WEEKLY"), by_day).otherwise(by_month)
+    local = F.filter(local, lambda t: (t >= F.col("__local")) & (t <= F.col("__to")))
+    local = F.when(F.col("__count").isNotNull(), F.slice(local, F.lit(1), F.col("__count"))).otherwise(local)
+    real = F.filter(F.transform(local, lambda t: F.to_utc_timestamp(t, F.col("__zone"))), lambda t: ~F.array_contains("__out", t))
+    alone = F.col("__rule").isNull() | F.col("unexpanded").isNotNull()
+    opened = parsed.withColumn("instance_start", F.explode(F.when(alone, F.array("start_ts")).otherwise(real)))
     opened = opened.withColumn("instance_end", F.timestamp_seconds(seconds("instance_start") + F.col("__length")))
-    kept = opened.where((F.col("instance_end") > low) & (F.col("instance_start") < high))
-    return kept.withColumn("instance_id", F.when(
-        F.col("__rule").isNull(), F.col("event_id")).otherwise(instance_id(F.col("event_id"), F.col("instance_start")))
-    ).drop("__rule", "__freq", "__every", "__count", "__until", "__length")
+    inside = (F.col("instance_end") > low) & (F.col("instance_start") < high)
+    kept = opened.where(inside | F.col("unexpanded").isNotNull())
+    hidden = [c for c in kept.columns if c.startswith("__") and c not in events.columns]
+    return kept.withColumn("instance_id", F.when(alone, F.col("event_id")).otherwise(
+        instance_id(F.col("event_id"), F.col("instance_start")))).drop(*hidden)
 
 
 def split_series(events: DataFrame, splits: DataFrame) -> DataFrame:
