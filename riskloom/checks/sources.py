@@ -63,10 +63,10 @@ def src_4(spark, sf):
 
 
 @check("src_6_rewritten", with_views("""
- SELECT doc_id AS response_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 4 < 3 THEN 'clean ' || doc_id ELSE summary END AS summary, location, '7' AS extra,
+ SELECT doc_id AS response_id, CASE WHEN doc_id % 3 = 0 THEN 'clean ' || doc_id ELSE summary END AS summary, location, '7' AS extra,
  CASE WHEN doc_id % 4 = 2 THEN '1' END AS total FROM v_events""", V_EVENTS))
 def src_6(spark, sf):
-    """Replace the summary of every third event inside its body (``{event}`` bodies stay), then read it again."""
+    """Replace the summary of every third event inside its body, whatever the envelope, then read it again."""
     bodies = _bodies(spark, sf)
     fixes = v_events(spark, sf).where(F.col("id").cast("long") % 3 == 0).select(
         F.col("id").cast("long").alias("response_id"), "id", F.concat(F.lit("clean "), "id").alias("summary"),

@@ -203,12 +203,15 @@ def snk_3(spark, sf):
 
 @check("ti_13_precedence", with_views(f"""
  SELECT r.report_id, CASE WHEN c.hash IS NOT NULL THEN 'content' WHEN s.hash IS NOT NULL THEN 'structural' ELSE 'none' END AS matched,
- coalesce(c.report_count, s.report_count) AS report_count FROM v_reports r
- LEFT JOIN (SELECT * FROM v_threats WHERE last_seen + INTERVAL 30 DAY >= {_AS_OF_SQL} AND category <> 'prompt-injection') c ON c.hash = r.content_hash
- LEFT JOIN (SELECT * FROM v_threats WHERE last_seen + INTERVAL 30 DAY >= {_AS_OF_SQL} AND category <> 'prompt-injection') s ON s.hash = r.structural_hash""", V_REPORTS, _REPLAY, _THREATS))
+ coalesce(c.report_count, s.report_count) AS report_count
+ FROM (SELECT report_id, structural_hash, CASE WHEN report_id % 3 = 0 THEN sha256(content_hash) ELSE content_hash END AS content_hash FROM v_reports) r
+ LEFT JOIN (SELECT * FROM v_threats WHERE last_seen + INTERVAL 30 DAY >= {_AS_OF_SQL} ) c ON c.hash = r.content_hash
+ LEFT JOIN (SELECT * FROM v_threats WHERE last_seen + INTERVAL 30 DAY >= {_AS_OF_SQL} ) s ON s.hash = r.structural_hash""", V_REPORTS, _REPLAY, _THREATS))
 def ti_13(spark, sf):
-    known = _threats(spark, sf).where("category <> 'prompt-injection'")
-    rows = v_reports(spark, sf).select("report_id", "content_hash", "structural_hash")
+    """Every third report comes with a content hash that nobody knows, so its shape decides."""
+    known = _threats(spark, sf)
+    other = F.when(F.col("report_id") % 3 == 0, F.sha2("content_hash", 256)).otherwise(F.col("content_hash"))
+    rows = v_reports(spark, sf).select("report_id", other.alias("content_hash"), "structural_hash")
     found = lookup.match_fingerprints(rows, known, AS_OF, 4, F.col("report_id"))
     by_content = found.join(
         lookup.unexpired(known, AS_OF).select(F.col("hash").alias("content_hash"), F.lit(True).alias("c")), "content_hash", "left")

@@ -124,12 +124,17 @@ def rewritten(bodies: DataFrame, fixes: DataFrame, body: str = "body", key: str
     wrapped = F.to_json(F.map_concat(
         F.map_filter(as_object, lambda k, _: k != "events"), F.create_map(F.lit("events"), inner_json)
     ))
+    one = F.from_json(F.to_json(as_object["event"]), obj)
+    wrapped_one = F.to_json(F.map_concat(
+        F.map_filter(as_object, lambda k, _: k != "event"), F.create_map(F.lit("event"), F.parse_json(F.to_json(patch(one))))
+    ))
     single = F.to_json(patch(as_object))
     result = (
         F.when(F.col("__fixes").isNull() | F.try_parse_json(text).isNull(), text)
         .when(F.startswith(F.ltrim(text), F.lit("[")), listed)
         .when(F.coalesce(id_of(as_object), F.lit("")) != "", single)
         .when(as_object["events"].isNotNull(), wrapped)
+        .when(F.coalesce(id_of(one), F.lit("")) != "", wrapped_one)
         .otherwise(text)
     )
     return bodies.join(per_body, key, "left").withColumn(body, result).drop("__fixes")
