@@ -41,7 +41,7 @@ PIECE = 8 << 20
 
 @dataclass(frozen=True)
 class RecurrentModel:
-    frequent: int = 1 << 18
+    frequent: int = 1 << 18  # at most
     classed: int = 1 << 16
     clusters: int = 40
     guides: int = 256
@@ -166,10 +166,25 @@ def _clusters(x: np.ndarray, weight: np.ndarray, k: int, seed: int) -> np.ndarra
     return near
 
 
+def _frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The commonest words, at most ``most``: all above a count, which a histogram of counts (eighths of octaves) gives.
+
+    Only the histogram and these words reach the driver, however many partitions there are.
+    """
+    step = F.floor(F.log2("n") * 8).cast("int")
+    least, held = None, 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r["step"]):
+        held += r["k"]
+        if held > most:
+            break
+        least = r["step"]
+    return counts.where("false") if least is None else counts.where(step >= least)
+
+
 def lexicon(training: DataFrame, counts: DataFrame, plan: RecurrentModel) -> Lexicon:
     total = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     tokens, distinct = int(total[0] or 0), int(total[1])
-    top = counts.orderBy(F.desc("n"), "word").limit(plan.frequent).toPandas()
+    top = _frequent(counts, plan.frequent).toPandas().sort_values(["n", "word"], ascending=[False, True])
     order = np.argsort(top["word"].to_numpy().astype(np.uint64), kind="stable")
     words, n = top["word"].to_numpy().astype(np.uint64)[order], top["n"].to_numpy().astype(np.int64)[order]
     rank = np.empty(len(order), np.int64)
