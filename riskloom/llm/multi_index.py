@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskloom.llm.shared import deliver, in_arrow, kept
+from riskloom.llm.shared import deliver, in_arrow, kept, smallest_hashed
 
 
 @dataclass(frozen=True)
@@ -104,7 +104,7 @@ def visited(query: np.ndarray, left: np.ndarray, right: np.ndarray, sizes: np.nd
 
 def fit(vectors: DataFrame, plan: MultiIndex, k: int) -> Fitted | None:
     """Centroids and coverage from the bounded sample; None without vectors."""
-    rows = vectors.orderBy(F.xxhash64(F.lit(plan.seed), "vec_id"), "vec_id").limit(plan.sample_rows).collect()
+    rows = smallest_hashed(vectors, plan.sample_rows, "vec_id", plan.seed).collect()
     if not rows:
         return None
     ids = np.array([r["vec_id"] for r in rows], np.int64)

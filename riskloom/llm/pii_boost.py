@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.shared import in_arrow
+from riskloom.llm.shared import in_arrow, smallest_hashed
 from riskloom.llm.words import as_large, in_pieces
 
 # Kinds in their order; the first four are found by pattern.
@@ -412,8 +412,8 @@ def _replace(model: Model, at: int, length_at: int):
 def fit(docs: DataFrame, plan: Boosting = Boosting()) -> Model:
     """The model for a table, from a bounded sample of its words (documents with the smallest hashed ids)."""
     words = F.slice(F.split(F.substring("text", 1, 40 * plan.sample_words), " "), 1, plan.sample_words)
-    rows = docs.where("text IS NOT NULL").select(words.alias("words"), F.xxhash64(F.lit(plan.seed), "doc_id").alias("h"), "doc_id")
-    return fitted([r["words"] for r in rows.orderBy("h", "doc_id").limit(plan.sample_rows).collect()], plan)
+    rows = smallest_hashed(docs.select("doc_id", "text"), plan.sample_rows, "doc_id", plan.seed)
+    return fitted([r["words"] or [] for r in rows.select(words.alias("words")).collect()], plan)
 
 
 def found(docs: DataFrame, plan: Boosting = Boosting()) -> DataFrame:
