@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.shared import in_arrow, kept, ordered, ranked, unit_noise
+from riskloom.llm.shared import in_arrow, kept, ordered, ranked, smallest_hashed, unit_noise
 from riskloom.llm.words import Words, hashes, in_pieces, mixed, sums
 
 
@@ -34,13 +34,16 @@ from riskloom.llm.words import Words, hashes, in_pieces, mixed, sums
 class Resampling:
     """``buckets``: hashed n-grams told apart (a power of two); ``share``: part of the rows drawn.
 
-    ``share=None`` takes the share of good documents among the labelled ones.
+    ``share=None`` draws as many rows as have a log-weight of at least the cut that
+    parts good labelled documents from others best, a good one lost counting
+    ``good_counts`` times as much as another one drawn.
     """
 
     buckets: int = 1 << 17
     target_rows: int = 20_000
     smoothing: float = 0.5
     share: float | None = None
+    good_counts: float = 2.0
     seed: int = 4
 
 
@@ -93,7 +96,7 @@ def _labels(labels: DataFrame) -> DataFrame:
 
 def log_ratio(docs: DataFrame, labels: DataFrame, plan: Resampling = Resampling()) -> np.ndarray:
     """log target / raw of every bucket: ``buckets`` numbers, whatever the input."""
-    good = _labels(labels).where("good = 1").orderBy(F.xxhash64(F.lit(plan.seed), "doc_id"), "doc_id").limit(plan.target_rows)
+    good = smallest_hashed(_labels(labels).where("good = 1"), plan.target_rows, "doc_id", plan.seed)
     named = F.broadcast(good.select(F.col("doc_id").alias("__id"), F.lit(True).alias("__good")))
     rows = docs.join(named, F.col("doc_id") == F.col("__id"), "left").select("text", F.coalesce("__good", F.lit(False)).alias("good"))
     counted = in_arrow(rows, _count(plan.buckets), "bucket long, raw long, target long")
@@ -106,15 +109,29 @@ def log_ratio(docs: DataFrame, labels: DataFrame, plan: Resampling = Resampling(
     return smooth(target) - smooth(raw)
 
 
+def _cut(rows: DataFrame, labels: DataFrame, plan: Resampling, reach: int = 1000) -> float:
+    """The log-weight that parts good labelled documents from the others; counted in at most 2 * ``reach`` steps."""
+    step = F.floor(F.greatest(F.least("log_weight", F.lit(float(reach))), F.lit(float(-reach)))).cast("int")
+    counted = rows.select("doc_id", step.alias("step")).join(_labels(labels), "doc_id").groupBy("step", "good").agg(
+        F.count(F.lit(1)).alias("n")).collect()
+    good, other = np.zeros(2 * reach + 2), np.zeros(2 * reach + 2)
+    for r in counted:
+        (good if r["good"] else other)[r["step"] + reach] += r["n"]
+    if not good.any() or not other.any():
+        return float("-inf")
+    lost = np.concatenate(([0], np.cumsum(good)))[:-1] / good.sum()
+    out = np.concatenate(([0], np.cumsum(other)))[:-1] / other.sum()
+    best = int(np.argmax(out - plan.good_counts * lost))
+    return float(best - reach) if best else float("-inf")
+
+
 def resampled(docs: DataFrame, labels: DataFrame, plan: Resampling = Resampling()) -> DataFrame:
     """``doc_id, n_grams, log_weight, key, place, kept`` of every row; ``place`` is the rank by key."""
     ratio = log_ratio(docs, labels, plan)
     weights = in_arrow(docs.select("doc_id", "text"), _weigh(ratio), "doc_id long, n_grams long, log_weight double")
     noise = -F.log(-F.log(unit_noise("doc_id", seed=plan.seed)))
     rows = kept(weights.withColumn("key", F.col("log_weight") + noise), "weights")
-    share = plan.share
-    if share is None:
-        share = _labels(labels).agg(F.avg("good")).first()[0]
-        share = 1.0 if share is None else share
+    drawn = plan.share * rows.count() if plan.share is not None else rows.where(
+        F.col("log_weight") >= _cut(rows, labels, plan)).count()
     ranks = ranked(ordered(rows, F.desc("key"), F.col("doc_id"), name="keys"), F.lit(0), "place")
-    return ranks.withColumn("kept", F.col("place") < F.lit(share) * rows.count()).drop("__row")
+    return ranks.withColumn("kept", F.col("place") < F.lit(drawn)).drop("__row")
