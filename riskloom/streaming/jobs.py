@@ -84,6 +84,16 @@ def quarantine_upserts(
     return _start(events, handle, checkpoint, trigger or {"availableNow": True})
 
 
+def daily_totals(audit: DataFrame, table: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Keep the daily counts of a growing audit table, one table version per batch.
+
+    The state holds one number per (day, action, level, rule), however many rows arrive.
+    """
+    started = daily_counts(audit).writeStream.outputMode("complete").foreachBatch(
+        lambda batch, batch_id: write_version(batch, table, batch_id))
+    return started.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def daily_counts(audit: DataFrame, watermark: str = "1 day") -> DataFrame:
     """Streaming counts per UTC day, action, level and rule."""
     opened = audit.withWatermark("ts", watermark).select(
