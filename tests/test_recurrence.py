@@ -9,8 +9,8 @@ from riskloom.operators.recurrence import instances
 SCHEMA = "event_id string, start_ts timestamp, end_ts timestamp, recurrence array<string>, zone string"
 
 
-def starts(spark, rule, begin, low, high, zone=None, **options):
-    row = ("e", begin, begin.replace(minute=begin.minute + 30), rule, zone)
+def starts(spark, rule, begin, low, high, place=None, **options):
+    row = ("e", begin, begin.replace(minute=begin.minute + 30), rule, place)
     found = instances(spark.createDataFrame([row], SCHEMA), low, high, **options)
     return [(r["instance_start"], r["unexpanded"]) for r in found.orderBy("instance_start").collect()]
 

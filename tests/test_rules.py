@@ -72,7 +72,8 @@ def test_many_matches_keep_exact_offsets(spark):
     rows = scanned(spark, [unit * 500], ScanConfig(max_detections=None))
     offsets = [d.offset for d in rows[0].detections if d.rule_id == "CTX-003"]
     assert offsets == [i * len(unit) for i in range(500)]
-    assert len(scanned(spark, [unit * 500])[0].detections) == 50
+    assert len(scanned(spark, [unit * 500])[0].detections) == 500
+    assert len(scanned(spark, [unit * 500], ScanConfig(max_detections=50))[0].detections) == 50
 
 
 def test_whole_text_is_scanned_unless_bounded(spark):
