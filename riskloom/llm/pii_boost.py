@@ -19,6 +19,7 @@ columns are ignored by :func:`found` and kept by :func:`redacted`.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -43,10 +44,13 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 
 _GROUPS = re.compile(r"(?<![0-9A-Za-z])\(?[0-9]++\)?(?:[ ./-]{1,2}\(?[0-9]++\)?)*+")
 _NUMBER = re.compile(r"[0-9]+")
-_ACCOUNT = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){2,8}+")
+_ACCOUNT = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?=(?: ?[A-Z0-9]){11})")
+_ACCOUNT_GROUP = re.compile(r" ?[A-Z0-9]++(?![a-z])")
 _SPELLED = re.compile(r"( at |\(at\)| ?\[at\] ?)([A-Za-z0-9-]+)((?: dot | ?\(dot\) ?| ?\[dot\] ?)[A-Za-z]+)+")
-#: Groups of digits in one proposed span; a longer run of groups is proposed part by part.
-_MOST_GROUPS = 5
+#: Digits of a proposed number, and letters and digits of a proposed account.
+_NUMBER_SIZES, _ACCOUNT_SIZES = (7, 15), (15, 34)
+#: Candidates of one text whose features are held at once.
+_SCORED = 1 << 14
 
 _CUES = (
     re.compile(r"(?:tel|phone|call|mobile|cell|fax|ring|dial)\W*\Z", re.I),
@@ -110,15 +114,13 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     out = set()
     for m in _GROUPS.finditer(text):
         parts = [(p.start(), p.end()) for p in _NUMBER.finditer(text, m.start(), m.end())]
-        if len(parts) == 1 and not 7 <= parts[0][1] - parts[0][0] <= 15:
-            continue
         for i in range(len(parts)):
             digits = 0
-            for j in range(i, min(len(parts), i + _MOST_GROUPS)):
+            for j in range(i, len(parts)):
                 digits += parts[j][1] - parts[j][0]
-                if digits > 15:
+                if digits > _NUMBER_SIZES[1]:
                     break
-                if digits < 7:
+                if digits < _NUMBER_SIZES[0]:
                     continue
                 begin, end = parts[i][0], parts[j][1]
                 if begin > 0 and text[begin - 1] == "(" and text.find(")", begin, end) >= 0:
@@ -126,8 +128,15 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
                 shape = [b - a for a, b in parts[i: j + 1]]
                 out.add((begin, 4 if shape == [3, 2, 4] else 3, end))
     for m in _ACCOUNT.finditer(text):
-        if 15 <= len(m[0].replace(" ", "")) <= 34:
-            out.add((m.start(), 5, m.end()))
+        # Every end at which no letter or digit follows: the word after an account may look like a group of it.
+        size, group = 4, _ACCOUNT_GROUP.match(text, m.end())
+        while group:
+            size += len(group[0].lstrip(" "))
+            if size > _ACCOUNT_SIZES[1]:
+                break
+            if size >= _ACCOUNT_SIZES[0]:
+                out.add((m.start(), 5, group.end()))
+            group = _ACCOUNT_GROUP.match(text, group.end())
     if "dot" in text:
         for m in _SPELLED.finditer(text):
             local = _LOCAL.search(text, max(0, m.start() - 64), m.start())
@@ -264,7 +273,8 @@ def _render(rng: np.random.Generator) -> tuple[str, str, bool]:
         cue = pick("tel", "Tel:", "phone", "call", "mobile", "fax:", "", "")
         return cue, pick(
             f"({d(3, 2)}) {d(3, 2)}-{d(4)}", f"{d(3, 2)}-{d(3, 2)}-{d(4)}", f"{d(3, 2)}.{d(3, 2)}.{d(4)}", f"({d(3, 2)}) {d(3, 2)} {d(4)}",
-            f"0{d(2, 1)} {d(4)} {d(4)}", f"0{d(4, 1)} {d(6)}"), True
+            f"0{d(2, 1)} {d(4)} {d(4)}", f"0{d(4, 1)} {d(6)}", f"0{d(1, 1)} {d(2)} {d(2)} {d(2)} {d(2)}",
+            f"00 {d(2, 1)} {d(1, 1)} {d(2)} {d(2)} {d(2)} {d(2)}"), True
     if kind == 2:
         return pick("ssn", "SSN:", "social security number", "", ""), f"{rng.integers(1, 665):03d}-{rng.integers(1, 99):02d}-{rng.integers(1, 9999):04d}", True
     if kind == 3:
@@ -283,7 +293,7 @@ def _render(rng: np.random.Generator) -> tuple[str, str, bool]:
     return pick("on", "since", "version", "page", "order", "total", "no", "isbn", "price", "", "", ""), pick(
         f"{year}-{two(13)}-{two(29)}", f"{two(29)}.{two(13)}.{year}", f"{two(13)}/{two(29)}/{year}", f"{year}-{rng.integers(1900, 2100)}",
         f"{number(99)} {d(3)} {d(3)}", f"{number(9)}.{number(99)}.{number(9999)}", f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{d(7, 1)}", f"{d(10, 1)}",
-        f"{d(12, 1)}", f"{d(3)} {d(3)} {d(3)} {d(3)}", f"{number(99)}-{number(99)}-{number(9999)}", f"{year} {year} {year}", f"999-{d(2)}-{d(4)}",
+        f"{d(12, 1)}", " ".join(number(99) for _ in range(rng.integers(4, 9))), f"{d(3)} {d(3)} {d(3)} {d(3)}", f"{number(99)}-{number(99)}-{number(9999)}", f"{year} {year} {year}", f"999-{d(2)}-{d(4)}",
         f"000-{d(2)}-{d(4)}", f"{d(3)}.{d(3)}.{d(3)}.{d(3)}", f"{d(4)}-{d(4)}-{d(4)}-{d(4)}", f"{number(999)} / {number(999)} / {number(999)} / {number(999)}",
         f"XX{d(20)}", f"AB{d(16)}", f"{year}{two(13)}{two(29)}", f"{year}-{two(13)}-{two(29)} {two(24)}.{two(60)}.{two(60)}"), False
 
@@ -331,15 +341,20 @@ def all_spans(text: str, model: Model) -> list[tuple[int, int, int, bool]]:
         last = np.searchsorted(starts, [c[2] for c in offered], side="left") - 1
         offered = [c for c, k in zip(offered, last, strict=True) if k < 0 or reach[k] <= c[0]]
     if offered:
-        score = model.score(np.array([features(text, c) for c in offered], np.float64))
+        score = np.concatenate([
+            model.score(np.array([features(text, c) for c in offered[k: k + _SCORED]], np.float64))
+            for k in range(0, len(offered), _SCORED)])
         chosen: list[tuple[int, int, int, bool]] = []
         end, held = -1, []
 
         def settle() -> None:
-            taken: list[tuple[int, int]] = []
+            starts: list[int] = []
+            ends: list[int] = []
             for _, c in sorted(held, key=lambda x: (-x[0], x[1])):
-                if all(c[2] <= a or c[0] >= b for a, b in taken):
-                    taken.append((c[0], c[2]))
+                k = bisect_left(starts, c[2])
+                if k == 0 or ends[k - 1] <= c[0]:
+                    starts.insert(k, c[0])
+                    ends.insert(k, c[2])
                     chosen.append((*c, False))
 
         for s, c in zip(score, offered, strict=True):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 import pytest
 
-from riskloom.llm import chosen_path
+from riskloom.llm import chosen_path, pii_boost
 from riskloom.llm.words import PIECE_BYTES
 
 
@@ -24,3 +24,33 @@ def test_a_short_text_before_one_above_a_piece():
         batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": [short, long]})
         for work in (chosen_path._draw(3), chosen_path._full):
             assert [n for b in work(iter([batch])) for n in b.column(0).to_pylist()] == [1, 2]
+
+
+# ---- personal data ----------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def model():
+    return pii_boost.fitted([["the", "house", "and", "a", "tree", "in", "the", "garden", "of", "time"]])
+
+
+@pytest.mark.parametrize("account", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00"])
+@pytest.mark.parametrize("after", [" The bank", " Bank of it", " 2024 was good", " A", ". Then", " thanks", ""])
+def test_accounts_before_capitals_and_digits(model, account, after):
+    text = f"IBAN: {account}{after}"
+    assert (6, 5, 6 + len(account)) in pii_boost.candidates(text)
+    assert [(pii_boost.KINDS[k], text[a:b]) for a, k, b, _ in pii_boost.all_spans(text, model)] == [("iban", account)]
+
+
+def test_accounts_end_where_no_letter_or_digit_follows():
+    text = "XX12 DE89 3704 0044 0532 0130 00 Bank"
+    for a, k, b in pii_boost.candidates(text):
+        assert k != 5 or (not text[b:b + 1].isalnum() and 15 <= len(text[a:b].replace(" ", "")) <= 34)
+    assert (5, 5, 32) in pii_boost.candidates(text)
+
+
+def test_numbers_of_many_groups_are_offered_whole(model):
+    number = "00 33 1 23 45 67 89"
+    text = f"please call tel {number} today"
+    assert (16, 3, 16 + len(number)) in pii_boost.candidates(text)
+    assert [text[a:b] for a, _, b, _ in pii_boost.all_spans(text, model)] == [number]
