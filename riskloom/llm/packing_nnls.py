@@ -7,7 +7,9 @@ counts are rounded to what the histogram has; and what is left is packed greedil
 in the histogram (longest first, with the longest that still fits), again as
 repeated combinations. All of this works on at most window / unit counts, however
 many documents there are. The pieces then take their places by their rank within
-their length: one global order and no group gathered anywhere.
+their length: one global order and no group gathered anywhere. Places are worked
+out on rows without ids; the ids travel as bytes, by piece to the place and with
+it to the sequence, where :func:`filled` joins and pads them.
 
 Defined results: a null or empty text is its end id alone; a document longer than
 the window is cut into whole windows and a rest; repeated rows are packed each; an
@@ -29,7 +31,7 @@ from pyspark.sql.window import Window
 
 from riskloom.llm.shared import in_arrow, kept, ordered, ranked
 from riskloom.llm.tokens import encoder, pieces_of, tokenizer_path
-from riskloom.llm.words import in_pieces
+from riskloom.llm.words import in_pieces, ranges
 
 WINDOW = 2048
 UNIT = 8
@@ -39,6 +41,11 @@ END_ID = 1
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+def _kind(path: str) -> str:
+    """How ids are stored on the way: two bytes each where the tokenizer's ids fit."""
+    return "<u2" if encoder(path).whole.get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def _cut(path: str, window: int, end_id: int, with_ids: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -51,8 +58,10 @@ def _cut(path: str, window: int, end_id: int, with_ids: bool):
                 pa.array(crc, pa.int64()), pa.array(size, pa.int64())]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             if with_ids:
-                bounds = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids)))
+                stored = np.ascontiguousarray(ids, _kind(path))
+                bounds = (np.concatenate(([0], np.cumsum(length))) * stored.itemsize).astype(np.int32)
+                columns.append(pa.Array.from_buffers(
+                    pa.binary(), len(length), [None, pa.py_buffer(bounds), pa.py_buffer(stored.tobytes())]))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -60,10 +69,10 @@ def _cut(path: str, window: int, end_id: int, with_ids: bool):
 
 
 def pieces(
-    docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, end_id: int = END_ID, with_ids: bool = False
+    docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, end_id: int = END_ID, with_ids: bool = True
 ) -> DataFrame:
-    """The pieces of every document; with their ids if asked for. One narrow stage."""
-    schema = PIECE + (", ids array<int>" if with_ids else "")
+    """The pieces of every document with their ids as bytes, or without where asked for. One narrow stage."""
+    schema = PIECE + (", ids binary" if with_ids else "")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return in_arrow(rows, _cut(tokenizer or tokenizer_path(), window, end_id, with_ids), schema)
 
@@ -182,15 +191,38 @@ def _seat(places: dict):
     return work
 
 
+def _read(kind: str):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("ids")
+            flat = np.frombuffer(b"".join(batch.column(at).to_pylist()), kind).astype(np.int32)
+            length = batch.column(batch.schema.get_field_index("length")).to_numpy(zero_copy_only=False)
+            bounds = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
+            columns = list(batch.columns)
+            columns[at] = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return work
+
+
 def packed(
     docs: DataFrame, window: int = WINDOW, unit: int = UNIT, depth: int = DEPTH, tokenizer: str | None = None,
-    end_id: int = END_ID, with_ids: bool = False,
+    end_id: int = END_ID, with_ids: bool = True,
 ) -> DataFrame:
-    """The pieces with ``sequence_id`` (gapless from 0) and ``offset`` in the sequence."""
+    """The pieces with ``sequence_id`` (gapless from 0) and ``offset`` in the sequence, and their ids."""
+    tokenizer = tokenizer or tokenizer_path()
+    rows = _placed(docs, window, unit, depth, tokenizer, end_id, with_ids)
+    schema = ", ".join(f"`{n}` {'array<int>' if n == 'ids' else k}" for n, k in rows.dtypes)
+    return in_arrow(rows, _read(_kind(tokenizer)), schema) if with_ids else rows
+
+
+def _placed(docs: DataFrame, window: int, unit: int, depth: int, tokenizer: str, end_id: int, with_ids: bool) -> DataFrame:
+    """Rows of :func:`packed` with ids as bytes."""
     if window % unit:
         raise ValueError("the unit must divide the window")
     cut = pieces(docs, window, tokenizer, end_id, with_ids).withColumn("units", F.ceil(F.col("length") / unit).cast("int"))
-    rows = kept(cut, "pieces")
+    whole = kept(cut.withColumn("__piece", F.monotonically_increasing_id()), "pieces")
+    rows = whole.drop("ids")
     histogram = {r["units"]: r["n"] for r in rows.groupBy("units").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = _places(plan(histogram, window // unit, depth))
     keys = [F.col("units"), F.xxhash64("doc_id", "start"), F.col("doc_id"), F.col("start"), F.col("ids_crc32")]
@@ -198,7 +230,10 @@ def packed(
     schema = ", ".join(f"`{n}` {k}" for n, k in numbered.dtypes) + ", sequence_id long"
     seated = in_arrow(numbered, _seat(places), schema)
     before = Window.partitionBy("sequence_id").orderBy(F.desc("units"), "__row").rowsBetween(Window.unboundedPreceding, -1)
-    return seated.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("units", "rank", "__row")
+    placed = seated.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("units", "rank", "__row")
+    if with_ids:
+        placed = placed.join(whole.select("__piece", "ids"), "__piece")
+    return placed.drop("__piece")
 
 
 def sequences(packed_rows: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:
@@ -212,3 +247,65 @@ def sequences(packed_rows: DataFrame, window: int = WINDOW, pad_id: int = 0) ->
     n = F.size("ids")
     padded = F.concat("ids", F.array_repeat(F.lit(pad_id), F.lit(window) - n))
     return rows.withColumn("ids", F.when(n.bitwiseAND(n - 1) == 0, F.col("ids")).otherwise(padded))
+
+
+def _fill(kind: str, window: int, pad_id: int):
+    """Pieces by sequence and offset: their ids joined and padded, and each measured where it lies."""
+    def made(rows: pa.Table) -> pa.RecordBatch:
+        col = {n: rows.column(n).to_numpy() for n in ("sequence_id", "length")}
+        length, first = col["length"], np.flatnonzero(np.diff(col["sequence_id"], prepend=-1))
+        used = np.add.reduceat(length, first)
+        size = np.where(used & (used - 1) == 0, used, window)
+        bounds = np.concatenate(([0], np.cumsum(size)))
+        flat = np.full(bounds[-1], pad_id, "<u4")
+        flat[ranges(bounds[:-1], used)] = np.frombuffer(b"".join(rows.column("ids").to_pylist()), kind)
+        count = np.diff(np.append(first, len(length)))
+        ahead = np.cumsum(length) - length
+        offset = ahead - np.repeat(ahead[first], count)
+        at, view = (np.repeat(bounds[:-1], count) + offset).tolist(), memoryview(flat).cast("B")
+        crc = [zlib.crc32(view[4 * a: 4 * (a + n)]) for a, n in zip(at, length.tolist(), strict=True)]
+        # Each sequence comes once, with its first piece.
+        shown = np.full(len(length), -1, np.int64)
+        shown[first] = np.arange(len(first))
+        whole = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))
+        own = {"ids_crc32": pa.array(crc, pa.int64()), "offset": pa.array(offset, pa.int64()),
+               "sequence": whole.take(pa.array(shown, mask=shown < 0))}
+        return pa.RecordBatch.from_arrays(
+            [own[n] if n in own else rows.column(n).combine_chunks() for n in _FILLED], names=list(_FILLED))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            # The last sequence may go on in the next batch.
+            number = rows.column("sequence_id").to_numpy()
+            cut = int(np.searchsorted(number, number[-1]))
+            if cut:
+                yield made(rows.slice(0, cut))
+            held = rows.slice(cut)
+        if held is not None:
+            yield made(held)
+
+    return work
+
+
+_FILLED = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence")
+
+
+def filled(
+    docs: DataFrame, window: int = WINDOW, unit: int = UNIT, depth: int = DEPTH, tokenizer: str | None = None,
+    end_id: int = END_ID, pad_id: int = 0,
+) -> DataFrame:
+    """Every sequence padded like those of :func:`sequences`, beside its first piece, and the pieces that lie in them.
+
+    ``length`` ids from ``offset`` on in the sequence are the piece's, and
+    ``ids_crc32`` is theirs as they lie there; ``sequence`` is null beside the
+    other pieces. A task holds one batch of pieces at a time.
+    """
+    tokenizer = tokenizer or tokenizer_path()
+    rows = _placed(docs, window, unit, depth, tokenizer, end_id, True)
+    dealt = rows.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+    return in_arrow(dealt, _fill(_kind(tokenizer), window, pad_id), PIECE + ", sequence_id long, offset long, sequence array<int>")

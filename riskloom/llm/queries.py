@@ -114,7 +114,7 @@ def op5(spark, sf):
 def op6(spark, sf):
     from riskloom.llm import packing_nnls
 
-    return packing_nnls.packed(table(spark, sf, "documents")).select(
+    return packing_nnls.filled(table(spark, sf, "documents")).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

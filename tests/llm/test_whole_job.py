@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from riskloom.llm import chosen_path, pii_boost
+import corpus_pipeline
+from riskloom.llm import chosen_path, packing_nnls, pii_boost
 from riskloom.llm.words import PIECE_BYTES
 
 
@@ -54,3 +58,26 @@ def test_numbers_of_many_groups_are_offered_whole(model):
     text = f"please call tel {number} today"
     assert (16, 3, 16 + len(number)) in pii_boost.candidates(text)
     assert [text[a:b] for a, _, b, _ in pii_boost.all_spans(text, model)] == [number]
+
+
+# ---- packing ----------------------------------------------------------------------------------------------------------
+
+
+def test_the_last_stage_holds_padded_sequences(spark):
+    from tests.llm.test_operators import encoded
+
+    rows = [(k, f"word{k} " * (7 * k)) for k in range(40)] + [(50, None), (51, "long text " * 3000), (3, "word3 " * 21)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = corpus_pipeline.packing(spark, docs, "").collect()
+    whole = {r["sequence_id"]: list(r["sequence"]) for r in out if r["sequence"] is not None}
+    assert sorted(whole) == sorted({r["sequence_id"] for r in out}) and len(whole) == sum(r["sequence"] is not None for r in out)
+    texts, got = dict(rows), {}
+    for r in out:
+        ids = whole[r["sequence_id"]][r["offset"]: r["offset"] + r["length"]]
+        assert ids == encoded(texts[r["doc_id"]], 1)[r["start"]: r["start"] + r["length"]] and len(ids) == r["length"]
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+    assert got == {d: len(encoded(t, 1)) * (2 if d == 3 else 1) for d, t in texts.items()}
+    for k, ids in whole.items():
+        used = sum(r["length"] for r in out if r["sequence_id"] == k)
+        assert len(ids) == (used if used & (used - 1) == 0 else packing_nnls.WINDOW) and not any(ids[used:])
