@@ -10,6 +10,13 @@ inside itself; over strata and rules the level is divided (Bonferroni), and the
 share of false rejections allowed is split over the rules. So with probability
 ``1 - delta`` no stratum loses more than ``alpha`` of its good documents.
 
+That split asks for many labels of every stratum. With ``joint`` the loss is
+controlled as a whole: one sequence of combinations of cutoffs is tested against
+``alpha`` on the good documents that any rule rejects, and the level is divided
+over the strata alone. The sequence is fixed without a look at the good documents:
+first the steps that reject labelled bad documents, those that spare most
+unlabelled ones before others, then the remaining cutoffs. The last combination before the first failure holds.
+
 Defined results: a null text is an empty text (no words, fails the base); labels
 that are null, or that name no document, are ignored; a document labelled twice
 counts once, as good only if every label says so; a null stratum is its own; with no certified cutoff a
@@ -19,10 +26,12 @@ rule rejects nothing; repeated rows are judged alike; extra columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from riskloom.llm.shared import kept
@@ -154,13 +163,88 @@ def certified(rows: DataFrame, labels: DataFrame, control: RiskControl) -> DataF
     return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, control: RiskControl = RiskControl(), stratum: str = "lang") -> DataFrame:
+Counted = list[tuple[tuple[int, ...], int]]
+
+
+def sequence(bad: Counted, other: Counted, sizes: list[int]) -> Iterator[tuple[int, ...]]:
+    """Combinations from loose to strict: per rule the place of its cutoff, -1 for none.
+
+    ``bad`` and ``other`` count bad and unlabelled documents by the place of the
+    first cutoff of each rule that rejects them (the number of cutoffs where none
+    does). The rule is tightened that can reject most bad documents, against the
+    share of the unlabelled ones; then the rest, those that reject fewest unlabelled first.
+    """
+    at = [-1] * len(sizes)
+    n_bad, n_other = sum(n for _, n in bad), max(1, sum(n for _, n in other))
+
+    def hit(counted: Counted, r: int, place: int) -> int:
+        return sum(n for f, n in counted if f[r] <= place)
+
+    while any(k < size - 1 for k, size in zip(at, sizes, strict=True)):
+        steps = []
+        for r, size in enumerate(sizes):
+            places = {f[r] for f, _ in bad if f[r] < size}
+            if places:
+                gain = max(hit(bad, r, p) / (1 + n_bad * hit(other, r, p) / n_other) for p in places)
+                steps.append((-gain, r, min(places)))
+        if steps:
+            _, r, at[r] = min(steps)
+        else:
+            _, _, r = min((hit(other, r, at[r] + 1), (at[r] + 1) / size, r) for r, size in enumerate(sizes) if at[r] < size - 1)
+            at[r] += 1
+        bad, other = ([(f, n) for f, n in rows if f[r] > at[r]] for rows in (bad, other))
+        yield tuple(at)
+
+
+def tail(n: int, k: int, share: float) -> float:
+    """P(X <= k) of X ~ Bin(n, share), like :func:`binomial_tail`."""
+    odds, t = math.log(share) - math.log1p(-share), n * math.log1p(-share)
+    terms = [t]
+    for i in range(1, k + 1):
+        t += math.log((n - i + 1) / i) + odds
+        terms.append(t)
+    return math.fsum(map(math.exp, terms))
+
+
+def jointly_certified(rows: DataFrame, labels: DataFrame, control: RiskControl) -> DataFrame:
+    """Like :func:`certified`, with the loss of all rules together held to ``alpha``.
+
+    Documents are counted by the cutoffs they meet; the driver gets those
+    counts, whose number is bounded by strata and cutoffs.
+    """
+    told = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
+    passed = rows.where(~base_failed())
+    held = passed.join(told, "doc_id").dropDuplicates(["doc_id"]).select(*rows.columns, "good").unionByName(
+        passed.join(told, "doc_id", "left_anti").withColumn("good", F.lit(None).cast("boolean")))
+    values, rules = features(), list(control.cutoffs)
+    first = [sum(((values[r] <= F.lit(c)).cast("int") for c in control.cutoffs[r]), F.lit(0)).alias(f"first_{r}") for r in rules]
+    counts: dict = {}
+    for row in held.select("stratum", "good", *first).groupBy("stratum", "good", *(f"first_{r}" for r in rules)).count().collect():
+        counts.setdefault(row["stratum"], {True: [], False: [], None: []})[row["good"]].append((tuple(row[f"first_{r}"] for r in rules), row["count"]))
+    strata = sum(bool(c[True]) for c in counts.values())
+    made = []
+    for name, c in counts.items():
+        n, best = sum(m for _, m in c[True]), None
+        for combination in sequence(c[False], c[None], [len(control.cutoffs[r]) for r in rules]) if n else ():
+            k = sum(m for f, m in c[True] if any(a <= b for a, b in zip(f, combination, strict=True)))
+            if k > n * control.alpha or tail(n, k, control.alpha) > control.delta / strata:
+                break
+            best = combination
+        if best:
+            made.append((name, {r: float(control.cutoffs[r][k]) for r, k in zip(rules, best, strict=True) if k >= 0}))
+    schema = StructType([rows.schema["stratum"], StructField("cutoffs", MapType(StringType(), DoubleType()))])
+    return rows.sparkSession.createDataFrame(made, schema)
+
+
+def judged(
+    docs: DataFrame, labels: DataFrame, control: RiskControl = RiskControl(), stratum: str = "lang", joint: bool = False,
+) -> DataFrame:
     """Measures of every row with ``base_failed``, ``rejected_by`` (rules) and ``kept``.
 
     Measures are kept once as a narrow table; texts are read once and never shuffled.
     """
     rows = kept(measured(docs, stratum), "measures")
-    cutoffs = kept(certified(rows, labels, control), "cutoffs").withColumnRenamed("stratum", "__stratum")
+    cutoffs = kept((jointly_certified if joint else certified)(rows, labels, control), "cutoffs").withColumnRenamed("stratum", "__stratum")
     found = rows.join(cutoffs, F.col("stratum").eqNullSafe(F.col("__stratum")), "left").drop("__stratum")
     values = features()
     hits = F.array_compact(F.array(*(
@@ -170,8 +254,10 @@ def judged(docs: DataFrame, labels: DataFrame, control: RiskControl = RiskContro
         "kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("cutoffs")
 
 
-def filtered(docs: DataFrame, labels: DataFrame, control: RiskControl = RiskControl(), stratum: str = "lang") -> DataFrame:
+def filtered(
+    docs: DataFrame, labels: DataFrame, control: RiskControl = RiskControl(), stratum: str = "lang", joint: bool = False,
+) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns."""
-    keep = judged(docs, labels, control, stratum).where("kept").select("row_key")
+    keep = judged(docs, labels, control, stratum, joint).where("kept").select("row_key")
     keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
     return keyed.join(keep, "row_key", "left_semi").select(*docs.columns)

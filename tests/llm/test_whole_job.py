@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from riskloom.llm import chosen_path, packing_nnls, pii_boost
+from riskloom.llm import chosen_path, packing_nnls, pii_boost, quality_rules
 from riskloom.llm.words import PIECE_BYTES
 
 
@@ -81,3 +81,33 @@ def test_the_last_stage_holds_padded_sequences(spark):
     for k, ids in whole.items():
         used = sum(r["length"] for r in out if r["sequence_id"] == k)
         assert len(ids) == (used if used & (used - 1) == 0 else packing_nnls.WINDOW) and not any(ids[used:])
+
+
+# ---- quality rules ----------------------------------------------------------------------------------------------------
+
+
+def test_strata_with_few_labels_lose_their_junk(spark, tmp_path):
+    from tests.llm.test_operators import sentence
+
+    rng, rows = np.random.default_rng(2), []
+    for k in range(4 * 360):
+        text = sentence(rng, 40)
+        rows.append((k, text.replace(" ", " % ", 8) if k % 9 == 0 else text, ("en", "de", "fr", "es")[k % 4]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k % 9 > 0), 0) for k in range(len(rows))], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    kept = {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()}
+    assert not any(k in kept for k in range(0, len(rows), 9))
+    for lang in range(4):
+        good = [k for k in range(len(rows)) if k % 9 and k % 4 == lang]
+        assert sum(k not in kept for k in good) <= 0.02 * len(good)
+
+
+def test_the_joint_level():
+    sizes = [2, 2]
+    assert list(quality_rules.sequence([((2, 1), 5)], [], sizes)) == [(-1, 1), (0, 1), (1, 1)]
+    # The step that also takes most of the unlabelled documents comes last, however many bad ones it rejects.
+    assert next(quality_rules.sequence([((0, 2), 6), ((2, 0), 4)], [((0, 2), 90), ((2, 2), 10)], sizes)) == (-1, 0)
+    assert list(quality_rules.sequence([], [], sizes)) == [(0, -1), (0, 0), (1, 0), (1, 1)]
+    assert quality_rules.tail(217, 0, 0.02) <= 0.05 / 4 < quality_rules.tail(216, 0, 0.02)
+    assert abs(quality_rules.tail(10, 10, 0.3) - 1) < 1e-12
