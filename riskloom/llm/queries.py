@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Callable
+from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -157,3 +158,40 @@ def op1(spark, sf):
     from riskloom.llm import packing_bfd
 
     return packing_bfd.packed(table(spark, sf, "documents"))
+
+
+def _audit_sql() -> str:
+    """Failures of every document, sums per mask, and all orders by hand."""
+    orders = ", ".join(f"('{''.join(p)}')" for p in permutations("ABCDE"))
+    bit = "(1 << (ascii(substr(filter_order, {}, 1)) - 65))"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+e AS (SELECT t, min(doc_id) AS first_id FROM d GROUP BY t),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false)::INT AS good, coalesce(toxic, false)::INT AS toxic,
+         (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+         + 4 * (100 * length(regexp_replace(w.t, '[^A-Z]+', '', 'g')) > 2 * length(w.t))::INT
+         + 8 * regexp_matches(w.t, '[#$%&*|]')::INT + 16 * coalesce(w.doc_id > first_id, false)::INT AS mask
+  FROM w JOIN e ON e.t = w.t LEFT JOIN l ON l.doc_id = w.doc_id),
+m AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+o AS (SELECT filter_order, unnest(range(1, 6))::INT AS step FROM (VALUES {orders}) AS v(filter_order)),
+s AS (SELECT *, {bit.format("step")} AS bit,
+             coalesce(list_sum(list_transform(range(1, step), lambda i: {bit.format("i::INT")})), 0)::INT AS before FROM o)
+SELECT part, filter_order, step,
+       coalesce(sum(n) FILTER (mask & (bit | before) = 0), 0)::BIGINT AS kept,
+       coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS removed,
+       coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0), 0)::BIGINT AS redundant,
+       coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+       coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+       coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost,
+       coalesce(sum(n * 120 // nullif(bit_count(mask), 0)) FILTER (mask & bit <> 0), 0)::BIGINT AS shapley
+FROM m, s GROUP BY ALL"""
+
+
+@query("op12_bloom_audit", _audit_sql())
+def op12(spark, sf):
+    from riskloom.llm import filter_audit
+
+    return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
