@@ -195,3 +195,10 @@ def op12(spark, sf):
     from riskloom.llm import filter_audit
 
     return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op13_block_whitening")
+def op13(spark, sf):
+    from riskloom.llm import whitening
+
+    return whitening.whitened(table(spark, sf, "embeddings"))
