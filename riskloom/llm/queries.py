@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import string
 import uuid
 from collections.abc import Callable
 from itertools import permutations
@@ -17,6 +18,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
+_UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
+
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def keep(run: Query) -> Query:
@@ -202,3 +205,58 @@ def op13(spark, sf):
     from riskloom.llm import whitening
 
     return whitening.whitened(table(spark, sf, "embeddings"))
+
+
+def _urls_sql() -> str:
+    """Rules, counts of symbols (hex pairs) after contexts, Witten-Bell odds order by order, and the calibrated cutoff."""
+    from riskloom.llm.url_models import RULES, SYMBOLS, UrlPlan
+
+    plan = UrlPlan()
+    values = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in RULES)
+    folds = ", ".join(f"'{c}'" for c in plan.held_out)
+    odds = f"1.0 / {SYMBOLS}"
+    joins = ""
+    for k in range(plan.order + 1):
+        context = f"substr(s, 2 * (i - {k}) + 1, {2 * k})" if k else "''"
+        fits = "" if k == 0 else f" AND i >= {k}"
+        joins += (f" LEFT JOIN c c{k} ON c{k}.verdict = y.verdict AND c{k}.context = {context}{fits}"
+                  f" LEFT JOIN n n{k} ON n{k}.verdict = y.verdict AND n{k}.context = {context} AND n{k}.symbol = y.symbol{fits}")
+        odds = (f"CASE WHEN c{k}.total IS NULL THEN {odds} ELSE (coalesce(n{k}.n, 0) + c{k}.kinds * ({odds})) / (c{k}.total + c{k}.kinds) END")
+    return rf"""
+WITH a AS (SELECT page_id, coalesce(url, '') AS u, strpos(coalesce(url, ''), '://') AS k FROM pages),
+b AS (SELECT *, CASE WHEN k > 0 THEN substr(u, k + 3) ELSE '' END AS t FROM a),
+p AS (SELECT row_number() OVER () AS id, page_id, translate(regexp_extract(t, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host,
+             regexp_extract(t, '^[^/?#]*([^?#]*)', 1) AS path,
+             translate(CASE WHEN k > 0 THEN t ELSE u END, '{_UPPER}', '{_LOWER}') AS text FROM b),
+r AS (SELECT * FROM (VALUES {values}) AS v(verdict, rule, host, prefix)),
+f AS (SELECT id, arg_max(rule, len(rule)) AS rule, arg_max(verdict, len(rule)) AS verdict
+      FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(path, prefix) GROUP BY id),
+u AS (SELECT p.*, f.rule, f.verdict, left(md5(text), 1) IN ({folds}) AS held, '^^' || hex(encode(text)) || '$$' AS s
+      FROM p LEFT JOIN f ON f.id = p.id),
+x AS (SELECT id, s, verdict, held, unnest(range(1, len(s) // 2)) AS i FROM u),
+g AS (SELECT verdict, substr(s, 2 * i + 1, 2) AS symbol, unnest(list_transform(
+        range(0, least(i, {plan.order}) + 1), lambda k: substr(s, 2 * (i - k)::INT + 1, 2 * k::INT))) AS context
+      FROM x WHERE verdict IS NOT NULL AND NOT held),
+n AS (SELECT verdict, context, symbol, count(*)::DOUBLE AS n FROM g GROUP BY ALL),
+c AS (SELECT * FROM (SELECT verdict, context, sum(n) AS total, count(*) AS kinds FROM n GROUP BY ALL) AS q
+      WHERE context = '' OR (total >= {plan.least_count} AND total >= {plan.least_share!r} * (
+        SELECT sum(n) FROM n WHERE n.verdict = q.verdict AND context = ''))),
+y AS (SELECT x.id, s, i, substr(s, 2 * i + 1, 2) AS symbol, v.verdict FROM x, (VALUES ('allow'), ('block')) AS v(verdict)),
+z AS (SELECT y.id, y.verdict, log10({odds}) AS gain FROM y{joins}),
+e AS (SELECT id, sum(CASE WHEN verdict = 'allow' THEN gain ELSE -gain END) / (count(*) / 2) AS score FROM z GROUP BY id),
+h AS (SELECT floor(score * {plan.steps}) AS step, count(*) FILTER (verdict = 'allow') AS good, count(*) FILTER (verdict = 'block') AS bad
+      FROM u JOIN e ON e.id = u.id WHERE held AND verdict IS NOT NULL GROUP BY 1),
+k AS (SELECT step, coalesce(sum(good) OVER w, 0) / (SELECT sum(good) FROM h) AS lost,
+             1 - coalesce(sum(bad) OVER w, 0) / (SELECT sum(bad) FROM h) AS passed
+      FROM (FROM h UNION ALL SELECT max(step) + 1, 0, 0 FROM h) WINDOW w AS (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+o AS (SELECT coalesce(arg_min(step, (round(lost + passed, 9), step)) FILTER (lost + passed IS NOT NULL AND isfinite(lost + passed)), 0) AS least FROM k)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN floor(score * {plan.steps}) >= least THEN 'allow' ELSE 'block' END) AS verdict,
+       round(score, 6) AS score
+FROM u JOIN e ON e.id = u.id, o"""
+
+
+@query("op11_url_models", _urls_sql())
+def op11(spark, sf):
+    from riskloom.llm import url_models
+
+    return url_models.judged(table(spark, sf, "pages"))
