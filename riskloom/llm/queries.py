@@ -246,10 +246,10 @@ z AS (SELECT y.id, y.verdict, log10({odds}) AS gain FROM y{joins}),
 e AS (SELECT id, sum(CASE WHEN verdict = 'allow' THEN gain ELSE -gain END) / (count(*) / 2) AS score FROM z GROUP BY id),
 h AS (SELECT floor(score * {plan.steps}) AS step, count(*) FILTER (verdict = 'allow') AS good, count(*) FILTER (verdict = 'block') AS bad
       FROM u JOIN e ON e.id = u.id WHERE held AND verdict IS NOT NULL GROUP BY 1),
-k AS (SELECT step, coalesce(sum(good) OVER w, 0) / (SELECT sum(good) FROM h) AS lost,
+k AS (SELECT step, floor((coalesce(lag(step) OVER (ORDER BY step) + 1, step) + step) / 2) AS middle, coalesce(sum(good) OVER w, 0) / (SELECT sum(good) FROM h) AS lost,
              1 - coalesce(sum(bad) OVER w, 0) / (SELECT sum(bad) FROM h) AS passed
       FROM (FROM h UNION ALL SELECT max(step) + 1, 0, 0 FROM h) WINDOW w AS (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-o AS (SELECT coalesce(arg_min(step, (round(lost + passed, 9), step)) FILTER (lost + passed IS NOT NULL AND isfinite(lost + passed)), 0) AS least FROM k)
+o AS (SELECT coalesce(arg_min(middle, (round(lost + passed, 9), step)) FILTER (lost + passed IS NOT NULL AND isfinite(lost + passed)), 0) AS least FROM k)
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN floor(score * {plan.steps}) >= least THEN 'allow' ELSE 'block' END) AS verdict,
        round(score, 6) AS score
 FROM u JOIN e ON e.id = u.id, o"""

@@ -12,8 +12,8 @@ enough to be sent to every task; all counts cover all labelled addresses.
 An address without a rule is judged by the difference of the log10 likelihoods per
 symbol. The cutoff is calibrated on labelled addresses that were held out of the
 models (by a hash of the address, so copies stay together): the one that makes the
-shares of wrongly rejected and wrongly accepted addresses smallest together, the
-lower one at a tie.
+shares of wrongly rejected and wrongly accepted addresses smallest together (the
+lower one at a tie), in the middle of the gap it lies in.
 
 Defined results: a null address, or one without ``://``, has an empty host and
 path, no rule, and is judged as it stands (a null one as the empty text); with no
@@ -71,13 +71,17 @@ def parts(url: Column) -> tuple[Column, Column, Column]:
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
-    """The longest rule that fits, as ``struct<verdict, rule>``; null where none does."""
-    found = F.lit(None).cast("struct<verdict:string,rule:string>")
-    for verdict, rule in sorted(rules, key=lambda r: (len(r[1]), r[1])):
+    """The longest rule that fits, as an array of at most one ``struct<verdict, rule>``."""
+    if not rules:
+        return F.array().cast("array<struct<verdict:string,rule:string>>")
+    known = []
+    for verdict, rule in sorted(rules, key=lambda r: (-len(r[1]), r[1])):
         name, slash, prefix = rule.partition("/")
-        fits = ((host == name) | F.endswith(host, F.lit("." + name))) & F.startswith(path, F.lit(slash + prefix))
-        found = F.when(fits, F.struct(F.lit(verdict).alias("verdict"), F.lit(rule).alias("rule"))).otherwise(found)
-    return found
+        known.append(F.struct(*(F.lit(v).alias(n) for n, v in (
+            ("verdict", verdict), ("rule", rule), ("host", name), ("inside", f".{name}"), ("prefix", slash + prefix)))))
+    fitting = F.filter(F.array(*known), lambda r: (
+        (host == r["host"]) | F.endswith(host, r["inside"])) & F.startswith(path, r["prefix"]))
+    return F.transform(F.slice(fitting, 1, 1), lambda r: F.struct(r["verdict"].alias("verdict"), r["rule"].alias("rule")))
 
 
 def _symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,7 +195,8 @@ def cutoff(held: DataFrame) -> int:
     steps = [r["step"] for r in found] + [found[-1]["step"] + 1]
     lost = np.concatenate(([0], np.cumsum(good))) / good.sum()
     passed = 1 - np.concatenate(([0], np.cumsum(bad))) / bad.sum()
-    return int(steps[int(np.argmin(np.round(lost + passed, 9)))])
+    at = int(np.argmin(np.round(lost + passed, 9)))
+    return int(steps[at]) if at == 0 else (int(steps[at - 1]) + int(steps[at]) + 1) // 2
 
 
 def judged(
@@ -200,7 +205,7 @@ def judged(
     """``page_id, host, path, rule, verdict, score`` of every row."""
     host, path, text = parts(F.col(url))
     split = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"), text.alias("text"))
-    ruled = split.withColumn("found", rule_of(F.col("host"), F.col("path"), rules)).withColumn(
+    ruled = split.withColumn("found", F.get(rule_of(F.col("host"), F.col("path"), rules), 0)).withColumn(
         "held", F.substring(F.md5("text"), 1, 1).isin(*plan.held_out))
     labelled = ruled.where("found is not null and not held").select("text", (F.col("found.verdict") == "allow").alias("accepted"))
     of_class = models(labelled, plan)
