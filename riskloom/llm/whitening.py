@@ -25,10 +25,9 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
-from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark.mllib.linalg import DenseMatrix, MatrixUDT
+from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,9 +43,9 @@ class Whitening:
 
     components: int = 32
     steps: int = 64
-    block_rows: int = 1024
-    panel_rows: int = 1 << 22
-    task_bytes: int = 64 << 20
+    block_rows: int = 256
+    panel_rows: int = 1 << 21
+    task_bytes: int = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -120,10 +119,29 @@ def centred(rows: DataFrame, n: int, sums: list[int], spread: int, plan: Whiteni
 
 
 def block_matrix(rows: DataFrame, values: str, n: int, width: int, plan: Whitening) -> BlockMatrix:
-    """Rows (``index`` from 0, an array of doubles) as blocks of whole rows, dealt over enough tasks."""
+    """Rows (``index`` from 0, an array of doubles) as blocks of whole rows, dealt over enough tasks.
+
+    A block is gathered by its number and becomes a matrix in one call. Made from
+    single rows instead, MLlib boxes and shuffles every entry by itself.
+    """
     tasks = max(1, -(-n * width * 8 // plan.task_bytes))
-    dealt = rows.select("index", array_to_vector(F.col(values)).alias("vector")).repartition(tasks * tasks)
-    return IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(dealt, "vector"), n, width).toBlockMatrix(plan.block_rows, width)
+    placed = rows.select(
+        F.floor(F.col("index") / F.lit(plan.block_rows)).cast("long").alias("block"), "index", F.col(values).alias("x"))
+    blocks = placed.repartition(tasks * tasks, "block").groupBy("block").agg(
+        F.array_sort(F.collect_list(F.struct("index", "x"))).alias("rows"))
+    as_matrix = F.udf(lambda flat: DenseMatrix(len(flat) // width, width, flat, isTransposed=True), MatrixUDT())
+    found = blocks.select(
+        F.struct("block", F.lit(0).cast("long").alias("column")).alias("at"),
+        as_matrix(F.flatten(F.transform("rows", lambda r: r["x"]))).alias("matrix"))
+    return BlockMatrix(callMLlibFunc("createBlockMatrix", found, plan.block_rows, width, n, width), plan.block_rows, width)
+
+
+def rows_of(matrix: BlockMatrix, plan: Whitening) -> DataFrame:
+    """``index, w`` of the rows of a matrix of one column of blocks."""
+    found = callMLlibFunc("getMatrixBlocks", matrix._java_matrix_wrapper._java_model).toDF("at", "matrix")
+    as_rows = F.udf(lambda m: m.toArray().tolist(), "array<array<double>>")
+    each = found.select(F.col("at._1").alias("block"), F.posexplode(as_rows("matrix")).alias("place", "w"))
+    return each.select((F.col("block") * plan.block_rows + F.col("place")).alias("index"), "w")
 
 
 def scatter(matrix: BlockMatrix, n: int, width: int, plan: Whitening) -> np.ndarray:
@@ -159,16 +177,12 @@ def projected(rows: DataFrame, space: Space, plan: Whitening) -> DataFrame:
     spark, width = rows.sparkSession, len(space.sums)
     used = min(plan.components, width)
     scaled = (space.vectors * space.scales)[:, :used]
-    right = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(scaled)], "index long, x array<double>")
-    factor = IndexedRowMatrix(
-        MLUtils.convertVectorColumnsFromML(right.select("index", array_to_vector("x").alias("vector")), "vector"), width, used
-    ).toBlockMatrix(width, used)
+    factor = BlockMatrix(spark.sparkContext.parallelize(
+        [((0, 0), DenseMatrix(width, used, scaled.flatten(order="F")))], 1), width, used)
     out = []
     for p, (panel, size) in enumerate(_panels(rows, space.n, plan)):
-        product = block_matrix(panel, "x", size, width, plan).multiply(factor).toIndexedRowMatrix()
-        found = callMLlibFunc("getIndexedRows", product._java_matrix_wrapper._java_model)
-        out.append(found.select(
-            (F.col("index") + p * plan.panel_rows).alias("row"), F.lit(p).alias("panel"), vector_to_array("vector").alias("w")))
+        found = rows_of(block_matrix(panel, "x", size, width, plan).multiply(factor), plan)
+        out.append(found.select((F.col("index") + p * plan.panel_rows).alias("row"), F.lit(p).alias("panel"), "w"))
     return kept(reduce(DataFrame.union, out), "projected")
 
 
