@@ -1,9 +1,10 @@
 """Threat reports to threats and feed, with counts, expiry and admission.
 
 A hash may hold a third of all reports. Reports are therefore first folded per
-(hash, UTC day), which a map-side combine does before any shuffle; sessions and
-running counts are windows over those day rows only. Pattern sets and counts
-up to a report are plain grouped aggregates, never a list that grows per row.
+(hash, UTC day), which a map-side combine does before any shuffle. Those facts merge
+in any order; sessions are unions of time intervals over the day rows and over the
+sessions of an earlier state, so late reports and such that bridge two sessions
+count as if they had come in time.
 """
 
 from __future__ import annotations
@@ -85,159 +86,185 @@ def _order() -> Column:
     return F.struct("reported_at", "report_id")
 
 
-def _sessions(updates: DataFrame, prior: DataFrame | None) -> DataFrame:
-    """Per hash the start of its last session and whether ``prior`` belongs to it.
-
-    A gap of more than 30 days between neighbouring reports restarts the count.
-    Such a gap cannot lie within one day, so folded day rows decide it.
-    """
-    rows = updates.groupBy("hash", F.to_date("reported_at").alias("day")).agg(
-        F.min("reported_at").alias("first_at"), F.max("reported_at").alias("last_at"),
-    ).withColumn("carried", F.lit(False))
-    if prior is not None:
-        rows = rows.unionByName(prior.join(updates.select("hash").distinct(), "hash", "left_semi").select(
-            "hash", F.to_date("last_seen").alias("day"), F.col("last_seen").alias("first_at"),
-            F.col("last_seen").alias("last_at"), F.lit(True).alias("carried"),
-        ))
-    in_order = Window.partitionBy("hash").orderBy("first_at", F.col("carried").desc())
-    gap = F.lag("last_at").over(in_order) + F.expr(f"interval {IDLE_DAYS} days")
-    numbered = rows.withColumn(
-        "session", F.sum(F.coalesce((F.col("first_at") > gap).cast("int"), F.lit(0))).over(in_order)
+def _of_both(a: Column, b: Column) -> Column:
+    return F.struct(
+        (a["report_count"] + b["report_count"]).alias("report_count"),
+        F.least(a["first_seen"], b["first_seen"]).alias("first_seen"),
+        F.greatest(a["last_seen"], b["last_seen"]).alias("last_seen"),
+        F.greatest(a["last"], b["last"]).alias("last"), F.greatest(a["domain"], b["domain"]).alias("domain"),
+        F.array_sort(F.array_union(a["pattern_ids"], b["pattern_ids"])).alias("pattern_ids"),
     )
-    per_session = numbered.groupBy("hash", "session").agg(
-        F.min("first_at").alias("session_start"), F.max("carried").alias("carries"),
-    )
-    return per_session.groupBy("hash").agg(
-        F.max_by(F.struct("session_start", "carries"), "session").alias("s")
-    ).select("hash", "s.*")
 
 
-def _folded(updates: DataFrame, name: str) -> DataFrame:
-    """Count, times, latest risk, latest known domain and pattern set per hash.
+def _joined(*facts: Column) -> Column:
+    """Facts of several sets of reports as those of all together, in whatever order; any of them may be null."""
+    return _merged(F.array(*facts))
+
+
+def _merged(facts: Column) -> Column:
+    """Facts of an array of facts; null for an empty one."""
+    given = F.filter(facts, lambda x: x.isNotNull())
+    return F.transform(F.array(given), lambda g: F.aggregate(
+        F.slice(g, 2, F.greatest(F.size(g), F.lit(1))), F.get(g, 0), _of_both))[0]
 
-    (hash, pattern) pairs are made distinct before they are listed, so a list
-    holds each pattern once whatever the number of reports.
-    """
-    facts = updates.groupBy("hash").agg(
-        F.count(F.lit(1)).alias("report_count"), F.min("reported_at").alias("first_seen"),
-        F.max("reported_at").alias("last_seen"), F.max_by("risk_score", _order()).alias("last_risk"),
-        F.max_by("organizer_domain", F.when(F.col("organizer_domain").isNotNull(), _order())).alias("organizer_domain"),
-    )
-    pairs = updates.select("hash", F.explode("pattern_ids").alias("pattern")).distinct()
-    sets = pairs.groupBy("hash").agg(F.array_sort(F.collect_list("pattern")).alias("pattern_ids"))
-    return facts.join(sets, "hash", "left").select("hash", F.struct(
-        "report_count", "first_seen", "last_seen", "last_risk", "organizer_domain",
-        F.coalesce("pattern_ids", F.array().cast("array<string>")).alias("pattern_ids"),
-    ).alias(name))
 
+def _day() -> Column:
+    return F.to_date("reported_at").alias("day")
 
-def _admissions(live: DataFrame) -> DataFrame:
-    """Per hash the last report of the session at which it entered the feed.
 
-    Only the first four new reports need their exact number; a ranked window
-    with a limit finds them, and Spark prunes such a window before it shuffles.
-    Any later report is the fifth or beyond and is admitted by its risk alone.
+def cells(updates: DataFrame) -> DataFrame:
+    """Per (hash, UTC day) the mergeable facts and the last report that admits by its risk alone. One pass.
+
+    Equal pattern lists are kept once before they are shuffled.
     """
-    rank = F.row_number().over(Window.partitionBy("hash").orderBy("reported_at", "report_id"))
-    early = live.select("hash", "reported_at", "report_id", "risk_score", "base_count", rank.alias("nth")).where(
-        F.col("nth") < _COUNT_SATURATES
-    )
-    number = F.col("base_count") + F.col("nth")
-    fits = (number >= FEED_MIN_REPORTS) & (confidence(number, F.col("risk_score")) >= FEED_MIN_CONFIDENCE - _EPSILON)
-    head = early.groupBy("hash").agg(
-        F.max(_order()).alias("edge"), F.max(F.when(fits, _order())).alias("early_at")
-    )
     strong = confidence(F.lit(_COUNT_SATURATES), F.col("risk_score")) >= FEED_MIN_CONFIDENCE - _EPSILON
-    tail = live.where(strong).groupBy("hash").agg(F.max(_order()).alias("strong_at"))
-    return head.join(tail, "hash", "left").select("hash", F.greatest(
-        F.col("early_at"), F.when(F.col("strong_at") > F.col("edge"), F.col("strong_at"))
-    ).alias("admitted_at")).where(F.col("admitted_at").isNotNull())
+    lists = F.collect_set(F.array_sort(F.array_distinct("pattern_ids")))
+    folded = updates.groupBy("hash", _day()).agg(
+        F.count(F.lit(1)).alias("report_count"), F.min("reported_at").alias("first_seen"), F.max("reported_at").alias("last_seen"),
+        F.max(F.struct("reported_at", "report_id", "risk_score")).alias("last"),
+        F.max(F.when(F.col("organizer_domain").isNotNull(), F.struct("reported_at", "report_id", "organizer_domain"))).alias("domain"),
+        F.array_sort(F.array_distinct(F.flatten(lists))).alias("pattern_ids"), F.max(F.when(strong, _order())).alias("strong"),
+    )
+    return folded.select("hash", "day", F.struct(*FACTS).alias("facts"), "strong")
+
+
+def early_reports(updates: DataFrame) -> DataFrame:
+    """Per (hash, UTC day) its first four reports. Spark cuts such a ranking in every task before it shuffles."""
+    rank = F.row_number().over(Window.partitionBy("hash", "day").orderBy("reported_at", "report_id"))
+    first = updates.select("hash", _day(), "reported_at", "report_id", "risk_score").withColumn("nth", rank)
+    return first.where(F.col("nth") < _COUNT_SATURATES).groupBy("hash", "day").agg(
+        F.collect_list(F.struct("reported_at", "report_id", "risk_score")).alias("early"))
 
 
-def _continued(base: Column, more: Column) -> Column:
-    """An entry carried on by more reports, in whatever order they come; ``base`` may be null."""
-    later = more["last_seen"] >= base["last_seen"]
-    return F.when(base.isNull(), more).otherwise(F.struct(
-        (base["report_count"] + more["report_count"]).alias("report_count"),
-        F.least(base["first_seen"], more["first_seen"]).alias("first_seen"),
-        F.greatest(base["last_seen"], more["last_seen"]).alias("last_seen"),
-        F.when(later, more["last_risk"]).otherwise(base["last_risk"]).alias("last_risk"),
-        F.when(later, F.coalesce(more["organizer_domain"], base["organizer_domain"])).otherwise(
-            F.coalesce(base["organizer_domain"], more["organizer_domain"])).alias("organizer_domain"),
-        F.array_sort(F.array_union(base["pattern_ids"], more["pattern_ids"])).alias("pattern_ids"),
-    ))
+#: Facts of a set of reports; ``last`` and ``domain`` carry the report they come from, so they merge in any order.
+FACTS = ("report_count", "first_seen", "last_seen", "last", "domain", "pattern_ids")
 
 
-STATE_FACTS = ("report_count", "first_seen", "last_seen", "last_risk", "organizer_domain", "pattern_ids")
+def _worked_out(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row: the optimizer copies nothing through a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
-def advance(updates: DataFrame, prior: DataFrame | None = None, salt: int = 8) -> DataFrame:
-    """State per hash after ``updates``: the current entry, and the entry as last admitted.
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Add the session of each interval of a hash: a gap of more than 30 days behind all before it opens a new one.
 
-    ``prior`` is an earlier result of this function. Its hashes must not have
-    reports later than those in ``updates``.
+    The rows are days of new reports and sessions of an earlier state. A gap cannot
+    lie within a day, and a day that lies in a session, or between two, joins them.
     """
-    sessions = _sessions(updates, prior)
-    if prior is None:
-        based = sessions.withColumn("base_count", F.lit(0).cast("long"))
-    else:
-        counts = prior.select("hash", F.col("report_count").alias("__n"))
-        based = sessions.join(counts, "hash", "left").withColumn(
-            "base_count", F.when(F.col("carries"), F.col("__n")).otherwise(0).cast("long")
-        ).drop("__n")
-    live = salted_lookup(updates, based, "hash", F.col("report_id"), salt, how="inner").where(
-        F.col("reported_at") >= F.col("session_start")
-    )
-    admitted = salted_lookup(live, _admissions(live), "hash", F.col("report_id"), salt, how="inner").where(
-        _order() <= F.col("admitted_at")
-    )
-    fresh = _folded(live, "__new").join(_folded(admitted, "__in"), "hash", "left")
-    if prior is None:
-        joined = fresh.select("hash", F.col("__new").alias("entry"), F.col("__in").alias("admitted"))
+    in_order = Window.partitionBy("hash").orderBy("facts.first_seen", "facts.last_seen")
+    reach = F.max("facts.last_seen").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.col("facts.first_seen") > reach + F.expr(f"interval {IDLE_DAYS} days")
+    return rows.withColumn("opens", F.coalesce(opens.cast("int"), F.lit(0))).withColumn(
+        "session", F.sum("opens").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _admitted_at() -> Column:
+    """The last new report at which the session entered the feed; null for none.
+
+    Only the first four new reports need their exact number; any later one is the
+    fifth or beyond and is admitted by its risk alone.
+    """
+    order = lambda r: F.struct(r["reported_at"].alias("reported_at"), r["report_id"].alias("report_id"))
+    number = lambda k: F.col("base_count") + k + 1
+    fits = lambda r, k: (number(k) >= FEED_MIN_REPORTS) & (
+        confidence(number(k), r["risk_score"]) >= FEED_MIN_CONFIDENCE - _EPSILON)
+    early_at = F.array_max(F.transform("early", lambda r, k: F.when(fits(r, k), order(r))))
+    edge = order(F.get("early", _COUNT_SATURATES - 2))
+    strong_at = F.array_max(F.transform("new", lambda d: d["strong"]))
+    return F.greatest(early_at, F.when(F.size("early") >= _COUNT_SATURATES - 1, F.when(strong_at > edge, strong_at)))
+
+
+def advance(
+    updates: DataFrame, prior: DataFrame | None = None, salt: int = 8, with_feed: bool = True, idle_before: datetime | None = None,
+    last_only: bool = False,
+) -> DataFrame:
+    """State after ``updates``: a row per hash and session, with its facts and those at its last admission.
+
+    ``prior`` is an earlier result of this function; reports may come in any order,
+    also into or between its sessions. Facts then equal those of all reports at
+    once. A report is admitted, as in the running store, by the number it has on
+    arrival. ``with_feed=False`` leaves admissions out and reads ``updates`` once;
+    sessions idle since before ``idle_before`` leave the state. ``last_only`` keeps the
+    last session of each hash, which is enough where no report can come later.
+    """
+    none = F.lit(None)
+    facts_type = cells(updates).schema["facts"].dataType
+    days = cells(updates)
+    if with_feed:
+        days = days.join(early_reports(updates), ["hash", "day"], "left")
     else:
-        entry = F.struct(*STATE_FACTS)
-        old = prior.select("hash", entry.alias("__old"), F.col("admitted").alias("__old_in"))
-        both = old.join(fresh, "hash", "full").join(based.select("hash", "carries"), "hash", "left")
-        kept = F.when(F.coalesce("carries", F.lit(False)), F.col("__old"))
-        kept_in = F.when(F.coalesce("carries", F.lit(False)), F.col("__old_in"))
-        joined = both.select(
-            "hash",
-            F.when(F.col("__new").isNull(), F.col("__old")).otherwise(_continued(kept, F.col("__new"))).alias("entry"),
-            F.when(F.col("__new").isNull(), F.col("__old_in"))
-            .when(F.col("__in").isNull(), kept_in)
-            .otherwise(_continued(kept, F.col("__in"))).alias("admitted"),
-        )
-    return joined.select("hash", "entry.*", "admitted")
+        days = days.withColumn("early", F.array().cast("array<struct<reported_at:timestamp,report_id:long,risk_score:double>>"))
+    rows = days.select(
+        "hash", F.struct("day", "facts", "strong", "early").alias("new"), none.cast(facts_type).alias("admitted"), "facts")
+    if prior is not None:
+        rows = rows.unionByName(prior.select("hash", "facts", "admitted"), allowMissingColumns=True)
+    old = F.when(F.col("new").isNull(), F.struct("facts", "admitted"))
+    rows = _numbered(rows)
+    if last_only:
+        rows = rows.withColumn("top", F.max("session").over(Window.partitionBy("hash"))).where(F.col("session") == F.col("top"))
+    sessions = rows.groupBy("hash", "session").agg(
+        F.collect_list("new").alias("new"), F.collect_list(old).alias("old"))
+    merged = _worked_out(sessions, base=_merged(F.transform("old", lambda s: s["facts"])))
+    merged = _worked_out(merged, facts=_merged(F.concat(F.array("base"), F.transform("new", lambda d: d["facts"]))))
+    if idle_before is not None:
+        merged = merged.where(F.col("facts.last_seen") + F.expr(f"interval {IDLE_DAYS} days") >= F.lit(idle_before).cast("timestamp"))
+    if not with_feed:
+        return merged.select("hash", "facts", none.cast(facts_type).alias("admitted"))
+
+    early = F.slice(F.array_sort(F.flatten(F.transform("new", lambda d: d["early"]))), 1, _COUNT_SATURATES - 1)
+    found = _worked_out(merged, base_count=F.coalesce("base.report_count", F.lit(0)), early=early)
+    found = _worked_out(found, at=_admitted_at())
+    found = _worked_out(found, at_day=F.to_date("at.reported_at"))
+    found = _worked_out(found, of_day=F.get(F.filter("new", lambda d: d["day"] == F.col("at_day")), 0)["facts"])
+    cell = lambda h, d: F.concat_ws("/", h, d)
+    inside = F.struct("of_day.last.reported_at", "of_day.last.report_id") > F.col("at")
+    cuts = found.where(F.col("at").isNotNull() & inside).select(cell("hash", "at_day").alias("cell"), "at")
+    keyed = updates.withColumn("cell", cell(F.col("hash"), F.to_date("reported_at")))
+    heads = cells(salted_lookup(keyed, cuts, "cell", F.col("report_id"), salt, how="inner").where(_order() <= F.col("at"))).select(
+        "hash", F.col("day").alias("at_day"), F.col("facts").alias("head"))
+    whole_days = F.transform(F.filter("new", lambda d: d["day"] < F.col("at_day")), lambda d: d["facts"])
+    entered = _merged(F.concat(whole_days, F.array(F.col("base"), F.coalesce("head", "of_day"))))
+    stays = F.array_max(F.transform("old", lambda s: F.when(
+        s["admitted"].isNotNull(), F.struct(s["admitted"]["last_seen"].alias("t"), s["admitted"].alias("a")))))["a"]
+    return found.join(heads, ["hash", "at_day"], "left").select(
+        "hash", "facts", F.when(F.col("at").isNotNull(), entered).otherwise(stays).alias("admitted"))
+
+
+def current(state: DataFrame) -> DataFrame:
+    """The last session of every hash."""
+    latest = F.max(F.struct("facts.last_seen", "facts", "admitted"))
+    return state.groupBy("hash").agg(latest.alias("s")).select("hash", "s.facts", "s.admitted")
 
 
 def _finished(entries: DataFrame) -> DataFrame:
     return entries.select(
         "hash", F.lit("content").alias("hash_type"), "report_count",
-        confidence(F.col("report_count"), F.col("last_risk")).alias("confidence"),
-        "first_seen", "last_seen", "pattern_ids", "organizer_domain",
+        confidence(F.col("report_count"), F.col("last.risk_score")).alias("confidence"),
+        "first_seen", "last_seen", "pattern_ids", F.col("domain.organizer_domain").alias("organizer_domain"),
         category(F.col("pattern_ids")).alias("category"),
         (F.col("last_seen") + F.expr(f"interval {IDLE_DAYS} days")).alias("expires_at"),
     )
 
 
 def threats_of(state: DataFrame) -> DataFrame:
-    return _finished(state)
+    """The entry of every hash: its last session."""
+    return _finished(current(state).select("hash", "facts.*"))
 
 
 def feed_of(state: DataFrame, as_of: datetime | None = None) -> DataFrame:
     """Feed rows of a state; an admitted entry leaves the feed after 30 idle days."""
-    feed = _finished(state.where(F.col("admitted").isNotNull()).select("hash", "admitted.*"))
+    feed = _finished(current(state).where(F.col("admitted").isNotNull()).select("hash", "admitted.*"))
     return feed if as_of is None else feed.where(F.col("expires_at") >= F.lit(as_of).cast("timestamp"))
 
 
 def threat_table(reports: DataFrame, salt: int = 8) -> DataFrame:
     """One row per hash: the state of its last session."""
-    return threats_of(advance(fan_out(reports), salt=salt))
+    return threats_of(advance(fan_out(reports), salt=salt, with_feed=False, last_only=True))
 
 
 def threat_feed(reports: DataFrame, as_of: datetime | None = None, salt: int = 8) -> DataFrame:
     """The feed: per hash the entry as it stood when it was last admitted."""
-    return feed_of(advance(fan_out(reports), salt=salt), as_of)
+    return feed_of(advance(fan_out(reports), salt=salt, last_only=True), as_of)
 
 
 def feed_since(feed: DataFrame, since: datetime | None = None) -> DataFrame:

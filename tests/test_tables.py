@@ -160,6 +160,6 @@ def test_one_pass_plans(spark):
     texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = scan_texts(texts).select("doc_id", "risk_score", "action")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
-    updates = spark.createDataFrame([], "report_id long, hash string, reported_at timestamp, risk_score double, base_count long")
-    plan = threats._admissions(updates)._jdf.queryExecution().sparkPlan().toString()
+    updates = spark.createDataFrame([], "report_id long, hash string, reported_at timestamp, risk_score double")
+    plan = threats.early_reports(updates)._jdf.queryExecution().sparkPlan().toString()
     assert "WindowGroupLimit" in plan
