@@ -10,17 +10,20 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from riskloom.config import ScanConfig
 from riskloom.operators import actions, threats
 from riskloom.plans.scan import scan_events
+from riskloom.sources.keyed import read_current, write_delta
 from riskloom.sources.tables import latest_version, read_version, write_version
+from riskloom.streaming.sessions import FACTS_SCHEMA, sessions_of
 
 Clock = Callable[[], datetime]
 _ENTRY = "entry_key"
+_FACTS = ", ".join(c.replace(" ", ":", 1) for c in FACTS_SCHEMA.split(", "))
 
 
 def _start(stream: DataFrame, handle, checkpoint: str, trigger: dict) -> StreamingQuery:
@@ -50,24 +53,64 @@ def scan_to_audit(
     return _start(events, handle, checkpoint, trigger or {"availableNow": True})
 
 
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_SCHEMA = f"hash string, facts struct<{_FACTS}>, admitted struct<{_FACTS}>"
+ENTRY_SCHEMA = f"hash string, facts struct<{_FACTS}>"
+
+
 def threat_state(
+    reports: DataFrame, state: str, checkpoint: str, trigger: dict | None = None, lateness: str = "90 days"
+) -> StreamingQuery:
+    """Keep the last session of every hash as a table by key, from keyed stream state with timers.
+
+    Reports may arrive up to ``lateness`` behind the latest one; a hash idle for 30
+    days beyond that leaves the state and the table.
+    """
+    spark = reports.sparkSession
+    rows = sessions_of(threats.fan_out(threats.accepted(reports)), lateness)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        # A hash can change and then expire within one batch: the expiry is the later of the two.
+        last = batch.groupBy("hash").agg(F.max_by(F.struct("facts", "gone"), F.col("gone")).alias("r"))
+        write_delta(last.select("hash", "r.facts", "r.gone"), state, batch_id, "hash")
+
+    before = spark.conf.get(_STATE_STORE)
+    spark.conf.set(_STATE_STORE, _ROCKS)
+    try:
+        started = rows.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint)
+        return started.trigger(**(trigger or {"availableNow": True})).start()
+    finally:
+        spark.conf.set(_STATE_STORE, before)
+
+
+def read_threats(spark: SparkSession, state: str) -> DataFrame:
+    """The entries of the table that :func:`threat_state` keeps."""
+    rows = read_current(spark, state, ENTRY_SCHEMA, "hash")
+    return threats.threats_of(rows.withColumn("admitted", F.lit(None).cast(f"struct<{_FACTS}>")))
+
+
+def threat_feed_state(
     reports: DataFrame, state: str, checkpoint: str, trigger: dict | None = None, salt: int = 8
 ) -> StreamingQuery:
-    """Keep the threat state per hash as a versioned table, one version per batch."""
+    """Keep sessions and feed snapshots per hash as a table by key; a batch reads and writes its own hashes only."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = latest_version(spark, state, below=batch_id)
-        prior = read_version(spark, state, before) if before is not None else None
         # Read several times below; persisted rows are recomputed from the source if an executor is lost.
         updates = threats.fan_out(threats.accepted(batch)).persist()
         try:
-            write_version(threats.advance(updates, prior, salt), state, batch_id)
+            prior = read_current(batch.sparkSession, state, STATE_SCHEMA, "hash", below=batch_id, keys=updates)
+            write_delta(threats.advance(updates, prior, salt), state, batch_id, "hash")
         finally:
             updates.unpersist()
 
     return _start(reports, handle, checkpoint, trigger or {"availableNow": True})
 
 
+def read_feed(spark: SparkSession, state: str, as_of: datetime | None = None) -> DataFrame:
+    """The feed of the table that :func:`threat_feed_state` keeps."""
+    return threats.feed_of(read_current(spark, state, STATE_SCHEMA, "hash"), as_of)
+
+
 def quarantine_upserts(
     events: DataFrame, table: str, checkpoint: str, now: Clock, owner_domain: str | None = None,
     config: ScanConfig = ScanConfig(), ttl_days: int = 7, trigger: dict | None = None,
