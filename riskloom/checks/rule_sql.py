@@ -24,8 +24,13 @@ def rx(pattern: str, ignore_case: bool = False) -> str:
     return quoted(for_duckdb(pattern, ignore_case))
 
 
+# Places in the text of the characters that stay outside fences, one by one; null without a fence.
 PREP = """v_prep AS MATERIALIZED (
- SELECT *, lower(text) AS low, regexp_replace(text, '(?s)```.*?```', '', 'g') AS bare FROM v_src)"""
+ SELECT * EXCLUDE (f, g), CASE WHEN len(f) > 0 THEN flatten(list_transform(range(1, len(g) + 1), lambda i: range(
+   (coalesce(list_sum(list_transform(g[1:i - 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0))::BIGINT,
+   (coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0))::BIGINT))) END AS places
+ FROM (SELECT *, lower(text) AS low, regexp_replace(text, '(?s)```.*?```', '', 'g') AS bare,
+  regexp_extract_all(text, '(?s)```.*?```') AS f, string_split_regex(text, '(?s)```.*?```') AS g FROM v_src))"""
 
 
 def _span_rows(inner: str) -> str:
@@ -44,7 +49,7 @@ def _pattern_rule(rule: P.PatternRule, number: int) -> str:
         if condition:
             keep.append(f"(k <> {k} OR {condition})")
         parts.append(
-            f"SELECT item_id, {k} AS k, {quoted(pat.name)} AS rule_name, {pat.severity} AS severity, "
+            f"SELECT item_id, {'places' if rule.outside_fences else 'NULL::BIGINT[]'} AS places, {k} AS k, {quoted(pat.name)} AS rule_name, {pat.severity} AS severity, "
             f"{pat.confidence} AS confidence, {pat.content_chars or 2**31 - 1} AS chars, "
             f"regexp_extract_all({source}, {r}) AS found, string_split_regex({source}, {r}) AS gaps "
             f"FROM v_prep WHERE regexp_matches({source}, {r})"
@@ -53,7 +58,9 @@ def _pattern_rule(rule: P.PatternRule, number: int) -> str:
     where = f" WHERE {' AND '.join(keep)}" if keep else ""
     return (
         f"SELECT item_id, '{rule.tier}' AS tier, {number} AS rule_no, k, i, '{rule.rule_id}' AS rule_id, rule_name, "
-        f"severity, m[1:chars] AS matched, start_at, length(m) AS n_chars, confidence FROM ({rows}){where}"
+        "severity, m[1:chars] AS matched, CASE WHEN places IS NULL THEN start_at ELSE places[start_at + 1] END AS start_at, "
+        "CASE WHEN places IS NULL THEN length(m) ELSE places[start_at + length(m)] + 1 - places[start_at + 1] END AS n_chars, "
+        f"confidence FROM ({rows}){where}"
     )
 
 

@@ -13,6 +13,7 @@ from riskloom.functions.regexes import SPACE_CHARS, for_spark
 TOKEN_SEPARATORS = r"""\s,.;:!?()\[\]{}"'"""
 ZERO_WIDTH = r"[\x{200B}\x{200C}\x{200D}\x{FEFF}\x{2060}\x{180E}]"
 FENCE = "```"
+FENCED = "(?s)```.*?```"
 BASE64_RUN = "[A-Za-z0-9+/]{32,}={0,2}"
 # A run starts where the character before is no run character: scanning stays linear.
 BASE64_GUARD = "(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32}"
@@ -54,7 +55,7 @@ def truncated(col: Column, max_chars: int | None) -> Column:
 
 def without_fences(col: Column) -> Column:
     """Drop fenced code blocks; texts without a fence are passed through untouched."""
-    return F.when(F.contains(col, F.lit(FENCE)), F.regexp_replace(col, "(?s)```.*?```", "")).otherwise(col)
+    return F.when(F.contains(col, F.lit(FENCE)), F.regexp_replace(col, FENCED, "")).otherwise(col)
 
 
 def normalized(col: Column) -> Column:
@@ -130,3 +131,27 @@ def spans(text: str, pattern: str) -> Column:
     return F.expr(
         f"get(transform(array(named_struct({found_and_gaps(text, pattern)})), h -> {located('h.found', 'h.gaps')}), 0)"
     )
+
+
+CUTS = "array<struct<at:int,removed:int>>"
+
+
+def fence_cuts(text: str) -> Column:
+    """Where :func:`without_fences` cut a text: offsets in what is left, ascending, with all that was removed up to there."""
+    nothing = "transform(h.found, f -> '')"
+    cuts = F.expr(
+        f"get(transform(array(named_struct({found_and_gaps(text, FENCED)})), h -> zip_with("
+        f"{located('h.found', 'h.gaps')}, {located(nothing, 'h.gaps')}, (o, c) -> named_struct("
+        f"'at', cast(c.offset as int), 'removed', cast(o.offset + o.length - c.offset as int)))), 0)")
+    return F.when(F.contains(text, F.lit(FENCE)), cuts.cast(CUTS)).otherwise(F.array().cast(CUTS))
+
+
+def place_before_cuts(offset: str, cuts: str) -> str:
+    """SQL: the offset in the whole text of an offset in the text without fences, by bisection of the cuts."""
+    step = (
+        f"(s, i) -> if(s.lo >= s.hi, s, if(get({cuts}, cast(floor((s.lo + s.hi) / 2) as int)).at <= {offset}, "
+        "named_struct('lo', cast(floor((s.lo + s.hi) / 2) as int) + 1, 'hi', s.hi), "
+        "named_struct('lo', s.lo, 'hi', cast(floor((s.lo + s.hi) / 2) as int))))")
+    rounds = f"sequence(0, cast(ceil(log2(size({cuts}) + 1)) as int))"
+    found = f"aggregate({rounds}, named_struct('lo', 0, 'hi', size({cuts})), {step}, s -> s.lo)"
+    return f"if(size({cuts}) = 0, {offset}, {offset} + coalesce(get({cuts}, {found} - 1).removed, 0))"

@@ -32,6 +32,7 @@ class Prepared:
 
 
 PREPARED_NAMES = ("__text", "__low", "__bare", "__bare_low")
+CUTS = "__cuts"
 
 
 def prepare(df: DataFrame, content: str, config: ScanConfig) -> DataFrame:
@@ -43,6 +44,7 @@ def prepare(df: DataFrame, content: str, config: ScanConfig) -> DataFrame:
     return df.withColumns({
         "__bare": bare,
         "__bare_low": F.when(fenced, F.lower(bare)).otherwise(F.col("__low")),
+        CUTS: tx.fence_cuts("__text"),
     })
 
 
@@ -76,7 +78,9 @@ def pattern_rule(rule: P.PatternRule) -> Column:
     """One detection per match, in pattern order and then match order.
 
     Each pattern only yields its matches and gap lengths; one shared expression
-    turns the hits of all patterns into detections with offsets.
+    turns the hits of all patterns into detections with offsets. Where fenced code
+    is ignored, offsets and lengths are those in the whole text: a match that was
+    put together across a fence covers the fence too.
     """
     text, low = ("__bare", "__bare_low") if rule.outside_fences else ("__text", "__low")
     facts = ", ".join(
@@ -97,12 +101,16 @@ def pattern_rule(rule: P.PatternRule) -> Column:
         f"{tx.found_and_gaps(text, for_spark(pat.scan or pat.regex, pat.ignore_case))}, {exact(pat)}), null)"
         for k, pat in enumerate(rule.patterns)
     )
+    first, length = "m.offset", "m.length"
+    if rule.outside_fences:
+        first = tx.place_before_cuts("m.offset", CUTS)
+        length = f"if(size({CUTS}) = 0, m.length, {tx.place_before_cuts('m.offset + m.length - 1', CUTS)} + 1 - {first})"
     return F.expr(f"""flatten(transform(
         filter(array({hits}), h -> h is not null and size(h.found) > 0),
         h -> transform(filter({tx.located("h.found", "h.gaps")}, (m, i) -> coalesce(get(h.ok, i), true)), m -> named_struct(
             'tier', '{rule.tier}', 'rule_id', '{rule.rule_id}', 'rule_name', get(array({facts}), h.k).name,
             'severity', get(array({facts}), h.k).severity,
-            'matched', substr(m.matched, 1, get(array({facts}), h.k).chars), 'offset', m.offset, 'length', m.length,
+            'matched', substr(m.matched, 1, get(array({facts}), h.k).chars), 'offset', {first}, 'length', {length},
             'confidence', get(array({facts}), h.k).confidence, 'metadata', cast(null as map<string, string>)))))""")
 
 

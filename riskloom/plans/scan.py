@@ -33,7 +33,7 @@ def detect(
     tiers[patterns.CONTEXTUAL] = rules.weighted(tiers[patterns.CONTEXTUAL], F.col("field_type"), F.col("is_external"))
     for name, tier in (extra_tiers or {}).items():
         tiers[name] = rules.capped(tier(p), config.max_detections)
-    return evaluated(df, tiers).drop(*rules.PREPARED_NAMES)
+    return evaluated(df, tiers).drop(*rules.PREPARED_NAMES, rules.CUTS)
 
 
 def _built_in_tiers(config: ScanConfig) -> dict[str, Column]:
