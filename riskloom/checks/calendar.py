@@ -11,6 +11,7 @@ from riskloom.checks.views import ACCOUNTS, V_ACCESS, V_CAL, v_access, v_cal, wi
 from riskloom.functions import times as tm
 from riskloom.operators import calendar_query as cq
 from riskloom.operators import conflicts as cf
+from riskloom.operators.overlap_counts import check_counts
 from riskloom.operators import registry as rg
 
 LOW, HIGH = datetime(2024, 1, 5), datetime(2024, 1, 20)
@@ -279,7 +280,8 @@ def ca_23(spark, sf):
  concat_ws('; ', CASE WHEN count(*) FILTER (WHERE similarity >= 0.7) > 0 THEN 'Found ' || count(*) FILTER (WHERE similarity >= 0.7) || ' potential duplicate(s)' END,
  'Found ' || count(*) || ' scheduling conflict(s)') AS warnings FROM v_sim GROUP BY a_id""", V_CAL, _PAIRS, _MATCH.format("v_pairs")))
 def ca_24(spark, sf):
-    return cf.check_summary(cf.conflict_pairs(v_cal(spark, sf)))
+    cal = v_cal(spark, sf)
+    return check_counts(cal, cal)
 
 
 # Local times shaped from the event number: naive, with offset, date only, malformed.

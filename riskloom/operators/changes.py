@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import times as tm
-from riskloom.operators.conflicts import BLOCK_SIMILARITY, check_summary, conflict_pairs_with
+from riskloom.operators.conflicts import BLOCK_SIMILARITY
+from riskloom.operators.overlap_counts import check_counts
 from riskloom.operators.recurrence import event_kind
 
 PATCHABLE = ("summary", "description", "location", "status", "transparency", "visibility", "recurrence", "attendees")
@@ -28,7 +29,7 @@ def gate_inserts(new: DataFrame, existing: DataFrame) -> DataFrame:
     A near-certain duplicate (similarity of 0.95 or more) rejects the insert
     unless ``allow_duplicates`` is set on the row.
     """
-    hits = check_summary(conflict_pairs_with(new, existing))
+    hits = check_counts(new, existing)
     joined = new.join(hits, "event_id", "left")
     blocked = F.coalesce(F.col("max_similarity") >= BLOCK_SIMILARITY, F.lit(False))
     return joined.withColumns({

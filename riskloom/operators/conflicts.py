@@ -131,6 +131,14 @@ def duplicates(pairs: DataFrame, threshold: float = WARN_SIMILARITY) -> DataFram
     )
 
 
+def warning_text() -> Column:
+    return F.concat_ws(
+        "; ",
+        F.when(F.col("n_duplicates") > 0, F.format_string("Found %d potential duplicate(s)", "n_duplicates")),
+        F.when(F.col("n_conflicts") > 0, F.format_string("Found %d scheduling conflict(s)", "n_conflicts")),
+    )
+
+
 def check_summary(pairs: DataFrame, threshold: float = WARN_SIMILARITY) -> DataFrame:
     """Per event with a hit: numbers of conflicts and duplicates, and the warning text."""
     alike = F.col("__alike")
@@ -139,11 +147,7 @@ def check_summary(pairs: DataFrame, threshold: float = WARN_SIMILARITY) -> DataF
         F.sum((alike >= threshold).cast("long")).alias("n_duplicates"),
         F.max(alike).alias("max_similarity"),
     )
-    return counts.withColumn("warnings", F.concat_ws(
-        "; ",
-        F.when(F.col("n_duplicates") > 0, F.format_string("Found %d potential duplicate(s)", "n_duplicates")),
-        F.when(F.col("n_conflicts") > 0, F.format_string("Found %d scheduling conflict(s)", "n_conflicts")),
-    ))
+    return counts.withColumn("warnings", warning_text())
 
 
 def busy_conflicts(events: DataFrame, busy: DataFrame, salt: int = SALT_SLICES) -> DataFrame:
