@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,9 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: Words of printable Latin letters and signs: composed already, with plain lower-case forms.
 _PLAIN = re.compile("[\x21-\x7e\xa1-ɏ]+")
-#: Words whose ids are remembered by a worker process.
-CACHED_WORDS = 300_000
+_SIGNS = b".,;:!?"
+#: Words, and parts of words, whose ids are remembered by a worker process; some 100 MB each when full.
+CACHED_WORDS = 700_000
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
@@ -53,19 +55,24 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    def _part(self, part: str) -> bytes:
+        """Ids of one lower-case part, remembered."""
+        ids = self.parts.get(part)
+        if ids is None:
+            shown = part if part.isascii() else part.encode().decode("latin1").translate(self.shown)
+            ids = self.parts[part] = array("i", [t.id for t in self.whole.model.tokenize(shown)]).tobytes()
+        return ids
+
     def _ids(self, word: bytes) -> bytes:
+        # Letters, or letters before one sign: most words, and their parts are plain to see.
+        if word.isalpha():
+            return self._part(word.lower().decode())
+        if word[-1] in _SIGNS and word[:-1].isalpha():
+            return self._part(word[:-1].lower().decode()) + self._part(chr(word[-1]))
         text = word.decode("utf-8", "replace")
         if _PLAIN.fullmatch(text) is None or any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
-        out = []
-        for part in self.cut.findall(text.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                shown = part.encode().decode("latin1").translate(self.shown)
-                ids = np.array([t.id for t in self.whole.model.tokenize(shown)], np.int32).tobytes()
-                self.parts[part] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self._part, self.cut.findall(text.lower())))
 
     def words(self, distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, flat, and the bounds of each word in them."""
