@@ -221,7 +221,7 @@ def _placed(docs: DataFrame, window: int, unit: int, depth: int, tokenizer: str,
     if window % unit:
         raise ValueError("the unit must divide the window")
     cut = pieces(docs, window, tokenizer, end_id, with_ids).withColumn("units", F.ceil(F.col("length") / unit).cast("int"))
-    whole = kept(cut.withColumn("__piece", F.monotonically_increasing_id()), "pieces")
+    whole = kept(cut.withColumn("__piece", F.monotonically_increasing_id()), "pieces", "zstd")
     rows = whole.drop("ids")
     histogram = {r["units"]: r["n"] for r in rows.groupBy("units").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = _places(plan(histogram, window // unit, depth))

@@ -27,10 +27,10 @@ def work_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/llm-{spark.sparkContext.applicationId}"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
+def kept(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it: lineage ends there, lost executors cost nothing."""
     path = f"{work_root(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
