@@ -388,7 +388,7 @@ def brute_classes(rows):
     return [(d, len(sets[i]), least[find(i)], d == least[find(i)]) for i, (d, _) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("plan", [chosen_path.ChosenPath(), chosen_path.ChosenPath(leaf=4, block=8, depth=2)])
+@pytest.mark.parametrize("plan", [chosen_path.ChosenPath(), chosen_path.ChosenPath(leaf=4, block=8, depth=2, pivots=1, turns=2, met=1)])
 def test_classes_equal_brute_force(spark, texts, plan):
     rng = np.random.default_rng(8)
     rows = [(d, t) for d, t, *_ in texts if d is not None and d != 85]
