@@ -7,29 +7,30 @@ counts are rounded to what the histogram has; and what is left is packed greedil
 in the histogram (longest first, with the longest that still fits), again as
 repeated combinations. All of this works on at most window / unit counts, however
 many documents there are. The pieces then take their places by their rank within
-their length: one global order and no group gathered anywhere. Places are worked
-out on rows without ids; the ids travel as bytes, by piece to the place and with
-it to the sequence, where :func:`filled` joins and pads them.
+their length, which follows from counts per task and length: no order over all
+pieces, no group gathered. The ids travel once, as bytes, to their sequence, where
+:func:`filled` joins and pads them.
 
 Defined results: a null or empty text is its end id alone; a document longer than
 the window is cut into whole windows and a rest; repeated rows are packed each; an
 empty table gives no rows; extra columns are ignored; pieces of one length are
-placed by a hash of their document, ties by id, start and checksum.
+placed in the order in which the tasks read them, so another split of the input
+may place them otherwise.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskloom.llm.shared import in_arrow, kept, ordered, ranked
+from riskloom.llm.shared import in_arrow, kept
 from riskloom.llm.tokens import encoder, pieces_of, tokenizer_path
 from riskloom.llm.words import in_pieces, ranges
 
@@ -37,6 +38,8 @@ WINDOW = 2048
 UNIT = 8
 DEPTH = 3
 END_ID = 1
+#: Counts per task and length are broadcast up to this many rows of 16 bytes, and joined by a shuffle beyond.
+BROADCAST_STARTS = 1 << 20
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -211,29 +214,58 @@ def packed(
 ) -> DataFrame:
     """The pieces with ``sequence_id`` (gapless from 0) and ``offset`` in the sequence, and their ids."""
     tokenizer = tokenizer or tokenizer_path()
-    rows = _placed(docs, window, unit, depth, tokenizer, end_id, with_ids)
+    before = Window.partitionBy("sequence_id").orderBy(*_in_sequence()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = _placed(docs, window, unit, depth, tokenizer, end_id, with_ids).withColumn(
+        "offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("part", "units", "nth", "rank")
     schema = ", ".join(f"`{n}` {'array<int>' if n == 'ids' else k}" for n, k in rows.dtypes)
     return in_arrow(rows, _read(_kind(tokenizer)), schema) if with_ids else rows
 
 
+def _numbered(cut: Callable, unit: int, units: int):
+    """The pieces with their length in units and their number among the task's pieces of that length."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(units + 1, np.int64)
+        for batch in cut(batches):
+            length = batch.column(batch.schema.get_field_index("length")).to_numpy(zero_copy_only=False)
+            size = -(-length // unit)
+            order = np.argsort(size, kind="stable")
+            alike = size[order]
+            nth = np.empty(len(size), np.int64)
+            nth[order] = np.arange(len(size)) - np.searchsorted(alike, alike) + seen[alike]
+            seen += np.bincount(size, minlength=units + 1)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(size.astype(np.int32)), pa.array(nth)], names=[*batch.schema.names, "units", "nth"])
+
+    return work
+
+
 def _placed(docs: DataFrame, window: int, unit: int, depth: int, tokenizer: str, end_id: int, with_ids: bool) -> DataFrame:
-    """Rows of :func:`packed` with ids as bytes."""
+    """Pieces with ids as bytes, ``sequence_id``, and ``units, part, nth``, which order the pieces of a sequence.
+
+    A piece's rank among those of its length is its number in its task plus the counts
+    of the tasks before, so only those counts are shuffled, no piece.
+    """
     if window % unit:
         raise ValueError("the unit must divide the window")
-    cut = pieces(docs, window, tokenizer, end_id, with_ids).withColumn("units", F.ceil(F.col("length") / unit).cast("int"))
-    whole = kept(cut.withColumn("__piece", F.monotonically_increasing_id()), "pieces", "zstd")
-    rows = whole.drop("ids")
-    histogram = {r["units"]: r["n"] for r in rows.groupBy("units").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = PIECE + (", ids binary" if with_ids else "") + ", units int, nth long"
+    cut = in_arrow(rows, _numbered(_cut(tokenizer, window, end_id, with_ids), unit, window // unit), schema)
+    whole = kept(cut.withColumn("part", F.spark_partition_id()), "pieces", "zstd")
+    before = Window.partitionBy("units").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = whole.groupBy("part", "units").agg(F.count(F.lit(1)).alias("n"))
+    starts = kept(counts.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))), "starts")
+    histogram = {r["units"]: r["n"] for r in starts.groupBy("units").agg(F.sum("n").alias("n")).collect()}
     places = _places(plan(histogram, window // unit, depth))
-    keys = [F.col("units"), F.xxhash64("doc_id", "start"), F.col("doc_id"), F.col("start"), F.col("ids_crc32")]
-    numbered = ranked(ordered(rows, *keys, name="piece_order"), F.col("units"), "rank")
-    schema = ", ".join(f"`{n}` {k}" for n, k in numbered.dtypes) + ", sequence_id long"
-    seated = in_arrow(numbered, _seat(places), schema)
-    before = Window.partitionBy("sequence_id").orderBy(F.desc("units"), "__row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = seated.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("units", "rank", "__row")
-    if with_ids:
-        placed = placed.join(whole.select("__piece", "ids"), "__piece")
-    return placed.drop("__piece")
+    few = starts.count() <= BROADCAST_STARTS
+    starts = starts.drop("n")
+    ranks = whole.join(F.broadcast(starts) if few else starts, ["part", "units"]).withColumn(
+        "rank", F.col("nth") + F.col("ahead")).drop("ahead")
+    return in_arrow(ranks, _seat(places), ", ".join(f"`{n}` {k}" for n, k in ranks.dtypes) + ", sequence_id long")
+
+
+def _in_sequence() -> list[Column]:
+    """How the pieces of one sequence lie: longest first."""
+    return [F.desc("units"), F.col("part"), F.col("nth")]
 
 
 def sequences(packed_rows: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:
@@ -307,5 +339,5 @@ def filled(
     """
     tokenizer = tokenizer or tokenizer_path()
     rows = _placed(docs, window, unit, depth, tokenizer, end_id, True)
-    dealt = rows.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+    dealt = rows.repartition("sequence_id").sortWithinPartitions("sequence_id", *_in_sequence())
     return in_arrow(dealt, _fill(_kind(tokenizer), window, pad_id), PIECE + ", sequence_id long, offset long, sequence array<int>")
