@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskloom.llm.shared import in_arrow, kept, ordered, part_of, ranked
+from riskloom.llm.shared import free_name, in_arrow, kept, ordered, part_of, ranked
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -161,14 +161,16 @@ def _times(plan: Curriculum):
     return work
 
 
-def allocation(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
-    """``doc_id, source, row_key, size, source_size, target, taken, times`` of every row of ``docs``.
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all columns, nulls told apart: rows that share it and their id are alike."""
+    hashable = [F.to_json(F.struct(c)) if "map<" in k or k == "variant" else F.col(f"`{c}`") for c, k in docs.dtypes]
+    return F.xxhash64(*hashable, *(c.isNull() for c in hashable))
 
-    ``times`` holds the training time of each copy the mix takes, so its length is
-    the number of copies. ``row_key`` tells documents of one id apart by text.
-    """
+
+def _allocated(docs: DataFrame, plan: Curriculum) -> DataFrame:
+    """:func:`allocation` with ``row_no``, another number for every row."""
     sizes = kept(docs.select(
-        "doc_id", "source", F.xxhash64("doc_id", "source", "text").alias("row_key"), word_count(F.col("text")).alias("size")), "sizes")
+        "doc_id", "source", row_key(docs).alias("row_key"), word_count(F.col("text")).alias("size")), "sizes")
     goal = kept(targets(sizes, plan).withColumn("source_no", F.monotonically_increasing_id()), "targets")
     named = sizes.join(
         goal.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
@@ -176,19 +178,40 @@ def allocation(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
     rows = ordered(kept(named, "named"), *(F.col(k) if isinstance(k, str) else k for k in keys), name="mix_order")
     placed = _prefix(rows)
     schema = ", ".join(f"`{n}` {k}" for n, k in placed.dtypes) + ", taken long, times array<double>"
-    return in_arrow(placed, _times(plan), schema).drop("__row", "source_no", "start")
+    return in_arrow(placed, _times(plan), schema).withColumnRenamed("__row", "row_no").drop("source_no", "start")
+
+
+def allocation(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
+    """``doc_id, source, row_key, size, source_size, target, taken, times`` of every row of ``docs``.
+
+    ``times`` holds the training time of each copy the mix takes, so its length is
+    the number of copies. ``row_key`` tells documents of one id apart by their columns.
+    """
+    return _allocated(docs, plan).drop("row_no")
+
+
+def scheduled(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
+    """:func:`allocation` with ``positions``: the place of each copy, from 0, in the training order of all copies.
+
+    Copies are range-sorted by time, ties by their row; the sort carries no texts.
+    """
+    rows = kept(_allocated(docs, plan), "allocated")
+    copies = rows.select("row_no", F.explode("times").alias("time"))
+    placed = ranked(ordered(copies, F.col("time"), F.col("row_no"), name="training_order"), F.lit(0), "position")
+    positions = placed.groupBy("row_no").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    none = F.array().cast("array<long>")
+    return rows.join(positions, "row_no", "left").withColumn("positions", F.coalesce("positions", none)).drop("row_no")
 
 
 def mixed(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
     """The copies of the rows that the mix takes, in training order, with the columns of ``docs``.
 
-    Rows of one key are counted on both sides, so a row that occurs twice is
-    taken as often as its two entries say.
+    Rows alike in all columns are counted on both sides, so a row that occurs twice
+    is taken as often as its two entries say.
     """
-    share = kept(allocation(docs, plan).select("row_key", F.explode("times").alias("__time")), "copies")
-    # Rows alike in id, source and text share a key; each such row gets the same number of copies of the key's list.
-    lists = share.groupBy("row_key").agg(F.sort_array(F.collect_list("__time")).alias("__times"))
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "source", "text"))
-    once = keyed.join(lists, "row_key").dropDuplicates(["row_key"])
-    out = once.withColumn("__time", F.explode("__times"))
-    return out.repartitionByRange("__time", "row_key").sortWithinPartitions("__time", "row_key").select(*docs.columns)
+    key, time, own = (free_name(docs, n) for n in ("row_key", "time", "own_id"))
+    copies = kept(allocation(docs, plan).select(
+        F.col("row_key").alias(key), F.col("doc_id").alias(own), F.explode("times").alias(time)), "copies")
+    once = docs.withColumn(key, row_key(docs)).dropDuplicates(["doc_id", key])
+    out = copies.join(once, (copies[key] == once[key]) & copies[own].eqNullSafe(once["doc_id"])).drop(copies[key])
+    return out.repartitionByRange(time, key).sortWithinPartitions(time, key).select(*docs.columns)

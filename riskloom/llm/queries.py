@@ -144,8 +144,8 @@ def op8(spark, sf):
 def op9(spark, sf):
     from riskloom.llm import curriculum
 
-    rows = curriculum.allocation(table(spark, sf, "documents"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", "times")
+    rows = curriculum.scheduled(table(spark, sf, "documents"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", "times", "positions")
 
 
 @query("op10_multi_index")
