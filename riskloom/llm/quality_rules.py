@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from riskloom.llm.shared import kept
+from riskloom.llm.shared import free_name, kept
 
 SPACES = r"[\x20\x09-\x0D]+"
 SIGNS = r"[^#*$%&|<>]+"
@@ -257,7 +257,9 @@ def judged(
 def filtered(
     docs: DataFrame, labels: DataFrame, control: RiskControl = RiskControl(), stratum: str = "lang", joint: bool = False,
 ) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns."""
-    keep = judged(docs, labels, control, stratum, joint).where("kept").select("row_key")
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    return keyed.join(keep, "row_key", "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that are kept, with their columns; rows of one id and text are judged by their own stratum."""
+    key, group = free_name(docs, "row_key"), free_name(docs, "row_stratum")
+    keep = judged(docs, labels, control, stratum, joint).where("kept").select(
+        F.col("row_key").alias(key), F.col("stratum").alias(group)).distinct()
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    return keyed.join(keep, (keyed[key] == keep[key]) & keyed[stratum].eqNullSafe(keep[group]), "left_semi").select(*docs.columns)

@@ -1,38 +1,44 @@
 """Sharding by fixed virtual slots and a versioned slot-to-shard map (DataFrame functions only).
 
-Every row hashes into one of a fixed number of slots. Bytes are summed per slot,
+Every row hashes, by id and text, into one of a fixed number of slots, so neither
+a null nor a repeated id fills one. Bytes are summed per slot,
 slots are dealt to shards so that bytes are near equal, and the map is a table
 with a version. Rebalancing edits the map and leaves the hash alone, so a slot
 moves whole or stays.
 
-Defined results: a null id hashes as the word ``null``; a null text has no bytes
-and size 1; equal rows share a slot; an empty table gives no rows and a map of
-empty slots; extra columns are ignored.
+Defined results: a null id hashes like no other; a null text has no bytes
+and size 1; rows of one id and text share a slot; an empty table gives no rows and
+a map of empty slots; extra columns are ignored, but kept by :func:`write_shards`.
 """
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.shared import kept, ordered, ranked
+from riskloom.llm.shared import free_name, kept, ordered, ranked
 
 SLOTS = 4096
 SHARDS = 16
 _MAP = "slot_no int, shard int, bytes long, version int"
 
 
+def slot_of(doc_id: Column, text: Column, slots: int = SLOTS) -> Column:
+    """The slot of a row: its id and text decide, and the number of slots."""
+    key = F.coalesce(doc_id.cast("string"), F.lit("null"))
+    return F.pmod(F.xxhash64(key, doc_id.isNull(), F.coalesce(text, F.lit(""))), F.lit(slots)).cast("int")
+
+
 def sized(docs: DataFrame, slots: int = SLOTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, slot_no`` of every row; the text itself is not carried on."""
     body = F.coalesce(F.col(text), F.lit(""))
-    key = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
     return docs.select(
         F.col(doc_id).alias("doc_id"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(key), F.lit(slots)).cast("int").alias("slot_no"))
+        slot_of(F.col(doc_id), F.col(text), slots).alias("slot_no"))
 
 
 def slot_bytes(rows: DataFrame, slots: int = SLOTS) -> list[int]:
@@ -129,3 +135,29 @@ def shard_table(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_p
         write_map(spark, map_path, shard_of, sizes, 0)
         slot_map = read_map(spark, map_path, 0)
     return place(rows, slot_map)
+
+
+def rebalanced(docs: DataFrame, map_path: str, version: int, shards: int, slots: int = SLOTS) -> DataFrame:
+    """Read the map of ``version``, edit it for the bytes of ``docs`` and ``shards``, and store it as the next version.
+
+    Returns the new map. The old version stays, so readers of it are not disturbed.
+    """
+    spark = docs.sparkSession
+    old = [0] * slots
+    for row in read_map(spark, map_path, version).collect():
+        old[row["slot_no"]] = row["shard"]
+    sizes = slot_bytes(sized(docs, slots), slots)
+    write_map(spark, map_path, edited_map(old, sizes, shards), sizes, version + 1)
+    return read_map(spark, map_path, version + 1)
+
+
+def write_shards(docs: DataFrame, path: str, map_path: str, version: int, slots: int = SLOTS, files: int = 8) -> None:
+    """Write whole documents as Parquet, one folder ``shard=k`` per shard of the map, under ``path/version=n``.
+
+    A shard is dealt over ``files`` tasks by slot; writing a version again replaces it.
+    """
+    shard, slot = free_name(docs, "shard"), free_name(docs, "slot_no")
+    slot_map = read_map(docs.sparkSession, map_path, version).withColumnsRenamed({"shard": shard, "slot_no": slot})
+    placed = docs.withColumn(slot, slot_of(F.col("doc_id"), F.col("text"), slots)).join(F.broadcast(slot_map), slot)
+    dealt = placed.repartition(shard, F.pmod(F.col(slot), F.lit(files))).drop(slot)
+    dealt.write.mode("overwrite").partitionBy(shard).parquet(f"{path}/version={version}")

@@ -425,6 +425,32 @@ def test_shards(docs, texts, tmp_path):
     assert len({(r["slot_no"], r["shard"]) for r in rows}) == len({r["slot_no"] for r in rows})
 
 
+def test_null_and_repeated_ids_spread(spark):
+    rows = [(None if k % 2 else 7, f"text {k}") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    load = Counter()
+    for r in slots.shard_table(docs, shards=4, slots=512).collect():
+        load[r["shard"]] += r["size"]
+    assert len(load) == 4 and max(load.values()) - min(load.values()) < 0.02 * sum(load.values())
+
+
+def test_versions_of_the_map_and_written_shards(spark, tmp_path):
+    where, out = str(tmp_path / "map"), str(tmp_path / "out")
+    rows = [(None if k % 50 == 0 else k, f"text {k}", "mine") for k in range(800)]
+    clash = spark.createDataFrame(rows, "doc_id long, text string, shard string")
+    before = {r["slot_no"]: r["shard"] for r in slots.shard_table(clash, 4, 64, where).select("slot_no", "shard").collect()}
+    after = {r["slot_no"]: r["shard"] for r in slots.rebalanced(clash, where, 0, 5, 64).collect()}
+    assert len(after) == 64 and max(after.values()) == 4
+    assert {r["slot_no"]: r["shard"] for r in slots.read_map(spark, where, 0).collect()}.items() >= before.items()
+    assert sum(after[k] != v for k, v in before.items()) < len(before) / 2
+    for version, held in ((0, before), (1, after)):
+        slots.write_shards(clash, out, where, version, 64)
+        written = spark.read.parquet(f"{out}/version={version}")
+        want = Counter((r["doc_id"], held[r["slot_no"]]) for r in slots.sized(clash, 64).collect())
+        assert Counter((r["doc_id"], r["_shard"]) for r in written.collect()) == want
+        assert set(written.columns) == {*clash.columns, "_shard"}
+
+
 def test_editing_the_map_moves_little():
     rng = np.random.default_rng(3)
     sizes = rng.integers(100, 1000, 4096).tolist()
@@ -482,6 +508,24 @@ def test_mixed_repeats_rows_in_order(docs):
     assert Counter(r["doc_id"] for r in out.collect()) == +times
 
 
+def test_mixed_keeps_rows_that_differ_in_one_column(spark):
+    rows = [(1, "a", "one two", k, None) for k in range(6)] + [(None, None, "x", None, 3), (None, None, "x", 3, None)]
+    rows += [(2, "a", "one two", 9, 9)] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, row_key int, time int")
+    plan = curriculum.Curriculum(share=2.0)
+    got = Counter(tuple(r) for r in curriculum.mixed(docs, plan).collect())
+    assert got == Counter({r: 2 * n for r, n in Counter(rows).items()})
+
+
+def test_positions_follow_times(docs):
+    rows = curriculum.scheduled(docs).collect()
+    copies = sorted((t, p) for r in rows for t, p in zip(r["times"], r["positions"], strict=True))
+    assert [p for _, p in copies] != [] and sorted(p for _, p in copies) == list(range(len(copies)))
+    at = {p: t for t, p in copies}
+    assert all(at[k] <= at[k + 1] for k in range(len(at) - 1))
+    assert len(rows) == docs.count()
+
+
 def test_demand_is_inverted():
     for knots in curriculum.Curriculum().schedules:
         share = np.linspace(0, 1, 41)
