@@ -55,6 +55,20 @@ RULE_PARTS = ("FREQ", "INTERVAL", "COUNT", "UNTIL", "BYDAY", "BYMONTHDAY", "WKST
 FREQUENCIES = ("DAILY", "WEEKLY", "MONTHLY", "YEARLY")
 
 
+# Numbers a rule may name: from 1 on, and days of a month from either end.
+POSITIVE = "^0*[1-9][0-9]{0,4}$"
+MONTH_DAYS = "^[+-]?(0?[1-9]|[12][0-9]|3[01])(,[+-]?(0?[1-9]|[12][0-9]|3[01]))*$"
+
+
+def _malformed(rule: Column, name: str, pattern: str) -> Column:
+    return F.coalesce(~F.rlike(_part(rule, name), F.lit(pattern)), F.lit(False))
+
+
+def _number(rule: Column, name: str) -> Column:
+    """A positive number of a rule; null where there is none or it is malformed."""
+    return F.when(~_malformed(rule, name, POSITIVE), _part(rule, name).try_cast("int"))
+
+
 def unsupported(recurrence: Column, rule: Column) -> Column:
     """Why a rule is not worked out; null when it is (or when there is none)."""
     freq, days = _part(rule, "FREQ"), _part(rule, "BYDAY")
@@ -66,6 +80,9 @@ def unsupported(recurrence: Column, rule: Column) -> Column:
         .when(rules > 1, F.lit("more than one rule"))
         .when(freq.isNull() | ~freq.isin(*FREQUENCIES), F.concat(F.lit("FREQ="), F.coalesce(freq, F.lit("?"))))
         .when(F.size(other) > 0, F.array_join(other, ","))
+        .when(_malformed(rule, "INTERVAL", POSITIVE), F.concat(F.lit("INTERVAL="), _part(rule, "INTERVAL")))
+        .when(_malformed(rule, "COUNT", POSITIVE), F.concat(F.lit("COUNT="), _part(rule, "COUNT")))
+        .when(_malformed(rule, "BYMONTHDAY", MONTH_DAYS), F.concat(F.lit("BYMONTHDAY="), _part(rule, "BYMONTHDAY")))
         .when(days.isNotNull() & ((freq != "WEEKLY") | ~F.rlike(days, F.lit("^(MO|TU|WE|TH|FR|SA|SU)(,(MO|TU|WE|TH|FR|SA|SU))*$"))), F.concat(
             F.lit("BYDAY="), days))
         .when(_part(rule, "BYMONTHDAY").isNotNull() & (freq != "MONTHLY"), F.lit("BYMONTHDAY"))
@@ -102,15 +119,15 @@ def instances(events: DataFrame, time_min: datetime, time_max: datetime, zone: C
     parsed = events.withColumns({"__rule": rule, "__zone": zone}).withColumns({
         "unexpanded": unsupported(F.col("recurrence"), F.col("__rule")),
         "__freq": _part(F.col("__rule"), "FREQ"),
-        "__every": F.coalesce(_part(F.col("__rule"), "INTERVAL").cast("int"), F.lit(1)),
-        "__count": _part(F.col("__rule"), "COUNT").cast("int"),
+        "__every": F.coalesce(_number(F.col("__rule"), "INTERVAL"), F.lit(1)),
+        "__count": _number(F.col("__rule"), "COUNT"),
         "__until": F.coalesce(
             F.try_to_timestamp(_part(F.col("__rule"), "UNTIL"), F.lit(COMPACT_UTC)),
             F.try_to_timestamp(_part(F.col("__rule"), "UNTIL"), F.lit("yyyyMMdd")),
         ),
         "__length": seconds("end_ts") - seconds("start_ts"),
         "__days": F.split(_part(F.col("__rule"), "BYDAY"), ","),
-        "__month_days": F.split(_part(F.col("__rule"), "BYMONTHDAY"), ",").cast("array<int>"),
+        "__month_days": F.transform(F.split(_part(F.col("__rule"), "BYMONTHDAY"), ","), lambda d: d.try_cast("int")),
         "__out": F.coalesce(excluded_starts(F.col("recurrence"), F.col("__zone")), F.array().cast("array<timestamp>")),
         "__local": F.from_utc_timestamp("start_ts", F.col("__zone")),
     }).withColumn("__last", F.least(F.coalesce("__until", high), high)).withColumn(

@@ -38,3 +38,9 @@ def test_a_rule_that_is_not_worked_out_is_not_lost(spark):
     for rule, reason in (("RRULE:FREQ=HOURLY", "FREQ=HOURLY"), ("RRULE:FREQ=MONTHLY;BYSETPOS=1", "BYSETPOS")):
         got = starts(spark, [rule], datetime(2020, 1, 1, 9), datetime(2024, 1, 1), datetime(2024, 2, 1))
         assert got == [(datetime(2020, 1, 1, 9), reason)]
+
+
+def test_malformed_numbers_are_reasons(spark):
+    for part in ("INTERVAL=0", "INTERVAL=x", "COUNT=abc", "COUNT=0", "COUNT=-3", "BYMONTHDAY=0", "BYMONTHDAY=1,x"):
+        got = starts(spark, [f"RRULE:FREQ=MONTHLY;{part}"], datetime(2020, 1, 1, 9), datetime(2024, 1, 1), datetime(2024, 2, 1))
+        assert got == [(datetime(2020, 1, 1, 9), part)]
