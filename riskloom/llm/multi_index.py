@@ -6,21 +6,28 @@ of the summed closeness of their two centroids, found with a heap over the two
 sorted lists, until enough entries are covered; the entries of those cells are
 ranked again on the original vectors.
 
-The centroids and the part of the entries that must be covered for the wanted
-recall are fitted on at most ``sample_rows`` vectors (smallest hashed ids); every
-row is indexed. Large cells are cut into blocks and so are the queries, so a task
-works on one block of each.
+The number of centroids follows the number of rows, so that a cell holds about
+one block of entries whatever the table (up to ``most_centroids`` per half). The
+centroids and the part of the entries that must be covered for the wanted recall
+are fitted on a bounded sample (smallest hashed ids): ``sample_rows`` vectors, or
+``per_centroid`` for each centroid if that is more. Every row is indexed. Queries
+go to the cells they visit; a cell is cut into blocks of entries and of the
+queries that visit it, and a task works on one block of each, so entries are
+copied only where more than one block of queries comes to their cell.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part, nor do vectors of another length than most; with fewer
-than k candidates all that are found come out; ties go to the smaller id; copies
-of a vector are entries of their own; a null id takes no part; an empty table
-gives no rows; extra columns are ignored.
+than k candidates all that are found come out; ties go to the smaller id; every
+row is an entry of its own, also copies of a vector and rows that repeat an id:
+each such row asks for itself (so its ``query_id`` has every rank once per row)
+and is a candidate of the others; a null id takes no part; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,16 +42,23 @@ from riskloom.llm.shared import deliver, in_arrow, kept, smallest_hashed
 
 @dataclass(frozen=True)
 class MultiIndex:
-    """``centroids`` per half; ``recall`` aimed at on the sample; block sizes of entries and queries."""
+    """Least and most centroids per half; bounds of the sample; ``recall`` aimed at on it; block sizes."""
 
     centroids: int = 8
+    most_centroids: int = 1_024
     sample_rows: int = 10_000
+    per_centroid: int = 40
     test_queries: int = 200
     recall: float = 0.96
     entry_block: int = 4_000
     query_block: int = 2_000
     seed: int = 10
 
+    def centroids_for(self, rows: int) -> int:
+        """Centroids per half: a cell for each block of entries."""
+        wanted = math.isqrt(-(-rows // self.entry_block))
+        return max(self.centroids, min(self.most_centroids, wanted))
+
 
 @dataclass(frozen=True)
 class Fitted:
@@ -102,16 +116,17 @@ def visited(query: np.ndarray, left: np.ndarray, right: np.ndarray, sizes: np.nd
     return out
 
 
-def fit(vectors: DataFrame, plan: MultiIndex, k: int) -> Fitted | None:
+def fit(vectors: DataFrame, plan: MultiIndex, k: int, rows_in_all: int) -> Fitted | None:
     """Centroids and coverage from the bounded sample; None without vectors."""
-    rows = smallest_hashed(vectors, plan.sample_rows, "vec_id", plan.seed).collect()
+    centroids = plan.centroids_for(rows_in_all)
+    rows = smallest_hashed(vectors, max(plan.sample_rows, plan.per_centroid * centroids), "vec_id", plan.seed).collect()
     if not rows:
         return None
     ids = np.array([r["vec_id"] for r in rows], np.int64)
     x = np.array([r["vec"] for r in rows], np.float64)
     rng = np.random.default_rng(plan.seed)
     half = (x.shape[1] + 1) // 2
-    left, right = _kmeans(x[:, :half], plan.centroids, rng), _kmeans(x[:, half:], plan.centroids, rng)
+    left, right = _kmeans(x[:, :half], centroids, rng), _kmeans(x[:, half:], centroids, rng)
     cell = cells_of(x, left, right)
     sizes = np.bincount(cell, minlength=len(left) * len(right))
     tests = x[: plan.test_queries]
@@ -141,7 +156,7 @@ def _assign(fitted: Fitted):
 
 
 def _probe(fitted: Fitted, sizes: np.ndarray, k: int):
-    """Rows (cell, query_id, vec, floor) of each query.
+    """Each query (row, query_id, vec) with the ``cells`` it visits and its ``floor``.
 
     ``floor`` is the k-th best score among the sampled entries of the cells it
     visits: entries below it cannot be among its k nearest found.
@@ -150,51 +165,56 @@ def _probe(fitted: Fitted, sizes: np.ndarray, k: int):
         need = max(fitted.cover * sizes.sum(), k + 1)
         home = cells_of(fitted.sample, fitted.left, fitted.right)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            x = np.array(batch.column(1).to_pylist(), np.float64)
-            for low in range(0, len(ids), 500):
-                part = slice(low, low + 500)
-                scores = x[part] @ fitted.sample.T
-                scores[ids[part, None] == fitted.sample_ids[None, :]] = -np.inf
-                cells = [visited(q, fitted.left, fitted.right, sizes, need) for q in x[part]]
-                seen = np.zeros((len(scores), len(sizes)), bool)
-                for line, own in zip(seen, cells, strict=True):
-                    line[own] = True
-                scores[~seen[:, home]] = -np.inf
+            for low in range(0, batch.num_rows, 200):
+                part = batch.slice(low, 200)
+                ids = part.column(1).to_numpy(zero_copy_only=False)
+                x = np.array(part.column(2).to_pylist(), np.float64)
+                scores = x @ fitted.sample.T
+                scores[ids[:, None] == fitted.sample_ids[None, :]] = -np.inf
+                cells = [visited(q, fitted.left, fitted.right, sizes, need) for q in x]
+                seen = np.zeros(len(sizes), bool)
+                for line, own in zip(scores, cells, strict=True):
+                    seen[own] = True
+                    line[~seen[home]] = -np.inf
+                    seen[own] = False
                 if scores.shape[1] > k:
                     floor = np.partition(scores, -k, axis=1)[:, -k] - 1e-9
                 else:
                     floor = np.full(len(scores), -np.inf)
-                n = [len(c) for c in cells]
-                row = np.repeat(np.arange(len(n)), n)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([np.array(c, np.int32) for c in cells])), pa.array(ids[part][row]),
-                    batch.column(1).slice(low, 500).take(pa.array(row)), pa.array(floor[row])],
-                    names=["cell", "query_id", "vec", "floor"])
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(floor), pa.array(cells, pa.list_(pa.int32()))], names=[*part.schema.names, "floor", "cells"])
 
     return work
 
 
 def _rerank(k: int):
+    schema = pa.schema([
+        ("query_row", pa.int64()), ("query_id", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
     def work(key, entries: pa.Table, queries: pa.Table) -> pa.Table:
-        empty = {"query_id": [], "vec_id": [], "score": []}
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not entries.num_rows or not queries.num_rows:
-            return pa.table(empty, schema)
-        e_id, q_id = (t.column(n).to_numpy() for t, n in ((entries, "vec_id"), (queries, "query_id")))
+            return schema.empty_table()
+        e_id, e_row = (entries.column(n).to_numpy() for n in ("vec_id", "row"))
+        q_id, q_row, floors = (queries.column(n).to_numpy() for n in ("query_id", "row", "floor"))
         e, q = (np.array(t.column("vec").to_pylist(), np.float64) for t in (entries, queries))
-        floor = queries.column("floor").to_numpy()
-        scores = q @ e.T
-        scores[q_id[:, None] == e_id[None, :]] = -np.inf
-        if scores.shape[1] > k:
-            floor = np.maximum(floor, np.partition(scores, -k, axis=1)[:, -k] - 1e-9)
-        i, j = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
-        exact = np.zeros(len(i))
-        for d in range(e.shape[1]):
-            exact += q[i, d] * e[j, d]
-        return pa.table({"query_id": q_id[i], "vec_id": e_id[j], "score": exact}, schema)
+        made = []
+        # A few queries at a time: many equal vectors may all reach the floor.
+        for low in range(0, len(q), 64):
+            own = slice(low, low + 64)
+            scores, floor = q[own] @ e.T, floors[own]
+            scores[q_row[own, None] == e_row[None, :]] = -np.inf
+            if scores.shape[1] > k:
+                floor = np.maximum(floor, np.partition(scores, -k, axis=1)[:, -k] - 1e-9)
+            i, j = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+            exact = np.zeros(len(i))
+            for d in range(e.shape[1]):
+                exact += q[low + i, d] * e[j, d]
+            order = np.lexsort((e_row[j], e_id[j], -exact, i))
+            i, j, exact = i[order], j[order], exact[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            i, j, exact = low + i[place < k], j[place < k], exact[place < k]
+            made.append(pa.table([q_row[i], q_id[i], e_row[j], e_id[j], exact], schema=schema))
+        return pa.concat_tables(made)
 
     return work
 
@@ -213,24 +233,37 @@ def nearest(
     if widths is None:
         return spark.createDataFrame([], result)
     rows = rows.where(F.size("vec") == widths["w"])
-    fitted = fit(rows, plan, k)
+    fitted = fit(rows, plan, k, widths["n"])
     kind = dict(rows.dtypes)["vec"]
-    entries = kept(in_arrow(rows, _assign(fitted), f"vec_id long, vec {kind}, asks boolean, cell int"), "entries")
+    # The number of a row is fixed by writing it: it tells rows that repeat an id apart.
+    entries = kept(in_arrow(rows, _assign(fitted), f"vec_id long, vec {kind}, asks boolean, cell int").withColumn(
+        "row", F.monotonically_increasing_id()), "entries")
     sizes = np.zeros(len(fitted.left) * len(fitted.right), np.int64)
-    for r in entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
+    counts = entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    for r in counts.collect():
         sizes[r["cell"]] = r["n"]
-    asked = entries.where("asks").select("vec_id", "vec")
-    query_blocks = -(-asked.count() // plan.query_block)
-    blocks = F.get(F.array(*(F.lit(int(-(-n // plan.entry_block) or 1)) for n in sizes)), F.col("cell"))
-    probes = in_arrow(asked, _probe(fitted, sizes, k), f"cell int, query_id long, vec {kind}, floor double")
-    probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn(
-        "query_block", F.pmod(F.xxhash64("query_id"), F.lit(max(query_blocks, 1))).cast("int"))
-    blocked = entries.select(
-        "vec_id", "vec", "cell", F.pmod(F.xxhash64("vec_id"), blocks).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(max(query_blocks, 1) - 1))).alias("query_block"))
+    asked = entries.where("asks").select("row", F.col("vec_id").alias("query_id"), "vec")
+    probes = kept(in_arrow(
+        asked, _probe(fitted, sizes, k), f"row long, query_id long, vec {kind}, floor double, cells array<int>"), "probes")
+    # Blocks per cell, by its entries and by the queries that visit it: at most most_centroids ** 2 rows.
+    visits = probes.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
+    blocks = F.broadcast(counts.join(visits, "cell").select(
+        "cell", F.ceil(F.col("n") / plan.entry_block).cast("int").alias("blocks"),
+        F.ceil(F.col("m") / plan.query_block).cast("int").alias("query_blocks")))
+
+    def spread(over: str, by: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(by)), F.col(over)).cast("int")
+
+    def every(over: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(over) - 1))
+
+    blocked = entries.select("row", "vec_id", "vec", "cell").join(blocks, "cell").withColumn(
+        "block", spread("blocks", "row")).withColumn("query_block", every("query_blocks")).drop("blocks", "query_blocks")
+    asking = probes.withColumn("cell", F.explode("cells")).drop("cells").join(blocks, "cell").withColumn(
+        "query_block", spread("query_blocks", "row")).withColumn("block", every("blocks")).drop("blocks", "query_blocks")
     keys = ["cell", "block", "query_block"]
-    found = blocked.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(
-        _rerank(k), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = blocked.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(
+        _rerank(k), "query_row long, query_id long, row long, vec_id long, score double")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

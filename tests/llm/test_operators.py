@@ -563,6 +563,39 @@ def test_neighbours_and_recall(spark):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def test_index_takes_repeated_ids_and_a_common_vector_as_rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 6)).astype(np.float32)
+    ids = [k // 2 if k < 80 else k for k in range(400)]
+    x[150:300] = x[150]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    plan = multi_index.MultiIndex(centroids=3, entry_block=40, query_block=7, recall=1.0)
+    got: dict = {}
+    for r in multi_index.nearest(vectors, F.col("vec_id") % 20 == 0, 20, plan).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    rows, hits, asked = {}, 0, 0
+    for k, i in enumerate(ids):
+        if i % 20 == 0:
+            rows.setdefault(i, []).append(k)
+    assert sorted(got) == sorted(rows)
+    wide = x.astype(np.float64)
+    for i, own in rows.items():
+        assert sorted(r for r, _, _ in got[i]) == sorted(list(range(1, 21)) * len(own))
+        want = []
+        for k in own:
+            near = sorted((j for j in range(400) if j != k), key=lambda j: (-sum(wide[k] * wide[j]), ids[j]))[:20]
+            want += [(r + 1, ids[j]) for r, j in enumerate(near)]
+        found = [(r, v) for r, v, _ in got[i]]
+        asked += len(want)
+        hits += sum(min(found.count(f), want.count(f)) for f in set(found))
+    assert hits >= 0.9 * asked
+
+
+def test_centroids_follow_the_table():
+    plan = multi_index.MultiIndex()
+    assert [plan.centroids_for(n) for n in (0, 10_256, 256_000, 10**6, 10**9, 10**12)] == [8, 8, 8, 15, 500, 1024]
+
+
 # ---- empty tables -----------------------------------------------------------------------------------------------------
 
 
