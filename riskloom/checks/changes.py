@@ -167,9 +167,11 @@ _RULES = (
     WHEN 0 THEN isodow(inst) IN (1, 3, 5)
     WHEN 1 THEN isodow(inst) IN (2, 7) AND date_diff('day', date_trunc('week', start_ts), date_trunc('week', inst)) % 14 = 0
     WHEN 2 THEN day(inst) IN (1, 31) WHEN 3 THEN month(inst) = month(start_ts) AND day(inst) = day(start_ts)
-    WHEN 4 THEN inst <= TIMESTAMP '2024-02-20' WHEN 6 THEN day(inst + INTERVAL 1 DAY) = 1 END)
+    WHEN 4 THEN inst <= TIMESTAMP '2024-02-20' WHEN 6 THEN day(inst + INTERVAL 1 DAY) = 1
+    WHEN 7 THEN isodow(inst) = 2 AND day(inst) BETWEEN 8 AND 14 END)
  WHERE (kind <> 1 OR nth <= 5) AND (kind <> 4 OR nth <> 2) AND inst + len > TIMESTAMP '2024-01-10' AND inst < TIMESTAMP '2024-03-10'
- UNION ALL SELECT event_id, event_no % 8, {_TS.format('start_ts')}, CASE event_no % 8 WHEN 5 THEN 'FREQ=HOURLY' ELSE 'BYDAY=2TU' END FROM v_cal WHERE event_no % 8 IN (5, 7)""", V_CAL))
+ UNION ALL SELECT event_id, event_no % 8, {_TS.format('start_ts + to_hours(CAST(h AS INTEGER))')}, NULL FROM v_cal, (SELECT unnest(range(0, 3)) AS h)
+ WHERE event_no % 8 = 5 AND end_ts + to_hours(CAST(h AS INTEGER)) > TIMESTAMP '2024-01-10' AND start_ts + to_hours(CAST(h AS INTEGER)) < TIMESTAMP '2024-03-10'""", V_CAL))
 def mu_7_rules(spark, sf):
     kind = (F.col("event_no") % 8).cast("int")
     rule = F.get(F.array(*map(F.lit, _RULES)), kind)
@@ -179,6 +181,53 @@ def mu_7_rules(spark, sf):
         "event_id", (F.col("event_no") % 8).alias("kind"), _stamp("instance_start", "start_at"), F.col("unexpanded").alias("reason"))
 
 
+# Sets of rules, by event number; the sixth also names a start 40 days and an hour after the first.
+_SETS = (
+    ("RRULE:FREQ=MONTHLY;BYDAY=2TU,-1FR",),
+    ("RRULE:FREQ=YEARLY;BYMONTH=1,2;BYDAY=MO",),
+    ("RRULE:FREQ=MONTHLY;BYDAY=MO,TU,WE,TH,FR;BYSETPOS=-1",),
+    ("RRULE:FREQ=WEEKLY;INTERVAL=2;BYDAY=TU,SU;WKST=SU",),
+    ("RRULE:FREQ=HOURLY;INTERVAL=7;COUNT=90",),
+    ("RRULE:FREQ=WEEKLY;BYDAY=MO", "RRULE:FREQ=MONTHLY;BYMONTHDAY=15"),
+    ("RRULE:FREQ=DAILY", "EXRULE:FREQ=WEEKLY;BYDAY=SA,SU"),
+    ("RRULE:FREQ=YEARLY;BYYEARDAY=45,-320",),
+    ("RRULE:FREQ=DAILY;BYMONTH=2;BYHOUR=6,18",),
+    ("RRULE:FREQ=YEARLY;BYWEEKNO=5",),
+)
+
+
+# The twin walks days (or hours, or half days) after the start and asks of each whether the set holds there.
+@check("mu_7_rule_sets", with_views(f"""
+ SELECT event_id, kind, {_TS.format('inst')} AS start_at, NULL AS reason FROM (
+  SELECT event_id, event_no % 10 AS kind, start_ts, end_ts - start_ts AS len, start_ts + to_days(CAST(d AS INTEGER)) AS inst FROM v_cal, (SELECT unnest(range(0, 500)) AS d)
+  UNION ALL SELECT event_id, 14, start_ts, end_ts - start_ts, start_ts + to_hours(CAST(7 * n AS INTEGER)) FROM v_cal, (SELECT unnest(range(0, 90)) AS n) WHERE event_no % 10 = 4
+  UNION ALL SELECT event_id, 15, start_ts, end_ts - start_ts, start_ts + INTERVAL 961 HOUR FROM v_cal WHERE event_no % 10 = 5
+  UNION ALL SELECT event_id, 18, start_ts, end_ts - start_ts, date_trunc('day', start_ts) + to_days(CAST(d AS INTEGER)) + to_hours(CAST(h AS INTEGER)) + to_minutes(CAST(minute(start_ts) AS INTEGER))
+   FROM v_cal, (SELECT unnest(range(0, 500)) AS d), (SELECT unnest([6, 18]) AS h) WHERE event_no % 10 = 8)
+ WHERE inst >= start_ts AND inst + len > TIMESTAMP '2024-01-10' AND inst < TIMESTAMP '2024-03-10' AND CASE kind
+  WHEN 0 THEN (isodow(inst) = 2 AND day(inst) BETWEEN 8 AND 14) OR (isodow(inst) = 5 AND month(inst + INTERVAL 7 DAY) <> month(inst))
+  WHEN 1 THEN isodow(inst) = 1 AND month(inst) <= 2
+  WHEN 2 THEN isodow(inst) <= 5 AND month(inst + to_days(CASE isodow(inst) WHEN 5 THEN 3 ELSE 1 END)) <> month(inst)
+  WHEN 3 THEN isodow(inst) IN (2, 7) AND date_diff('day', date_trunc('week', start_ts + INTERVAL 1 DAY), date_trunc('week', inst + INTERVAL 1 DAY)) % 14 = 0
+  WHEN 5 THEN isodow(inst) = 1 OR day(inst) = 15
+  WHEN 6 THEN isodow(inst) <= 5
+  WHEN 7 THEN dayofyear(inst) IN (45, CASE WHEN year(inst) % 4 = 0 THEN 47 ELSE 46 END)
+  WHEN 14 THEN true WHEN 15 THEN true WHEN 18 THEN month(inst) = 2 ELSE false END
+ UNION ALL SELECT event_id, 9, {_TS.format('start_ts')}, 'BYWEEKNO' FROM v_cal WHERE event_no % 10 = 9""", V_CAL))
+def mu_7_rule_sets(spark, sf):
+    kind = (F.col("event_no") % 10).cast("int")
+    sets = F.array(*(F.array(*map(F.lit, rules)) for rules in _SETS))
+    more = F.concat(F.lit("RDATE:"), F.date_format(F.col("start_ts") + F.expr("interval 961 hours"), "yyyyMMdd'T'HHmmss'Z'"))
+    chosen = F.get(sets, kind)
+    planted = v_cal(spark, sf).withColumn("recurrence", F.when(kind == 5, F.array_append(chosen, more)).otherwise(chosen))
+    shown = F.when(F.col("unexpanded").isNull() & kind.isin(4, 8), kind + 10).otherwise(kind)
+    named = rc.instances(planted, LOW, HIGH).withColumn("at", F.col("instance_start"))
+    later = F.unix_timestamp("at") - F.unix_timestamp("start_ts") == 961 * 3600
+    return named.select(
+        "event_id", F.when((kind == 5) & later, 15).otherwise(shown).cast("long").alias("kind"), _stamp("at", "start_at"),
+        F.col("unexpanded").alias("reason"))
+
+
 @check("mu_8_scope", with_views("""
  SELECT event_id, CASE WHEN scope = 'bogus' THEN 'INVALID_MODIFICATION_SCOPE' WHEN scope = 'thisEventOnly' AND event_no % 5 = 0 THEN 'MISSING_ORIGINAL_START_TIME'
  WHEN scope = 'thisAndFollowing' AND event_no % 7 = 0 THEN 'MISSING_FUTURE_START_DATE' WHEN event_no % 7 <> 0 AND start_ts + INTERVAL 20 DAY <= TIMESTAMP '2024-02-01' THEN 'FUTURE_DATE_IN_PAST'

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,6 @@ from riskloom.functions.times import COMPACT_UTC, instant
 
 # The part of a rule a split removes.
 OLD_UNTIL, OLD_COUNT = r";UNTIL=\d{8}T\d{6}Z", r";COUNT=\d+"
-_DAY = 86_400
 
 
 def event_kind(recurrence: Column, recurring_event_id: Column) -> Column:
@@ -44,133 +44,254 @@ def has_rule(recurrence: Column) -> Column:
     return F.coalesce(F.exists(recurrence, lambda r: F.startswith(r, F.lit("RRULE:"))), F.lit(False))
 
 
+# Weekdays of a rule, Monday first; frequencies and parts of a rule that are worked out.
+WEEKDAYS = ("MO", "TU", "WE", "TH", "FR", "SA", "SU")
+FREQUENCIES = ("HOURLY", "DAILY", "WEEKLY", "MONTHLY", "YEARLY")
+RULE_PARTS = (
+    "FREQ", "INTERVAL", "COUNT", "UNTIL", "WKST", "BYMONTH", "BYYEARDAY", "BYMONTHDAY", "BYDAY", "BYHOUR", "BYMINUTE", "BYSETPOS")
+
+
+def _listed(one: str) -> str:
+    return f"^{one}(,{one})*$"
+
+
+# What the value of a part may look like: numbers from 1 on, and lists of numbers in their bounds, some from either end.
+_WEEKDAY = "(" + "|".join(WEEKDAYS) + ")"
+_YEAR_DAY = "[+-]?(0{0,2}[1-9]|0?[1-9][0-9]|[12][0-9]{2}|3[0-5][0-9]|36[0-6])"
+PART_VALUES = {
+    "INTERVAL": "^0*[1-9][0-9]{0,4}$",
+    "COUNT": "^0*[1-9][0-9]{0,4}$",
+    "UNTIL": "^[0-9]{8}(T[0-9]{6}Z?)?$",
+    "WKST": f"^{_WEEKDAY}$",
+    "BYMONTH": _listed("(0?[1-9]|1[0-2])"),
+    "BYYEARDAY": _listed(_YEAR_DAY),
+    "BYMONTHDAY": _listed("[+-]?(0?[1-9]|[12][0-9]|3[01])"),
+    "BYDAY": _listed(f"([+-]?(0?[1-9]|[1-4][0-9]|5[0-3]))?{_WEEKDAY}"),
+    "BYHOUR": _listed("([01]?[0-9]|2[0-3])"),
+    "BYMINUTE": _listed("[0-5]?[0-9]"),
+    "BYSETPOS": _listed(_YEAR_DAY),
+}
+# Parts that the standard forbids, or gives no meaning, beside a frequency.
+NOT_WITH = {"BYMONTHDAY": ("WEEKLY",), "BYYEARDAY": ("DAILY", "WEEKLY", "MONTHLY")}
+_DAY, _HOUR, _MINUTE = 86_400_000_000, 3_600_000_000, 60_000_000
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, also inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _part(rule: Column, name: str) -> Column:
-    value = F.regexp_extract(rule, rf"(?:^RRULE:|;){name}=([^;]+)", 1)
+    value = F.regexp_extract(rule, rf"(?:^(?:RRULE|EXRULE):|;){name}=([^;]+)", 1)
     return F.when(value != "", value)
 
 
-# Weekdays of a rule, Monday first; parts of a rule that are worked out.
-WEEKDAYS = ("MO", "TU", "WE", "TH", "FR", "SA", "SU")
-RULE_PARTS = ("FREQ", "INTERVAL", "COUNT", "UNTIL", "BYDAY", "BYMONTHDAY", "WKST")
-FREQUENCIES = ("DAILY", "WEEKLY", "MONTHLY", "YEARLY")
+def _rules(recurrence: Column) -> Column:
+    return F.coalesce(F.filter(recurrence, lambda r: F.rlike(r, F.lit("^(RRULE|EXRULE):"))), F.array().cast("array<string>"))
 
 
-# Numbers a rule may name: from 1 on, and days of a month from either end.
-POSITIVE = "^0*[1-9][0-9]{0,4}$"
-MONTH_DAYS = "^[+-]?(0?[1-9]|[12][0-9]|3[01])(,[+-]?(0?[1-9]|[12][0-9]|3[01]))*$"
+def _reason(rule: Column) -> Column:
+    """Why one rule is not worked out; null when it is."""
+    freq = _part(rule, "FREQ")
+    parts = F.transform(F.split(F.regexp_replace(rule, "^(RRULE|EXRULE):", ""), ";"), lambda p: F.split_part(p, F.lit("="), F.lit(1)))
+    other = F.array_except(parts, F.array(*map(F.lit, RULE_PARTS)))
+    why = F.when(freq.isNull() | ~freq.isin(*FREQUENCIES), F.concat(F.lit("FREQ="), F.coalesce(freq, F.lit("?"))))
+    why = why.when(F.size(other) > 0, F.array_join(other, ","))
+    for name, pattern in PART_VALUES.items():
+        value = _part(rule, name)
+        why = why.when(F.array_contains(parts, name) & ~F.coalesce(F.rlike(value, F.lit(pattern)), F.lit(False)), F.concat(
+            F.lit(f"{name}="), F.coalesce(value, F.lit(""))))
+    for name, frequencies in NOT_WITH.items():
+        why = why.when(_part(rule, name).isNotNull() & freq.isin(*frequencies), F.lit(name))
+    ordinal = F.coalesce(F.rlike(_part(rule, "BYDAY"), F.lit("[0-9]")), F.lit(False))
+    return why.when(ordinal & ~freq.isin("MONTHLY", "YEARLY"), F.concat(F.lit("BYDAY="), _part(rule, "BYDAY")))
 
 
-def _malformed(rule: Column, name: str, pattern: str) -> Column:
-    return F.coalesce(~F.rlike(_part(rule, name), F.lit(pattern)), F.lit(False))
+def unsupported(recurrence: Column, zone: Column) -> Column:
+    """Why a set of rules is not worked out (the first reason); null when it is."""
+    reasons = F.filter(F.transform(_rules(recurrence), _reason), lambda r: r.isNotNull())
+    unread = F.exists(named_starts(recurrence, "RDATE", zone), lambda t: t.isNull())
+    return F.coalesce(F.get(reasons, F.lit(0)), F.when(unread, "RDATE"))
 
 
-def _number(rule: Column, name: str) -> Column:
-    """A positive number of a rule; null where there is none or it is malformed."""
-    return F.when(~_malformed(rule, name, POSITIVE), _part(rule, name).try_cast("int"))
+def _stamp(text: Column, zone: Column) -> Column:
+    """A UTC stamp, a local stamp or a whole day; null when it is none of them."""
+    return F.coalesce(
+        F.try_to_timestamp(text, F.lit(COMPACT_UTC)),
+        F.to_utc_timestamp(F.try_to_timestamp(text, F.lit("yyyyMMdd'T'HHmmss")), zone),
+        F.to_utc_timestamp(F.try_to_timestamp(text, F.lit("yyyyMMdd")), zone))
 
 
-def unsupported(recurrence: Column, rule: Column) -> Column:
-    """Why a rule is not worked out; null when it is (or when there is none)."""
-    freq, days = _part(rule, "FREQ"), _part(rule, "BYDAY")
-    parts = F.transform(F.split(F.regexp_replace(rule, "^RRULE:", ""), ";"), lambda p: F.split_part(p, F.lit("="), F.lit(1)))
-    other = F.array_except(parts, F.array(*map(F.lit, RULE_PARTS)))
-    rules = F.size(F.filter(recurrence, lambda r: F.rlike(r, F.lit("^(RRULE|RDATE|EXRULE)"))))
-    return (
-        F.when(rule.isNull(), F.lit(None).cast("string"))
-        .when(rules > 1, F.lit("more than one rule"))
-        .when(freq.isNull() | ~freq.isin(*FREQUENCIES), F.concat(F.lit("FREQ="), F.coalesce(freq, F.lit("?"))))
-        .when(F.size(other) > 0, F.array_join(other, ","))
-        .when(_malformed(rule, "INTERVAL", POSITIVE), F.concat(F.lit("INTERVAL="), _part(rule, "INTERVAL")))
-        .when(_malformed(rule, "COUNT", POSITIVE), F.concat(F.lit("COUNT="), _part(rule, "COUNT")))
-        .when(_malformed(rule, "BYMONTHDAY", MONTH_DAYS), F.concat(F.lit("BYMONTHDAY="), _part(rule, "BYMONTHDAY")))
-        .when(days.isNotNull() & ((freq != "WEEKLY") | ~F.rlike(days, F.lit("^(MO|TU|WE|TH|FR|SA|SU)(,(MO|TU|WE|TH|FR|SA|SU))*$"))), F.concat(
-            F.lit("BYDAY="), days))
-        .when(_part(rule, "BYMONTHDAY").isNotNull() & (freq != "MONTHLY"), F.lit("BYMONTHDAY"))
-        .when(F.coalesce(_part(rule, "WKST"), F.lit("MO")) != "MO", F.lit("WKST"))
-    )
-
-
-def excluded_starts(recurrence: Column, zone: Column) -> Column:
-    """Starts named by EXDATE entries: UTC stamps, local stamps (in the entry's or the event's zone) and whole days."""
+def named_starts(recurrence: Column, name: str, zone: Column) -> Column:
+    """Starts named by RDATE or EXDATE entries (local ones in the entry's zone, else the event's); null for a text that is no time.
+
+    Of a period only the start is taken.
+    """
     def stamps(entry: Column) -> Column:
         named = F.regexp_extract(entry, "TZID=([^:;]+)", 1)
         local = F.when(named != "", named).otherwise(zone)
-        return F.transform(F.split(F.substring_index(entry, ":", -1), ","), lambda t: F.coalesce(
-            F.try_to_timestamp(t, F.lit(COMPACT_UTC)),
-            F.to_utc_timestamp(F.try_to_timestamp(t, F.lit("yyyyMMdd'T'HHmmss")), local),
-            F.to_utc_timestamp(F.try_to_timestamp(t, F.lit("yyyyMMdd")), local)))
+        return F.transform(F.split(F.substring_index(entry, ":", -1), ","), lambda t: _stamp(F.split_part(t, F.lit("/"), F.lit(1)), local))
+
+    entries = F.filter(recurrence, lambda r: F.rlike(r, F.lit(f"^{name}[:;]")))
+    return F.coalesce(F.flatten(F.transform(entries, stamps)), F.array().cast("array<timestamp>"))
+
+
+def _parsed(rule: Column, start: Column, zone: Column) -> Column:
+    """A rule as a struct, with the parts that follow from the start filled in."""
+    def numbers(name: str) -> Column:
+        return F.transform(F.split(_part(rule, name), ","), lambda v: v.try_cast("int"))
+
+    freq, months, month_days = _part(rule, "FREQ"), numbers("BYMONTH"), numbers("BYMONTHDAY")
+    order = F.array(*map(F.lit, WEEKDAYS))
+    days = F.transform(F.split(_part(rule, "BYDAY"), ","), lambda v: F.struct(
+        F.coalesce(F.regexp_extract(v, "^([+-]?[0-9]*)", 1).try_cast("int"), F.lit(0)).alias("nth"),
+        (F.array_position(order, F.right(v, F.lit(2))) - 1).cast("int").alias("day")))
+    named = F.coalesce(_part(rule, "BYDAY"), _part(rule, "BYMONTHDAY"), _part(rule, "BYYEARDAY")).isNotNull()
+    own_week_day = F.array(F.struct(F.lit(0).alias("nth"), F.weekday(start["date"]).alias("day")))
+    return F.struct(
+        F.startswith(rule, F.lit("EXRULE")).alias("without"), freq.alias("freq"),
+        F.coalesce(_part(rule, "INTERVAL").try_cast("int"), F.lit(1)).alias("every"),
+        _part(rule, "COUNT").try_cast("int").alias("count"),
+        # A whole day ends a series at its midnight in UTC.
+        F.coalesce(
+            F.try_to_timestamp(_part(rule, "UNTIL"), F.lit("yyyyMMdd")), _stamp(_part(rule, "UNTIL"), zone)).alias("until"),
+        (F.array_position(order, F.coalesce(_part(rule, "WKST"), F.lit("MO"))) - 1).cast("int").alias("opens"),
+        months.isNotNull().alias("by_month"),
+        F.when((freq == "YEARLY") & months.isNull() & ~named, F.array(F.month(start["date"]))).otherwise(months).alias("months"),
+        numbers("BYYEARDAY").alias("year_days"),
+        F.when(freq.isin("MONTHLY", "YEARLY") & ~named, F.array(F.day(start["date"]))).otherwise(month_days).alias("month_days"),
+        F.when((freq == "WEEKLY") & days.isNull(), own_week_day).otherwise(days).alias("days"),
+        F.when((freq != "HOURLY") & _part(rule, "BYHOUR").isNull(), F.array(start["hour"])).otherwise(numbers("BYHOUR")).alias("hours"),
+        F.coalesce(numbers("BYMINUTE"), F.array(start["minute"])).alias("minutes"),
+        numbers("BYSETPOS").alias("places"), F.contains(rule, F.lit(";BY")).alias("limited"))
+
+
+def _day_fits(rule: Column, day: Column) -> Column:
+    """A date holds what the parts of a rule ask of days; ordinals count in the month, or in the year of a yearly rule without months."""
+    of_month, of_year = F.day(F.last_day(day)), F.dayofyear(F.make_date(F.year(day), F.lit(12), F.lit(31)))
+    whole_year = (rule["freq"] == "YEARLY") & ~rule["by_month"]
+    place = F.when(whole_year, F.dayofyear(day)).otherwise(F.day(day))
+    size = F.when(whole_year, of_year).otherwise(of_month)
+
+    def either_end(days: Column, n: Column, most: Column) -> Column:
+        return days.isNull() | F.array_contains(days, n) | F.array_contains(days, n - most - 1)
+
+    weekday = F.exists(rule["days"], lambda w: (w["day"] == F.weekday(day)) & (
+        (w["nth"] == 0) | (w["nth"] == F.ceil(place / 7)) | (w["nth"] == -F.ceil((size - place + 1) / 7))))
+    return (
+        (rule["months"].isNull() | F.array_contains(rule["months"], F.month(day)))
+        & (rule["days"].isNull() | weekday)
+        & either_end(rule["month_days"], F.day(day), of_month)
+        & either_end(rule["year_days"], F.dayofyear(day), of_year))
+
+
+def _date(micros: Column) -> Column:
+    return F.date_from_unix_date(F.floor(micros / _DAY).cast("int"))
+
+
+def _index(rule: Column, micros: Column, start: Column) -> Column:
+    """Number of the period (hour, day, week, month, year) a local time lies in."""
+    return F.when(rule["freq"] == "HOURLY", F.floor(micros / _HOUR)).when(rule["freq"] == "DAILY", F.floor(micros / _DAY)).when(
+        rule["freq"] == "WEEKLY", F.floor((F.unix_date(_date(micros)) - F.unix_date(_opening(rule, start))) / 7)).when(
+        rule["freq"] == "MONTHLY", F.year(_date(micros)) * 12 + F.month(_date(micros)) - 1).otherwise(F.year(_date(micros))).cast("long")
+
+
+def _opening(rule: Column, start: Column) -> Column:
+    """First day of the week of the start."""
+    return F.date_sub(start["date"], F.pmod(F.weekday(start["date"]) - rule["opens"], F.lit(7)))
 
-    return F.flatten(F.transform(F.filter(recurrence, lambda r: F.startswith(r, F.lit("EXDATE"))), stamps))
+
+def _period(rule: Column, number: Column, start: Column) -> Column:
+    """Local starts (microseconds, sorted) that a rule names in the period of this number."""
+    month = F.make_date(F.floor(number / 12).cast("int"), (number % 12 + 1).cast("int"), F.lit(1))
+    week = F.date_add(_opening(rule, start), (7 * number).cast("int"))
+
+    def of_month(n: Column) -> Column:
+        return _let(F.make_date(number.cast("int"), n, F.lit(1)), lambda d: F.sequence(d, F.last_day(d)))
+
+    year = F.when(rule["months"].isNotNull(), F.flatten(F.transform(rule["months"], of_month))).otherwise(
+        F.sequence(F.make_date(number.cast("int"), F.lit(1), F.lit(1)), F.make_date(number.cast("int"), F.lit(12), F.lit(31))))
+    days = (
+        F.when(rule["freq"] == "HOURLY", F.array(F.date_from_unix_date(F.floor(number / 24).cast("int"))))
+        .when(rule["freq"] == "DAILY", F.array(F.date_from_unix_date(number.cast("int"))))
+        .when(rule["freq"] == "WEEKLY", F.sequence(week, F.date_add(week, 6)))
+        .when(rule["freq"] == "MONTHLY", _let(month, lambda d: F.sequence(d, F.last_day(d))))
+        .otherwise(year))
+    own_hour = F.pmod(number, F.lit(24)).cast("int")
+    hours = F.when(rule["freq"] != "HOURLY", rule["hours"]).otherwise(
+        F.when(rule["hours"].isNull() | F.array_contains(rule["hours"], own_hour), F.array(own_hour)).otherwise(F.array().cast("array<int>")))
+
+    def times(day: Column) -> Column:
+        return F.flatten(F.transform(hours, lambda h: F.transform(rule["minutes"], lambda m: (
+            F.unix_date(day).cast("long") * _DAY + h.cast("long") * _HOUR + m.cast("long") * _MINUTE + start["rest"]))))
+
+    named = F.flatten(F.transform(F.filter(days, lambda d: _day_fits(rule, d)), times))
+    return _let(F.array_sort(F.array_distinct(named)), lambda all_: F.when(rule["places"].isNull(), all_).otherwise(
+        F.filter(all_, lambda v, i: F.array_contains(rule["places"], i + 1) | F.array_contains(rule["places"], i - F.size(all_)))))
+
+
+def _series(rule: Column, start: Column, low: Column, high: Column, zone: Column) -> Column:
+    """Local starts of one rule from the first start on, up to its end or ``high``; without COUNT only from near ``low`` on."""
+    until = F.least(F.unix_micros(F.from_utc_timestamp(rule["until"], zone)), high)
+    opening = _index(rule, start["micros"], start)
+    ahead = F.floor((_index(rule, low, start) - opening) / rule["every"])
+    first = F.when(rule["count"].isNull(), F.greatest(F.lit(0), ahead)).otherwise(0).cast("long")
+    last = F.floor((_index(rule, until, start) - opening) / rule["every"]).cast("long")
+    # Each period of such a rule has a start: more periods than COUNT are not needed.
+    regular = rule["count"].isNotNull() & ~rule["limited"] & rule["freq"].isin("HOURLY", "DAILY", "WEEKLY")
+    last = F.when(regular, F.least(last, rule["count"].cast("long"))).otherwise(last)
+    named = F.when(last >= first, F.flatten(F.transform(
+        F.sequence(first, last), lambda k: _period(rule, opening + k * rule["every"], start)))).otherwise(F.array().cast("array<long>"))
+    named = F.filter(named, lambda v: (v >= start["micros"]) & (v <= until))
+    return F.slice(named, F.lit(1), F.coalesce(rule["count"], F.lit(2**31 - 1)))
 
 
 def instances(events: DataFrame, time_min: datetime, time_max: datetime, zone: Column | None = None) -> DataFrame:
     """Instances of recurring events that fall in the range; single events pass through.
 
-    FREQ=DAILY, WEEKLY, MONTHLY or YEARLY with INTERVAL, COUNT and UNTIL, BYDAY of
-    weekly and BYMONTHDAY of monthly rules, and EXDATE. Steps are taken in the
-    local time of ``zone`` (UTC if none is given). Series without COUNT jump
-    straight to the range, however old they are. Months that lack a day are
-    skipped. An event whose rule is not worked out keeps one row, whatever the
-    range, with the reason in ``unexpanded`` (null for all others).
+    The rules of an event are a set: the starts of all RRULE and RDATE entries,
+    each once, less those of EXRULE and EXDATE entries; an event with dates but no
+    RRULE keeps its own start too. A rule may have FREQ from HOURLY to YEARLY with
+    INTERVAL, COUNT, UNTIL and WKST, and BYMONTH, BYYEARDAY, BYMONTHDAY, BYDAY (with
+    ordinals in months and years), BYHOUR, BYMINUTE and BYSETPOS, which name more
+    starts in a period or fewer, as the calendar standard has it. The start counts
+    only if the rule names it. COUNT counts before anything is taken out. Steps are
+    taken in the local time of ``zone`` (UTC if none is given); two local times that
+    a change of clocks makes one give one instance. Series without COUNT jump
+    straight to the range, however old they are. Days a month lacks are skipped.
+    An event whose set is not worked out (seconds and minutes as frequencies,
+    numbers of weeks, values out of bounds) keeps one row, whatever the range, with
+    the first reason in ``unexpanded`` (null for all others).
     """
     low, high = F.lit(time_min).cast("timestamp"), F.lit(time_max).cast("timestamp")
-    rule = F.get(F.filter("recurrence", lambda r: F.startswith(r, F.lit("RRULE:"))), F.lit(0))
-    seconds, zone = F.unix_timestamp, F.lit("UTC") if zone is None else F.coalesce(zone, F.lit("UTC"))
-    parsed = events.withColumns({"__rule": rule, "__zone": zone}).withColumns({
-        "unexpanded": unsupported(F.col("recurrence"), F.col("__rule")),
-        "__freq": _part(F.col("__rule"), "FREQ"),
-        "__every": F.coalesce(_number(F.col("__rule"), "INTERVAL"), F.lit(1)),
-        "__count": _number(F.col("__rule"), "COUNT"),
-        "__until": F.coalesce(
-            F.try_to_timestamp(_part(F.col("__rule"), "UNTIL"), F.lit(COMPACT_UTC)),
-            F.try_to_timestamp(_part(F.col("__rule"), "UNTIL"), F.lit("yyyyMMdd")),
-        ),
+    zone = F.lit("UTC") if zone is None else F.coalesce(zone, F.lit("UTC"))
+    recurrence, seconds, own = F.col("recurrence"), F.unix_timestamp, F.col("__start")
+    local = F.unix_micros(F.from_utc_timestamp("start_ts", F.col("__zone")))
+    parsed = events.withColumn("__zone", zone).withColumns({
+        "unexpanded": unsupported(recurrence, F.col("__zone")),
+        "__more": named_starts(recurrence, "RDATE", F.col("__zone")),
+        "__out": named_starts(recurrence, "EXDATE", F.col("__zone")),
         "__length": seconds("end_ts") - seconds("start_ts"),
-        "__days": F.split(_part(F.col("__rule"), "BYDAY"), ","),
-        "__month_days": F.transform(F.split(_part(F.col("__rule"), "BYMONTHDAY"), ","), lambda d: d.try_cast("int")),
-        "__out": F.coalesce(excluded_starts(F.col("recurrence"), F.col("__zone")), F.array().cast("array<timestamp>")),
-        "__local": F.from_utc_timestamp("start_ts", F.col("__zone")),
-    }).withColumn("__last", F.least(F.coalesce("__until", high), high)).withColumn(
-        "__to", F.from_utc_timestamp("__last", F.col("__zone")))
-
-    # Days: steps from the first start, or from the Monday of its week for every weekday asked for.
-    weekly = F.col("__days").isNotNull()
-    shift = F.when(weekly, F.weekday("__local")).otherwise(0)
-    base = F.timestamp_add("DAY", -shift, F.col("__local"))
-    order = F.array(*map(F.lit, WEEKDAYS))
-    offsets = F.when(weekly, F.array_sort(F.transform("__days", lambda d: (F.array_position(order, d) - 1).cast("int")))).otherwise(
-        F.array(F.lit(0)))
-    step = (F.col("__every") * F.when(F.col("__freq") == "WEEKLY", 7).otherwise(1)).cast("int")
+        "__start": F.struct(
+            local.alias("micros"), _date(local).alias("date"), F.pmod(F.floor(local / _HOUR), F.lit(24)).cast("int").alias("hour"),
+            F.pmod(F.floor(local / _MINUTE), F.lit(60)).cast("int").alias("minute"), F.pmod(local, F.lit(_MINUTE)).alias("rest")),
+    })
     # Local and real time are at most a day or so apart, hence the margin; instances outside the range go below.
-    ahead = F.floor((seconds(low) - 2 * _DAY - F.col("__length") - seconds(base)) / (step * _DAY))
-    first = F.when(F.col("__count").isNull(), F.greatest(F.lit(0), ahead)).otherwise(0).cast("int")
-    last = F.floor((seconds("__to") - seconds(base)) / (step * _DAY)).cast("int")
-    last = F.when(F.col("__count").isNull(), last).otherwise(F.least(last, F.col("__count"))).cast("int")
-    by_day = F.when(last >= first, F.flatten(F.transform(F.sequence(first, last), lambda k: F.transform(
-        offsets, lambda o: F.timestamp_add("DAY", k * step + o, base)))))
-
-    # Months: the days asked for in every step-th month; a negative day counts from the month's end.
-    months = (F.col("__every") * F.when(F.col("__freq") == "YEARLY", 12).otherwise(1)).cast("int")
-    opening = F.timestamp_add("DAY", 1 - F.day("__local"), F.col("__local"))
-    since = F.floor(F.months_between(low, opening) / months) - 2
-    begin = F.when(F.col("__count").isNull(), F.greatest(F.lit(0), since)).otherwise(0).cast("int")
-    end = (F.floor(F.months_between("__to", opening) / months) + 1).cast("int")
-    wanted = F.coalesce("__month_days", F.array(F.day("__local")))
-
-    def in_month(k: Column) -> Column:
-        month = F.timestamp_add("MONTH", k * months, opening)
-        after = F.timestamp_add("MONTH", k * months + 1, opening)
-        days = F.transform(wanted, lambda d: F.when(d > 0, F.timestamp_add("DAY", d - 1, month)).otherwise(F.timestamp_add("DAY", d, after)))
-        return F.array_sort(F.filter(days, lambda t: F.month(t) == F.month(month)))
-
-    by_month = F.when(end >= begin, F.flatten(F.transform(F.sequence(begin, end), in_month)))
-
-    local = F.when(F.col("__freq").isin("DAILY", "WEEKLY"), by_day).otherwise(by_month)
-    local = F.filter(local, lambda t: (t >= F.col("__local")) & (t <= F.col("__to")))
-    local = F.when(F.col("__count").isNotNull(), F.slice(local, F.lit(1), F.col("__count"))).otherwise(local)
-    real = F.filter(F.transform(local, lambda t: F.to_utc_timestamp(t, F.col("__zone"))), lambda t: ~F.array_contains("__out", t))
-    alone = F.col("__rule").isNull() | F.col("unexpanded").isNotNull()
-    opened = parsed.withColumn("instance_start", F.explode(F.when(alone, F.array("start_ts")).otherwise(real)))
+    earliest = F.timestamp_seconds(seconds(low) - 2 * 86_400 - F.coalesce(F.greatest("__length", F.lit(0)), F.lit(0)))
+    ruled = parsed.withColumn("__rules", F.when(F.col("unexpanded").isNull(), F.transform(
+        _rules(recurrence), lambda r: _parsed(r, own, F.col("__zone"))))).withColumns({
+            "__low": F.unix_micros(F.from_utc_timestamp(earliest, F.col("__zone"))),
+            "__high": F.unix_micros(F.from_utc_timestamp(high, F.col("__zone")))})
+
+    def united(rules: Column) -> Column:
+        named = F.flatten(F.transform(rules, lambda r: _series(r, own, F.col("__low"), F.col("__high"), F.col("__zone"))))
+        return F.transform(named, lambda v: F.to_utc_timestamp(F.timestamp_micros(v), F.col("__zone")))
+
+    named = united(F.filter("__rules", lambda r: ~r["without"]))
+    alone = ((F.size(_rules(recurrence)) == 0) & (F.size("__more") == 0)) | F.col("unexpanded").isNotNull()
+    first = F.when(has_rule(recurrence), F.array().cast("array<timestamp>")).otherwise(F.array("start_ts"))
+    starts = F.array_except(F.array_except(F.concat(named, "__more", first), "__out"), united(F.filter("__rules", lambda r: r["without"])))
+    opened = ruled.withColumn("instance_start", F.explode(F.when(alone, F.array("start_ts")).otherwise(starts)))
     opened = opened.withColumn("instance_end", F.timestamp_seconds(seconds("instance_start") + F.col("__length")))
     inside = (F.col("instance_end") > low) & (F.col("instance_start") < high)
     kept = opened.where(inside | F.col("unexpanded").isNotNull())
