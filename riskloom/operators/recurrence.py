@@ -71,6 +71,7 @@ PART_VALUES = {
     "BYMINUTE": _listed("[0-5]?[0-9]"),
     "BYSETPOS": _listed(_YEAR_DAY),
 }
+_FINE = "^FREQ=|" + "|".join(f"^{name}={pattern[1:]}" for name, pattern in PART_VALUES.items())
 # Parts that the standard forbids, or gives no meaning, beside a frequency.
 NOT_WITH = {"BYMONTHDAY": ("WEEKLY",), "BYYEARDAY": ("DAILY", "WEEKLY", "MONTHLY")}
 _DAY, _HOUR, _MINUTE = 86_400_000_000, 3_600_000_000, 60_000_000
@@ -93,14 +94,12 @@ def _rules(recurrence: Column) -> Column:
 def _reason(rule: Column) -> Column:
     """Why one rule is not worked out; null when it is."""
     freq = _part(rule, "FREQ")
-    parts = F.transform(F.split(F.regexp_replace(rule, "^(RRULE|EXRULE):", ""), ";"), lambda p: F.split_part(p, F.lit("="), F.lit(1)))
-    other = F.array_except(parts, F.array(*map(F.lit, RULE_PARTS)))
+    parts = F.transform(F.split(F.regexp_replace(rule, "^(RRULE|EXRULE):", ""), ";"), lambda p: F.split(p, "=", 2))
     why = F.when(freq.isNull() | ~freq.isin(*FREQUENCIES), F.concat(F.lit("FREQ="), F.coalesce(freq, F.lit("?"))))
+    other = F.array_except(F.transform(parts, lambda p: p[0]), F.array(*map(F.lit, RULE_PARTS)))
     why = why.when(F.size(other) > 0, F.array_join(other, ","))
-    for name, pattern in PART_VALUES.items():
-        value = _part(rule, name)
-        why = why.when(F.array_contains(parts, name) & ~F.coalesce(F.rlike(value, F.lit(pattern)), F.lit(False)), F.concat(
-            F.lit(f"{name}="), F.coalesce(value, F.lit(""))))
+    wrong = F.filter(parts, lambda p: F.coalesce(~F.rlike(F.array_join(p, "="), F.lit(_FINE)), F.lit(True)))
+    why = why.when(F.size(wrong) > 0, F.array_join(F.get(wrong, F.lit(0)), "="))
     for name, frequencies in NOT_WITH.items():
         why = why.when(_part(rule, name).isNotNull() & freq.isin(*frequencies), F.lit(name))
     ordinal = F.coalesce(F.rlike(_part(rule, "BYDAY"), F.lit("[0-9]")), F.lit(False))
@@ -136,7 +135,7 @@ def named_starts(recurrence: Column, name: str, zone: Column) -> Column:
     return F.coalesce(F.flatten(F.transform(entries, stamps)), F.array().cast("array<timestamp>"))
 
 
-def _parsed(rule: Column, start: Column, zone: Column) -> Column:
+def _parsed(rule: Column, start: dict[str, Column], zone: Column) -> Column:
     """A rule as a struct, with the parts that follow from the start filled in."""
     def numbers(name: str) -> Column:
         return F.transform(F.split(_part(rule, name), ","), lambda v: v.try_cast("int"))
@@ -157,13 +156,17 @@ def _parsed(rule: Column, start: Column, zone: Column) -> Column:
             F.try_to_timestamp(_part(rule, "UNTIL"), F.lit("yyyyMMdd")), _stamp(_part(rule, "UNTIL"), zone)).alias("until"),
         (F.array_position(order, F.coalesce(_part(rule, "WKST"), F.lit("MO"))) - 1).cast("int").alias("opens"),
         months.isNotNull().alias("by_month"),
-        F.when((freq == "YEARLY") & months.isNull() & ~named, F.array(F.month(start["date"]))).otherwise(months).alias("months"),
+        F.coalesce(months, F.when(freq == "YEARLY", F.when(~named, F.array(F.month(start["date"]))).when(
+            month_days.isNotNull(), F.sequence(F.lit(1), F.lit(12))))).alias("months"),
         numbers("BYYEARDAY").alias("year_days"),
         F.when(freq.isin("MONTHLY", "YEARLY") & ~named, F.array(F.day(start["date"]))).otherwise(month_days).alias("month_days"),
         F.when((freq == "WEEKLY") & days.isNull(), own_week_day).otherwise(days).alias("days"),
         F.when((freq != "HOURLY") & _part(rule, "BYHOUR").isNull(), F.array(start["hour"])).otherwise(numbers("BYHOUR")).alias("hours"),
         F.coalesce(numbers("BYMINUTE"), F.array(start["minute"])).alias("minutes"),
-        numbers("BYSETPOS").alias("places"), F.contains(rule, F.lit(";BY")).alias("limited"))
+        numbers("BYSETPOS").alias("places"), F.contains(rule, F.lit(";BY")).alias("limited"),
+        # Parts that choose among the days of a period, besides those its days are made from.
+        F.when(freq == "YEARLY", days.isNotNull() | numbers("BYYEARDAY").isNotNull()).when(freq == "MONTHLY", days.isNotNull() | months.isNotNull())
+        .when(freq == "WEEKLY", months.isNotNull()).otherwise(named | months.isNotNull()).alias("chosen"))
 
 
 def _day_fits(rule: Column, day: Column) -> Column:
@@ -189,33 +192,35 @@ def _date(micros: Column) -> Column:
     return F.date_from_unix_date(F.floor(micros / _DAY).cast("int"))
 
 
-def _index(rule: Column, micros: Column, start: Column) -> Column:
+def _index(rule: Column, micros: Column, start: dict[str, Column]) -> Column:
     """Number of the period (hour, day, week, month, year) a local time lies in."""
     return F.when(rule["freq"] == "HOURLY", F.floor(micros / _HOUR)).when(rule["freq"] == "DAILY", F.floor(micros / _DAY)).when(
         rule["freq"] == "WEEKLY", F.floor((F.unix_date(_date(micros)) - F.unix_date(_opening(rule, start))) / 7)).when(
         rule["freq"] == "MONTHLY", F.year(_date(micros)) * 12 + F.month(_date(micros)) - 1).otherwise(F.year(_date(micros))).cast("long")
 
 
-def _opening(rule: Column, start: Column) -> Column:
+def _opening(rule: Column, start: dict[str, Column]) -> Column:
     """First day of the week of the start."""
     return F.date_sub(start["date"], F.pmod(F.weekday(start["date"]) - rule["opens"], F.lit(7)))
 
 
-def _period(rule: Column, number: Column, start: Column) -> Column:
+def _period(rule: Column, number: Column, start: dict[str, Column]) -> Column:
     """Local starts (microseconds, sorted) that a rule names in the period of this number."""
-    month = F.make_date(F.floor(number / 12).cast("int"), (number % 12 + 1).cast("int"), F.lit(1))
-    week = F.date_add(_opening(rule, start), (7 * number).cast("int"))
-
-    def of_month(n: Column) -> Column:
-        return _let(F.make_date(number.cast("int"), n, F.lit(1)), lambda d: F.sequence(d, F.last_day(d)))
-
-    year = F.when(rule["months"].isNotNull(), F.flatten(F.transform(rule["months"], of_month))).otherwise(
+    def of_month(first: Column) -> Column:
+        """The days of a month that the rule counts from either end of it; all of them if it counts none."""
+        counted = F.transform(rule["month_days"], lambda n: F.date_add(first, F.when(n > 0, n - 1).otherwise(F.day(F.last_day(first)) + n)))
+        return F.when(rule["month_days"].isNull(), F.sequence(first, F.last_day(first))).otherwise(
+            F.filter(counted, lambda d: (d >= first) & (d <= F.last_day(first))))
+
+    year = F.when(rule["months"].isNotNull(), F.flatten(F.transform(
+        rule["months"], lambda n: _let(F.make_date(number.cast("int"), n, F.lit(1)), of_month)))).otherwise(
         F.sequence(F.make_date(number.cast("int"), F.lit(1), F.lit(1)), F.make_date(number.cast("int"), F.lit(12), F.lit(31))))
     days = (
         F.when(rule["freq"] == "HOURLY", F.array(F.date_from_unix_date(F.floor(number / 24).cast("int"))))
         .when(rule["freq"] == "DAILY", F.array(F.date_from_unix_date(number.cast("int"))))
-        .when(rule["freq"] == "WEEKLY", F.sequence(week, F.date_add(week, 6)))
-        .when(rule["freq"] == "MONTHLY", _let(month, lambda d: F.sequence(d, F.last_day(d))))
+        .when(rule["freq"] == "WEEKLY", F.transform(rule["days"], lambda w: F.date_add(
+            _opening(rule, start), (7 * number + F.pmod(w["day"] - rule["opens"], F.lit(7))).cast("int"))))
+        .when(rule["freq"] == "MONTHLY", _let(F.make_date(F.floor(number / 12).cast("int"), (number % 12 + 1).cast("int"), F.lit(1)), of_month))
         .otherwise(year))
     own_hour = F.pmod(number, F.lit(24)).cast("int")
     hours = F.when(rule["freq"] != "HOURLY", rule["hours"]).otherwise(
@@ -225,12 +230,13 @@ def _period(rule: Column, number: Column, start: Column) -> Column:
         return F.flatten(F.transform(hours, lambda h: F.transform(rule["minutes"], lambda m: (
             F.unix_date(day).cast("long") * _DAY + h.cast("long") * _HOUR + m.cast("long") * _MINUTE + start["rest"]))))
 
-    named = F.flatten(F.transform(F.filter(days, lambda d: _day_fits(rule, d)), times))
+    days = F.when(rule["chosen"], F.filter(days, lambda d: _day_fits(rule, d))).otherwise(days)
+    named = F.flatten(F.transform(days, times))
     return _let(F.array_sort(F.array_distinct(named)), lambda all_: F.when(rule["places"].isNull(), all_).otherwise(
         F.filter(all_, lambda v, i: F.array_contains(rule["places"], i + 1) | F.array_contains(rule["places"], i - F.size(all_)))))
 
 
-def _series(rule: Column, start: Column, low: Column, high: Column, zone: Column) -> Column:
+def _series(rule: Column, start: dict[str, Column], low: Column, high: Column, zone: Column) -> Column:
     """Local starts of one rule from the first start on, up to its end or ``high``; without COUNT only from near ``low`` on."""
     until = F.least(F.unix_micros(F.from_utc_timestamp(rule["until"], zone)), high)
     opening = _index(rule, start["micros"], start)
@@ -265,17 +271,18 @@ def instances(events: DataFrame, time_min: datetime, time_max: datetime, zone: C
     """
     low, high = F.lit(time_min).cast("timestamp"), F.lit(time_max).cast("timestamp")
     zone = F.lit("UTC") if zone is None else F.coalesce(zone, F.lit("UTC"))
-    recurrence, seconds, own = F.col("recurrence"), F.unix_timestamp, F.col("__start")
+    recurrence, seconds = F.col("recurrence"), F.unix_timestamp
     local = F.unix_micros(F.from_utc_timestamp("start_ts", F.col("__zone")))
     parsed = events.withColumn("__zone", zone).withColumns({
         "unexpanded": unsupported(recurrence, F.col("__zone")),
         "__more": named_starts(recurrence, "RDATE", F.col("__zone")),
         "__out": named_starts(recurrence, "EXDATE", F.col("__zone")),
         "__length": seconds("end_ts") - seconds("start_ts"),
-        "__start": F.struct(
-            local.alias("micros"), _date(local).alias("date"), F.pmod(F.floor(local / _HOUR), F.lit(24)).cast("int").alias("hour"),
-            F.pmod(F.floor(local / _MINUTE), F.lit(60)).cast("int").alias("minute"), F.pmod(local, F.lit(_MINUTE)).alias("rest")),
+        "__micros": local, "__date": _date(local), "__hour": F.pmod(F.floor(local / _HOUR), F.lit(24)).cast("int"),
+        "__minute": F.pmod(F.floor(local / _MINUTE), F.lit(60)).cast("int"), "__rest": F.pmod(local, F.lit(_MINUTE)),
     })
+    # Columns and not a struct: fields of a struct are worked out anew wherever they are used.
+    own = {name: F.col(f"__{name}") for name in ("micros", "date", "hour", "minute", "rest")}
     # Local and real time are at most a day or so apart, hence the margin; instances outside the range go below.
     earliest = F.timestamp_seconds(seconds(low) - 2 * 86_400 - F.coalesce(F.greatest("__length", F.lit(0)), F.lit(0)))
     ruled = parsed.withColumn("__rules", F.when(F.col("unexpanded").isNull(), F.transform(
@@ -283,14 +290,19 @@ def instances(events: DataFrame, time_min: datetime, time_max: datetime, zone: C
             "__low": F.unix_micros(F.from_utc_timestamp(earliest, F.col("__zone"))),
             "__high": F.unix_micros(F.from_utc_timestamp(high, F.col("__zone")))})
 
-    def united(rules: Column) -> Column:
-        named = F.flatten(F.transform(rules, lambda r: _series(r, own, F.col("__low"), F.col("__high"), F.col("__zone"))))
-        return F.transform(named, lambda v: F.to_utc_timestamp(F.timestamp_micros(v), F.col("__zone")))
+    def found(rule: Column) -> Column:
+        local = _series(rule, own, F.col("__low"), F.col("__high"), F.col("__zone"))
+        return F.struct(rule["without"].alias("without"), F.transform(
+            local, lambda v: F.to_utc_timestamp(F.timestamp_micros(v), F.col("__zone"))).alias("starts"))
+
+    def united(without: bool) -> Column:
+        return F.flatten(F.transform(F.filter("__found", lambda f: f["without"] == without), lambda f: f["starts"]))
 
-    named = united(F.filter("__rules", lambda r: ~r["without"]))
     alone = ((F.size(_rules(recurrence)) == 0) & (F.size("__more") == 0)) | F.col("unexpanded").isNotNull()
+    ruled = ruled.withColumns({"__alone": alone, "__found": F.transform("__rules", found)})
+    alone = F.col("__alone")
     first = F.when(has_rule(recurrence), F.array().cast("array<timestamp>")).otherwise(F.array("start_ts"))
-    starts = F.array_except(F.array_except(F.concat(named, "__more", first), "__out"), united(F.filter("__rules", lambda r: r["without"])))
+    starts = F.array_except(F.array_except(F.concat(united(False), "__more", first), "__out"), united(True))
     opened = ruled.withColumn("instance_start", F.explode(F.when(alone, F.array("start_ts")).otherwise(starts)))
     opened = opened.withColumn("instance_end", F.timestamp_seconds(seconds("instance_start") + F.col("__length")))
     inside = (F.col("instance_end") > low) & (F.col("instance_start") < high)
