@@ -136,20 +136,21 @@ def batch_notice_parts(results: DataFrame, batch: str, order: str) -> DataFrame:
 
     A batch of any size stays distributed: joining the parts in (part, order)
     order with newlines gives the notice text. Batches without a flagged event
-    have no rows.
+    have no rows. All parts come from one pass over the results: counting in a
+    branch of its own would scan every text a second time.
     """
-    notices = event_notices(results)
-    counts = notices.groupBy(batch).agg(F.count(F.lit(1)).alias("n"))
-    header = counts.select(batch, F.lit(0).alias("part"), F.lit(None).cast("string").alias("part_order"), F.concat(
-        F.lit(NOTICE_HEADER + "\n"), F.col("n").cast("string"),
-        F.lit(" event(s) with risky content\n"),
-    ).alias("body"))
-    footer = counts.select(
-        batch, F.lit(2).alias("part"), F.lit(None).cast("string").alias("part_order"),
-        F.lit("\n".join(NOTICE_FOOTER)).alias("body"),
-    )
-    body = notices.select(batch, F.lit(1).alias("part"), F.col(order).cast("string").alias("part_order"), F.col("notice").alias("body"))
-    return header.unionByName(body).unionByName(footer)
+    notices = event_notices(results).select(
+        batch, F.col(order).cast("string").alias("part_order"), "notice", F.monotonically_increasing_id().alias("__no"))
+    none, same = F.lit(None).cast("string"), F.lit(None).cast("long")
+
+    def part(number: int, *values: Column) -> Column:
+        return F.struct(F.lit(number).alias("part"), *(v.alias(n) for v, n in zip(values, ("part_order", "notice", "__no"))))
+
+    parts = F.array(part(0, none, none, same), part(1, F.col("part_order"), F.col("notice"), F.col("__no")), part(2, none, none, same))
+    counted = notices.select(batch, F.inline(parts)).groupBy(batch, "part", "part_order", "notice", "__no").agg(F.count(F.lit(1)).alias("n"))
+    header = F.concat(F.lit(NOTICE_HEADER + "\n"), F.col("n").cast("string"), F.lit(" event(s) with risky content\n"))
+    body = F.when(F.col("part") == 0, header).when(F.col("part") == 1, F.col("notice")).otherwise("\n".join(NOTICE_FOOTER))
+    return counted.select(batch, "part", "part_order", body.alias("body"))
 
 
 def quarantine_key(event_id: Column, calendar_id: Column | None = None) -> Column:
