@@ -18,14 +18,18 @@ _SPACE = r"\t\n\x0B\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\
 _JAVA_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
-def _render(pattern: str, edge: str) -> str:
+#: Java asks the ranges of a class one after the other: visible ASCII is told apart before the long list.
+_JAVA_SPACE = (f"[[^!-~]&&[{_SPACE}]]", f"[!-~[^{_SPACE}]]")
+
+
+def _render(pattern: str, edge: str, space: tuple[str, str] = (f"[{_SPACE}]", f"[^{_SPACE}]")) -> str:
     out, in_class, i = [], False, 0
     while i < len(pattern):
         token = pattern[i : i + 2]
         if token == r"\s":
-            out.append(_SPACE if in_class else f"[{_SPACE}]")
+            out.append(_SPACE if in_class else space[0])
         elif token == r"\S" and not in_class:
-            out.append(f"[^{_SPACE}]")
+            out.append(space[1])
         elif token == r"\b":
             out.append(edge)
         elif pattern[i] == "\\":
@@ -43,7 +47,7 @@ def _render(pattern: str, edge: str) -> str:
 
 
 def for_spark(pattern: str, ignore_case: bool = False) -> str:
-    return ("(?i)" if ignore_case else "") + _render(pattern, _JAVA_EDGE)
+    return ("(?i)" if ignore_case else "") + _render(pattern, _JAVA_EDGE, _JAVA_SPACE)
 
 
 def for_duckdb(pattern: str, ignore_case: bool = False) -> str:

@@ -12,11 +12,14 @@ from riskloom.functions.regexes import SPACE_CHARS, for_spark
 # Token separators, zero-width characters, fenced code.
 TOKEN_SEPARATORS = r"""\s,.;:!?()\[\]{}"'"""
 ZERO_WIDTH = r"[\x{200B}\x{200C}\x{200D}\x{FEFF}\x{2060}\x{180E}]"
+ZERO_WIDTH_CHARS = "\u200b\u200c\u200d\ufeff\u2060\u180e"
 FENCE = "```"
 FENCED = "(?s)```.*?```"
 BASE64_RUN = "[A-Za-z0-9+/]{32,}={0,2}"
 # A run starts where the character before is no run character: scanning stays linear.
 BASE64_GUARD = "(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32}"
+# No run crosses a space; this is far cheaper to look for in prose.
+LONG_WORD = "(?<! )[^ ]{32}"
 _PREFIX_BLOCK = 64
 
 
@@ -82,6 +85,10 @@ def preview(col: Column, width: int, suffix: bool = False) -> Column:
     return F.concat(cut, F.when(F.length(col) > width, "...").otherwise("")) if suffix else cut
 
 
+def may_hold_base64(col: Column) -> Column:
+    return F.rlike(col, F.lit(LONG_WORD)) & F.rlike(col, F.lit(BASE64_GUARD))
+
+
 def has_non_ascii(col: Column) -> Column:
     return F.octet_length(col) > F.length(col)
 

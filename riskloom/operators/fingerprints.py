@@ -38,7 +38,7 @@ def shape(text: Column) -> dict[str, Column]:
     )))
     flags = [F.rlike(text, F.lit(for_spark(p, ignore_case=True))).cast("int") for p in SCRIPT_FLAGS]
     return {
-        "b64": _count(text, tx.BASE64_RUN, F.rlike(text, F.lit(tx.BASE64_GUARD))),
+        "b64": _count(text, tx.BASE64_RUN, tx.may_hold_base64(text)),
         "encoding": _count(text, PERCENT, F.contains(text, F.lit("%"))),
         "html": F.when(
             F.contains(text, F.lit("<")) & (F.size(tags) > 0), F.array_join(tags, ",")

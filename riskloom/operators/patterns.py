@@ -3,7 +3,9 @@
 Each entry of a pattern table is (name, severity, pattern, anchors). ``anchors``
 holds literals that any match must contain, in lower case, as groups: every
 group needs one of its literals in the text before the pattern is tried. They
-only save work and never change a result.
+only save work and never change a result. Literals given by ``_words`` stand in
+any match as whole words; all of them are found in one pass over the text, so
+they cost no search each. Very common words are left out where others decide.
 """
 
 from __future__ import annotations
@@ -11,6 +13,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+class Word(str):
+    """An anchor with no word character on either side."""
+
+
+def _words(*literals: str) -> tuple[Word, ...]:
+    return tuple(map(Word, literals))
+
+
 @dataclass(frozen=True)
 class Pattern:
     name: str
@@ -64,8 +74,8 @@ DANGEROUS_TAGS = ("script", "iframe", "object", "embed", "form", "input", "svg",
 HTML_INJECTION = PatternRule("STRUCT-003", STRUCTURAL, (
     Pattern("HTML/Script Injection", 0.90,
             r"<\s*(?:script|iframe|object|embed|form|input|svg|link|meta|base)\b[^>]*>",
-            (("<",), DANGEROUS_TAGS), 0.95, 80, scan=TAG_SCAN),
-    Pattern("HTML Event Handler", 0.85, r"""\bon\w+\s*=\s*["'][^"']*["']""", (("on",), ("=",), ('"', "'")), 0.90, 80),
+            (("<",), _words(*DANGEROUS_TAGS)), 0.95, 80, scan=TAG_SCAN),
+    Pattern("HTML Event Handler", 0.85, r"""\bon\w+\s*=\s*["'][^"']*["']""", (("=",), ('"', "'"), ("on",)), 0.90, 80),
 ))
 
 SCRIPT_URIS = _rule("STRUCT-004", STRUCTURAL, "JavaScript URI", 0.95, (
@@ -74,18 +84,18 @@ SCRIPT_URIS = _rule("STRUCT-004", STRUCTURAL, "JavaScript URI", 0.95, (
 ), named=False)
 
 DATA_URIS = _rule("STRUCT-008", STRUCTURAL, "Data URI", 0.90, (
-    ("", 0.85, r"data:\s*[^;]+;\s*base64\s*,", (("data:",), ("base64",))),
+    ("", 0.85, r"data:\s*[^;]+;\s*base64\s*,", ((";",), (",",), ("base64",), ("data:",))),
 ), named=False)
 
 _WHITE = r"(?:#fff(?:fff)?|white|rgb\(\s*255\s*,\s*255\s*,\s*255\s*\))"
 HIDDEN_TEXT = _rule("STRUCT-009", STRUCTURAL, "Hidden Text (CSS)", 0.80, (
-    ("", 0.75, r"display\s*:\s*none", (("display",), ("none",))),
-    ("", 0.75, r"font-size\s*:\s*0", (("font-size",),)),
-    ("", 0.75, r"opacity\s*:\s*0(?![.])", (("opacity",),)),
-    ("", 0.75, r"visibility\s*:\s*hidden", (("visibility",), ("hidden",))),
-    ("", 0.75, r"color\s*:\s*" + _WHITE + r"\s*;?\s*background(?:-color)?\s*:\s*" + _WHITE, (("color",), ("background",))),
-    ("", 0.75, r"height\s*:\s*0[^0-9]", (("height",),)),
-    ("", 0.75, r"overflow\s*:\s*hidden", (("overflow",), ("hidden",))),
+    ("", 0.75, r"display\s*:\s*none", ((":",), ("display",), ("none",))),
+    ("", 0.75, r"font-size\s*:\s*0", ((":",), ("font-size",))),
+    ("", 0.75, r"opacity\s*:\s*0(?![.])", ((":",), ("opacity",))),
+    ("", 0.75, r"visibility\s*:\s*hidden", ((":",), ("visibility",), ("hidden",))),
+    ("", 0.75, r"color\s*:\s*" + _WHITE + r"\s*;?\s*background(?:-color)?\s*:\s*" + _WHITE, ((":",), ("background",), ("color",))),
+    ("", 0.75, r"height\s*:\s*0[^0-9]", ((":",), ("height",))),
+    ("", 0.75, r"overflow\s*:\s*hidden", ((":",), ("overflow",), ("hidden",))),
 ), named=False)
 
 MARKDOWN_LINK = r"\[([^\]]*)\]\(([^)]+)\)"
@@ -132,35 +142,35 @@ SYSTEM_NOUNS = (
 IMPERATIVE_REACH = 5
 
 SHELL_COMMANDS = _rule("CTX-003", CONTEXTUAL, "Shell Command", 0.85, (
-    ("curl pipe shell", 0.90, r"\bcurl\b[^|]*\|\s*(?:ba)?sh\b", (("curl",), ("|",), ("sh",))),
-    ("wget pipe shell", 0.90, r"\bwget\b[^|]*\|\s*(?:ba)?sh\b", (("wget",), ("|",), ("sh",))),
-    ("rm -rf", 0.85, r"\brm\s+-(?:r|f|rf|fr)\b", (("rm",), ("-r", "-f"))),
-    ("chmod +x", 0.70, r"\bchmod\s+\+x\b", (("chmod",), ("+x",))),
-    ("sudo command", 0.75, r"\bsudo\s+\w+", (("sudo",),)),
+    ("curl pipe shell", 0.90, r"\bcurl\b[^|]*\|\s*(?:ba)?sh\b", (_words("curl"), _words("sh", "bash"), ("|",))),
+    ("wget pipe shell", 0.90, r"\bwget\b[^|]*\|\s*(?:ba)?sh\b", (_words("wget"), _words("sh", "bash"), ("|",))),
+    ("rm -rf", 0.85, r"\brm\s+-(?:r|f|rf|fr)\b", (_words("rm"), ("-r", "-f"))),
+    ("chmod +x", 0.70, r"\bchmod\s+\+x\b", (_words("chmod"), ("+x",))),
+    ("sudo command", 0.75, r"\bsudo\s+\w+", (_words("sudo"),)),
     ("PowerShell encoded", 0.90,
-     r"\bpowershell\s+-(?:enc|encodedcommand|e|ep|nop|nologo|noprofile|windowstyle)\b", (("powershell",),)),
-    ("python -c", 0.75, r"""\bpython\s+-c\s+['"]""", (("python",), ("-c",))),
-    ("node -e", 0.75, r"""\bnode\s+-e\s+['"]""", (("node",), ("-e",))),
-    ("eval()", 0.80, r"\beval\s*\(", (("eval",), ("(",))),
+     r"\bpowershell\s+-(?:enc|encodedcommand|e|ep|nop|nologo|noprofile|windowstyle)\b", (_words("powershell"),)),
+    ("python -c", 0.75, r"""\bpython\s+-c\s+['"]""", (_words("python"), ("-c",))),
+    ("node -e", 0.75, r"""\bnode\s+-e\s+['"]""", (_words("node"), ("-e",))),
+    ("eval()", 0.80, r"\beval\s*\(", (_words("eval"), ("(",))),
     ("etc file redirect", 0.90, r">\s*/etc/(?:passwd|shadow|hosts)", (("/etc/",), (">",))),
-    ("netcat listener", 0.85, r"\b(?:nc|ncat|netcat)\s+-[lp]", (("nc", "ncat", "netcat"), ("-l", "-p"))),
-    ("base64 decode", 0.70, r"\bbase64\s+(?:-d|--decode)\b", (("base64",), ("-d", "--decode"))),
+    ("netcat listener", 0.85, r"\b(?:nc|ncat|netcat)\s+-[lp]", (_words("nc", "ncat", "netcat"), ("-l", "-p"))),
+    ("base64 decode", 0.70, r"\bbase64\s+(?:-d|--decode)\b", (_words("base64"), ("-d", "--decode"))),
     ("git clone + execute chain", 0.85,
      r"\bgit\s+clone\b[^&;]*[&;]+[^&;]*\b(?:npm\s+(?:install|start|run)|node\s+|python\s+|\./)\b",
-     (("git",), ("clone",), ("&", ";"))),
+     (_words("git"), _words("clone"), ("&", ";"))),
     ("npm install + execute chain", 0.80,
      r"\bnpm\s+install\b[^&;]*[&;]+[^&;]*\b(?:npm\s+(?:start|run)|node\s+|npx\s+)\b",
-     (("npm",), ("install",), ("&", ";"))),
+     (_words("npm"), _words("install"), ("&", ";"))),
 ), content_chars=80, outside_fences=True)
 
 _tool_rows = _rule("CTX-004", CONTEXTUAL, "Tool Call Syntax", 0.90, (
-    ("MCP tool invocation", 0.90, r"\buse_mcp_tool\b", (("use_mcp_tool",),)),
-    ("tool_call XML tag", 0.85, r"<tool_call>", (("<tool_call>",),)),
-    ("tool_call closing tag", 0.85, r"</tool_call>", (("</tool_call>",),)),
-    ("function_call XML tag", 0.85, r"<function_call>", (("<function_call>",),)),
-    ("tool_use XML tag", 0.85, r"<tool_use>", (("<tool_use>",),)),
-    ("function_call syntax", 0.80, r"\bfunction_call\s*[:(]", (("function_call",),)),
-    ("tool_use syntax", 0.80, r"\btool_use\s*[:(]", (("tool_use",),)),
+    ("MCP tool invocation", 0.90, r"\buse_mcp_tool\b", (_words("use_mcp_tool"),)),
+    ("tool_call XML tag", 0.85, r"<tool_call>", (_words("tool_call"),)),
+    ("tool_call closing tag", 0.85, r"</tool_call>", (_words("tool_call"),)),
+    ("function_call XML tag", 0.85, r"<function_call>", (_words("function_call"),)),
+    ("tool_use XML tag", 0.85, r"<tool_use>", (_words("tool_use"),)),
+    ("function_call syntax", 0.80, r"\bfunction_call\s*[:(]", (_words("function_call"),)),
+    ("tool_use syntax", 0.80, r"\btool_use\s*[:(]", (_words("tool_use"),)),
 ))
 TOOL_CALLS = PatternRule("CTX-004", CONTEXTUAL, _tool_rows.patterns + (
     Pattern("Tool Call Syntax: JSON tool structure", 0.80,
@@ -170,50 +180,51 @@ TOOL_CALLS = PatternRule("CTX-004", CONTEXTUAL, _tool_rows.patterns + (
 ))
 
 ROLE_ASSUMPTION = _rule("CTX-005", CONTEXTUAL, "Role Assumption", 0.80, (
-    ("", 0.70, r"\byou\s+are\s+now\b", (("you",), ("now",))),
-    ("", 0.55, r"\bact\s+as\s+(?:a\s+|an\s+)?", (("act",), ("as",))),
-    ("", 0.75, r"\byour\s+new\s+role\b", (("your",), ("role",))),
-    ("", 0.85, r"\benter\s+(?:developer|admin|debug|root|sudo|god)\s+mode\b", (("enter",), ("mode",))),
-    ("", 0.65, r"\bpretend\s+(?:to\s+be|you\s+are)\b", (("pretend",),)),
-    ("", 0.75, r"\bfrom\s+now\s+on\s+you\s+are\b", (("from",), ("now",), ("you",))),
-    ("", 0.70, r"\byou\s+(?:must|should|will)\s+now\s+(?:act|behave|respond|operate)\b", (("you",), ("now",))),
-    ("", 0.60, r"\bswitch\s+to\s+(?:\w+\s+)?mode\b", (("switch",), ("mode",))),
-    ("", 0.80, r"\byou\s+have\s+been\s+(?:upgraded|reprogrammed|updated|reconfigured)\b", (("you",), ("been",))),
-    ("", 0.75, r"\bforget\s+(?:that\s+)?you\s+are\b", (("forget",), ("you",))),
+    ("", 0.70, r"\byou\s+are\s+now\b", (_words("now"),)),
+    ("", 0.55, r"\bact\s+as\s+(?:a\s+|an\s+)?", (_words("act"),)),
+    ("", 0.75, r"\byour\s+new\s+role\b", (_words("role"),)),
+    ("", 0.85, r"\benter\s+(?:developer|admin|debug|root|sudo|god)\s+mode\b", (_words("enter"), _words("mode"))),
+    ("", 0.65, r"\bpretend\s+(?:to\s+be|you\s+are)\b", (_words("pretend"),)),
+    ("", 0.75, r"\bfrom\s+now\s+on\s+you\s+are\b", (_words("now"),)),
+    ("", 0.70, r"\byou\s+(?:must|should|will)\s+now\s+(?:act|behave|respond|operate)\b",
+     (_words("now"), _words("act", "behave", "respond", "operate"))),
+    ("", 0.60, r"\bswitch\s+to\s+(?:\w+\s+)?mode\b", (_words("switch"), _words("mode"))),
+    ("", 0.80, r"\byou\s+have\s+been\s+(?:upgraded|reprogrammed|updated|reconfigured)\b", (_words("upgraded", "reprogrammed", "updated", "reconfigured"),)),
+    ("", 0.75, r"\bforget\s+(?:that\s+)?you\s+are\b", (_words("forget"),)),
 ), named=False)
 
 OUTPUT_MANIPULATION = _rule("CTX-006", CONTEXTUAL, "Output Manipulation", 0.75, (
     ("", 0.55, r"\b(?:output|return|respond|reply|print|show|display)\s+(?:only|just|exclusively|solely)\b",
-     (("only", "just", "exclusively", "solely"),
-      ("output", "return", "respond", "reply", "print", "show", "display"))),
+     (_words("only", "just", "exclusively", "solely"),
+      _words("output", "return", "respond", "reply", "print", "show", "display"))),
     ("", 0.70, r"\bdo\s+not\s+(?:include|add|show|display|mention)\s+(?:any\s+)?"
-     r"(?:warning|notice|annotation|safety|explanation|preamble)", (("do",), ("not",), (
+     r"(?:warning|notice|annotation|safety|explanation|preamble)", (_words("include", "add", "show", "display", "mention"), (
          "warning", "notice", "annotation", "safety", "explanation", "preamble"))),
     ("", 0.65, r"\brespond\s+with\s+(?:only|just)\s+(?:the\s+)?(?:raw|plain|unfiltered|exact|original)\b",
-     (("respond",), ("with",))),
-    ("", 0.75, r"\bstrip\s+(?:all\s+)?(?:warning|safety|security|annotation)", (("strip",),)),
-    ("", 0.65, r"\bdo\s+not\s+(?:filter|sanitize|redact|modify|censor)\b", (("not",), (
-        "filter", "sanitize", "redact", "modify", "censor"))),
-    ("", 0.60, r"\braw\s+(?:and\s+)?unfiltered\s+(?:output|response|data|content)\b", (("unfiltered",),)),
+     (_words("respond"), _words("raw", "plain", "unfiltered", "exact", "original"))),
+    ("", 0.75, r"\bstrip\s+(?:all\s+)?(?:warning|safety|security|annotation)", (_words("strip"),)),
+    ("", 0.65, r"\bdo\s+not\s+(?:filter|sanitize|redact|modify|censor)\b", (_words(
+        "filter", "sanitize", "redact", "modify", "censor"),)),
+    ("", 0.60, r"\braw\s+(?:and\s+)?unfiltered\s+(?:output|response|data|content)\b", (_words("unfiltered"),)),
 ), named=False)
 
 _urgency_rows = _rule("CTX-007", CONTEXTUAL, "Urgency / Authority", 0.75, (
     ("", 0.70, r"\b(?:critical|urgent)\s+system\s+(?:update|message|alert|notice|override)\b",
-     (("critical", "urgent"), ("system",))),
-    ("", 0.75, r"\badmin(?:istrator)?\s+override\b", (("admin",), ("override",))),
+     (_words("critical", "urgent"), _words("system"))),
+    ("", 0.75, r"\badmin(?:istrator)?\s+override\b", (_words("admin", "administrator"), _words("override"))),
     ("", 0.75, r"\bthis\s+is\s+(?:your|the)\s+(?:developer|administrator|admin|system|creator|owner)\b",
-     (("this",), ("developer", "admin", "system", "creator", "owner"))),
+     (_words("developer", "administrator", "admin", "system", "creator", "owner"),)),
     ("", 0.70, r"\bauthorized\s+(?:by|from)\s+(?:the\s+)?(?:admin|developer|system|Anthropic|OpenAI)\b",
-     (("authorized",),)),
+     (_words("authorized"),)),
     ("", 0.70, r"\bsystem\s+(?:level\s+)?(?:override|command|directive)\b",
-     (("system",), ("override", "command", "directive"))),
-    ("", 0.50, r"\bpriority\s*:\s*(?:highest|critical|p0|urgent)\b", (("priority",),)),
+     (_words("system"), _words("override", "command", "directive"))),
+    ("", 0.50, r"\bpriority\s*:\s*(?:highest|critical|p0|urgent)\b", (_words("priority"),)),
     ("", 0.65, r"\b(?:do\s+this\s+)?immediately\s+(?:without|before)\s+(?:checking|verifying|asking|confirming)",
-     (("immediately",),)),
+     (_words("immediately"), _words("without", "before"))),
 ), named=False)
 URGENCY = PatternRule("CTX-007", CONTEXTUAL, (
     Pattern("Urgency / Authority", 0.55, r"\b(?:URGENT|CRITICAL|EMERGENCY|IMMEDIATE)\s*(?::|!|-)\s*",
-            (("urgent", "critical", "emergency", "immediate"), (":", "!", "-")), 0.75, None, ignore_case=False),
+            (_words("urgent", "critical", "emergency", "immediate"), (":", "!", "-")), 0.75, None, ignore_case=False),
 ) + _urgency_rows.patterns)
 
 
@@ -228,25 +239,25 @@ def payload_delivery(trusted: tuple[str, ...] = ()) -> PatternRule:
         ("download instruction", 0.75,
          r"\b(?:download|fetch|retrieve|grab|pull)\s+(?:the\s+)?"
          r"(?:file|script|payload|binary|package|code)\s+(?:from|at)\b",
-         (("download", "fetch", "retrieve", "grab", "pull"),
-          ("file", "script", "payload", "binary", "package", "code"))),
-        ("curl URL", 0.70, r"\bcurl\b[^;\n&]{0,80}https?://", (("curl",), ("http",))),
-        ("wget URL", 0.70, r"\bwget\b[^;\n&]{0,80}https?://", (("wget",), ("http",))),
-        ("pip install", 0.60, r"\bpip\s+install\s+(?:--user\s+)?(?!-r\b)\S+", (("pip",), ("install",))),
-        ("npm install -g", 0.65, r"\bnpm\s+install\s+(?:-g\s+)\S+", (("npm",), ("install",), ("-g",))),
-        ("npm install package", 0.55, r"\bnpm\s+install\s+(?!-[dD])\S+", (("npm",), ("install",))),
-        ("npx execution", 0.60, npx_pattern(trusted), (("npx",),)),
-        ("PowerShell IEX", 0.90, r"\biex\s*\(\s*(?:new-object|invoke-webrequest|iwr)\b", (("iex",), ("(",))),
-        ("PowerShell Invoke", 0.80, r"\bInvoke-(?:Expression|WebRequest|RestMethod)\b", (("invoke-",),)),
-        ("Python system import", 0.65, r"\bimport\s+(?:os|subprocess|sys|shutil|ctypes)\b", (("import",),)),
-        ("git clone", 0.70, r"\bgit\s+clone\s+\S+", (("git",), ("clone",))),
-        ("npm run/start", 0.60, r"\bnpm\s+(?:run|start|exec)\s+\S+", (("npm",), ("run", "start", "exec"))),
-        ("yarn/pnpm run", 0.60, r"\b(?:yarn|pnpm)\s+(?:run|start|exec|dlx)\s+\S+", (("yarn", "pnpm"),)),
-        ("go install", 0.60, r"\bgo\s+install\s+\S+", (("go",), ("install",))),
-        ("cargo install", 0.60, r"\bcargo\s+install\s+\S+", (("cargo",), ("install",))),
-        ("gem install", 0.60, r"\bgem\s+install\s+\S+", (("gem",), ("install",))),
-        ("composer require", 0.60, r"\bcomposer\s+require\s+\S+", (("composer",), ("require",))),
-        ("docker run/pull", 0.65, r"\bdocker\s+(?:run|pull)\s+\S+", (("docker",), ("run", "pull"))),
+         (_words("download", "fetch", "retrieve", "grab", "pull"),
+          _words("file", "script", "payload", "binary", "package", "code"))),
+        ("curl URL", 0.70, r"\bcurl\b[^;\n&]{0,80}https?://", (_words("curl"), ("http",))),
+        ("wget URL", 0.70, r"\bwget\b[^;\n&]{0,80}https?://", (_words("wget"), ("http",))),
+        ("pip install", 0.60, r"\bpip\s+install\s+(?:--user\s+)?(?!-r\b)\S+", (_words("pip"), _words("install"))),
+        ("npm install -g", 0.65, r"\bnpm\s+install\s+(?:-g\s+)\S+", (_words("npm"), _words("install"), ("-g",))),
+        ("npm install package", 0.55, r"\bnpm\s+install\s+(?!-[dD])\S+", (_words("npm"), _words("install"))),
+        ("npx execution", 0.60, npx_pattern(trusted), (_words("npx"),)),
+        ("PowerShell IEX", 0.90, r"\biex\s*\(\s*(?:new-object|invoke-webrequest|iwr)\b", (_words("iex"), ("(",))),
+        ("PowerShell Invoke", 0.80, r"\bInvoke-(?:Expression|WebRequest|RestMethod)\b", (_words("invoke"), _words("expression", "webrequest", "restmethod"))),
+        ("Python system import", 0.65, r"\bimport\s+(?:os|subprocess|sys|shutil|ctypes)\b", (_words("import"), _words("os", "subprocess", "sys", "shutil", "ctypes"))),
+        ("git clone", 0.70, r"\bgit\s+clone\s+\S+", (_words("git"), _words("clone"))),
+        ("npm run/start", 0.60, r"\bnpm\s+(?:run|start|exec)\s+\S+", (_words("npm"), _words("run", "start", "exec"))),
+        ("yarn/pnpm run", 0.60, r"\b(?:yarn|pnpm)\s+(?:run|start|exec|dlx)\s+\S+", (_words("yarn", "pnpm"),)),
+        ("go install", 0.60, r"\bgo\s+install\s+\S+", (_words("install"),)),
+        ("cargo install", 0.60, r"\bcargo\s+install\s+\S+", (_words("cargo"), _words("install"))),
+        ("gem install", 0.60, r"\bgem\s+install\s+\S+", (_words("gem"), _words("install"))),
+        ("composer require", 0.60, r"\bcomposer\s+require\s+\S+", (_words("composer"), _words("require"))),
+        ("docker run/pull", 0.65, r"\bdocker\s+(?:run|pull)\s+\S+", (_words("docker"), _words("run", "pull"))),
     ), content_chars=80, outside_fences=True)
 
 

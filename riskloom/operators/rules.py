@@ -23,15 +23,17 @@ from riskloom.schemas import DETECTION, ddl
 
 @dataclass(frozen=True)
 class Prepared:
-    """Columns a rule may read: the text, its lower-cased form, both without fences."""
+    """Columns a rule may read: the text, its lower-cased form, both without fences, and the anchor words of each."""
 
     text: Column
     low: Column
     bare: Column
     bare_low: Column
+    words: Column
+    bare_words: Column
 
 
-PREPARED_NAMES = ("__text", "__low", "__bare", "__bare_low")
+PREPARED_NAMES = ("__text", "__low", "__bare", "__bare_low", "__words", "__bare_words")
 CUTS = "__cuts"
 
 
@@ -41,11 +43,29 @@ def prepare(df: DataFrame, content: str, config: ScanConfig) -> DataFrame:
     df = df.withColumns({"__text": text, "__low": F.lower(text)})
     fenced = F.contains("__text", F.lit(tx.FENCE))
     bare = tx.without_fences(F.col("__text"))
-    return df.withColumns({
+    df = df.withColumns({
         "__bare": bare,
         "__bare_low": F.when(fenced, F.lower(bare)).otherwise(F.col("__low")),
+        "__words": anchor_words(F.col("__text"), F.col("__low")),
         CUTS: tx.fence_cuts("__text"),
     })
+    return df.withColumn("__bare_words", F.when(fenced, anchor_words(F.col("__bare"), F.col("__bare_low"))).otherwise(F.col("__words")))
+
+
+#: Characters whose lower case holds ASCII letters though they are none.
+ODD_LETTERS = "\u0130\u212a"
+
+
+def anchor_words(text: Column, low: Column) -> Column:
+    """The anchor words of all rules that stand in a text, distinct and in lower case: one pass for all of them.
+
+    Letter case is folded in ASCII alone, as the patterns fold it: the few texts
+    whose lower-cased form has other word edges are folded word by word.
+    """
+    anchors = F.array(*map(F.lit, ANCHOR_WORDS))
+    odd = reduce(lambda a, b: a | b, (F.contains(text, F.lit(c)) for c in ODD_LETTERS))
+    one_by_one = F.transform(F.split(text, NO_WORD), F.lower)
+    return F.when(odd, F.array_intersect(one_by_one, anchors)).otherwise(F.array_intersect(F.split(low, NO_WORD), anchors))
 
 
 def prepared_columns() -> Prepared:
@@ -69,9 +89,13 @@ def detection(tier, rule_id, rule_name, severity, matched, offset, length, confi
     )
 
 
-def _anchored(low: str, anchors: tuple[tuple[str, ...], ...]) -> str:
-    groups = (" or ".join(f"contains({low}, {tx.literal(lit)})" for lit in group) for group in anchors)
-    return " and ".join(f"({group})" for group in groups)
+def _anchored(low: str, words: str, anchors: tuple[tuple[str, ...], ...]) -> str:
+    def stands(lit: str) -> str:
+        return f"array_contains({words}, '{lit}')" if isinstance(lit, P.Word) else f"contains({low}, {tx.literal(lit)})"
+
+    # Words are looked up first: that reads a short list and not the text.
+    by_cost = sorted(anchors, key=lambda group: not all(isinstance(lit, P.Word) for lit in group))
+    return " and ".join(f"({' or '.join(map(stands, group))})" for group in by_cost)
 
 
 def pattern_rule(rule: P.PatternRule) -> Column:
@@ -82,7 +106,7 @@ def pattern_rule(rule: P.PatternRule) -> Column:
     is ignored, offsets and lengths are those in the whole text: a match that was
     put together across a fence covers the fence too.
     """
-    text, low = ("__bare", "__bare_low") if rule.outside_fences else ("__text", "__low")
+    text, low, words = ("__bare", "__bare_low", "__bare_words") if rule.outside_fences else ("__text", "__low", "__words")
     facts = ", ".join(
         f"named_struct('name', {tx.literal(pat.name)}, 'severity', {pat.severity}D, "
         f"'confidence', {pat.confidence}D, 'chars', {pat.content_chars or 2**31 - 1})"
@@ -97,7 +121,7 @@ def pattern_rule(rule: P.PatternRule) -> Column:
         return f"'ok', transform(regexp_extract_all({text}, {tx.literal(for_spark(pat.scan, pat.ignore_case))}, 0), f -> rlike(f, {whole}))"
 
     hits = ", ".join(
-        f"if({_anchored(low, pat.anchors)}, named_struct('k', {k}, "
+        f"if({_anchored(low, words, pat.anchors)}, named_struct('k', {k}, "
         f"{tx.found_and_gaps(text, for_spark(pat.scan or pat.regex, pat.ignore_case))}, {exact(pat)}), null)"
         for k, pat in enumerate(rule.patterns)
     )
@@ -126,7 +150,8 @@ def zero_width(p: Prepared) -> Column:
         F.concat(n.cast("string"), F.lit(" zero-width character(s) found")), 0, 0, 0.9,
         F.create_map(F.lit("count"), n.cast("string")),
     )))
-    return F.when(tx.has_non_ascii(p.text), made).otherwise(no_detections())
+    stands = reduce(lambda a, b: a | b, (F.contains(p.text, F.lit(c)) for c in tx.ZERO_WIDTH_CHARS))
+    return F.when(stands, made).otherwise(no_detections())
 
 
 def base64_payloads(p: Prepared) -> Column:
@@ -135,7 +160,7 @@ def base64_payloads(p: Prepared) -> Column:
         lambda m: F.struct(m.alias("m"), tx.base64_text(m["matched"]).alias("plain")),
     )
     suspicious = for_spark("|".join(f"(?:{rx})" for rx in P.SUSPICIOUS_DECODED), ignore_case=True)
-    return F.when(F.rlike(p.text, F.lit(tx.BASE64_GUARD)), F.transform(
+    return F.when(tx.may_hold_base64(p.text), F.transform(
         F.filter(decoded, lambda d: F.rlike(d["plain"], F.lit(suspicious))),
         lambda d: detection(
             P.STRUCTURAL, "STRUCT-002", "Base64 Payload", 0.8, tx.preview(d["m"]["matched"], 60, suffix=True),
@@ -200,7 +225,8 @@ def instruction_override(p: Prepared, first_only: bool = False) -> Column:
         found = F.transform(F.slice(places, 1, 1) if first_only else places, lambda m: tx.let(m["offset"] + 1, lambda at: F.struct(
             at.alias("at"), p.low.substr(at, reach).alias("window"), tx.strip(p.text.substr(at, reach)).alias("snippet"),
         )))
-        return F.when(F.contains(p.low, F.lit(verb)), found).otherwise(F.slice(found, 1, 0))
+        none = F.array().cast("array<struct<at:int,window:string,snippet:string>>")
+        return F.when(F.contains(p.low, F.lit(verb)), found).when(p.low.isNotNull(), none)
 
     def found(s: Column) -> Column:
         raised = F.exists(modifiers, lambda m: F.contains(s["window"], m))
@@ -240,8 +266,18 @@ def imperative_system(p: Prepared) -> Column:
         F.position(h["verb"], p.low) - 1, F.length(h["snippet"]), 0.70,
         F.create_map(F.lit("verb"), h["verb"], F.lit("noun"), h["noun"]),
     ))
-    return F.when(F.rlike(p.low, F.lit(guard)), made).otherwise(no_detections())
-
+    # The rule reads the lower-cased text, in which a Kelvin sign is a k; the words were found without that.
+    stand = (F.arrays_overlap(p.words, verbs) & F.arrays_overlap(p.words, nouns)) | F.contains(p.text, F.lit("\u212a"))
+    return F.when(stand & F.rlike(p.low, F.lit(guard)), made).otherwise(no_detections())
+
+
+#: Every anchor word; packages exempt from a rule do not change its anchors.
+NO_WORD = r"\W+"
+ANCHOR_WORDS = sorted({
+    lit for rule in (P.HTML_INJECTION, P.SCRIPT_URIS, P.DATA_URIS, P.HIDDEN_TEXT, P.SHELL_COMMANDS, P.TOOL_CALLS, P.ROLE_ASSUMPTION,
+                     P.OUTPUT_MANIPULATION, P.URGENCY, P.payload_delivery(), P.SENSITIVE_PATHS)
+    for pat in rule.patterns for group in pat.anchors for lit in group if isinstance(lit, P.Word)
+} | {*P.IMPERATIVE_VERBS, *P.SYSTEM_NOUNS})
 
 Rule = Callable[[Prepared], Column]
 
