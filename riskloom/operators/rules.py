@@ -120,11 +120,13 @@ def pattern_rule(rule: P.PatternRule) -> Column:
         whole = tx.literal(for_spark(f"^(?:{pat.regex.removesuffix(chr(92) + 'b')})$", pat.ignore_case))
         return f"'ok', transform(regexp_extract_all({text}, {tx.literal(for_spark(pat.scan, pat.ignore_case))}, 0), f -> rlike(f, {whole}))"
 
-    hits = ", ".join(
-        f"if({_anchored(low, words, pat.anchors)}, named_struct('k', {k}, "
-        f"{tx.found_and_gaps(text, for_spark(pat.scan or pat.regex, pat.ignore_case))}, {exact(pat)}), null)"
-        for k, pat in enumerate(rule.patterns)
-    )
+    def hit(k: int, pat: P.Pattern) -> str:
+        # Most texts with the anchors hold no match: one search tells, where matches and gaps take two.
+        regex = for_spark(pat.scan or pat.regex, pat.ignore_case)
+        tried = f"{_anchored(low, words, pat.anchors)} and rlike({text}, {tx.literal(regex)})"
+        return f"if({tried}, named_struct('k', {k}, {tx.found_and_gaps(text, regex)}, {exact(pat)}), null)"
+
+    hits = ", ".join(hit(k, pat) for k, pat in enumerate(rule.patterns))
     first, length = "m.offset", "m.length"
     if rule.outside_fences:
         first = tx.place_before_cuts("m.offset", CUTS)
