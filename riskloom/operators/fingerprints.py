@@ -9,12 +9,13 @@ from riskloom.functions import text as tx
 from riskloom.functions.regexes import for_spark
 from riskloom.operators.scoring import level_rank
 
-# Length buckets and shape patterns.
+# Length buckets and shape patterns. Every script flag needs its mark in the text.
 LENGTH_BUCKETS = ((100, "0-100"), (500, "100-500"), (2000, "500-2000"), (10000, "2000-10000"))
 LENGTH_REST = "10000+"
 TAG = r"<\s*([a-zA-Z][a-zA-Z0-9]*)\b"
 URL = r"""https?://[^\s)<>"']+"""
 PERCENT = "%[0-9A-Fa-f]{2}"
+SCRIPT_MARKS = (":", ":", ";", "<", "=")
 SCRIPT_FLAGS = ("javascript:", "vbscript:", r"data:\s*[^;]+;\s*base64", "<script", r"on\w+\s*=")
 SHAPE_KEYS = ("b64", "encoding", "html", "len", "lines", "scripts", "urls", "zwc")
 
@@ -36,7 +37,10 @@ def shape(text: Column) -> dict[str, Column]:
     tags = F.array_sort(F.array_distinct(F.transform(
         F.regexp_extract_all(text, F.lit(for_spark(TAG)), F.lit(1)), lambda t: F.lower(t)
     )))
-    flags = [F.rlike(text, F.lit(for_spark(p, ignore_case=True))).cast("int") for p in SCRIPT_FLAGS]
+    flags = [
+        (F.contains(text, F.lit(mark)) & F.rlike(text, F.lit(for_spark(p, ignore_case=True)))).cast("int")
+        for mark, p in zip(SCRIPT_MARKS, SCRIPT_FLAGS)
+    ]
     return {
         "b64": _count(text, tx.BASE64_RUN, tx.may_hold_base64(text)),
         "encoding": _count(text, PERCENT, F.contains(text, F.lit("%"))),
