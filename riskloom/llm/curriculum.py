@@ -210,8 +210,9 @@ def mixed(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
     is taken as often as its two entries say.
     """
     key, time, own = (free_name(docs, n) for n in ("row_key", "time", "own_id"))
-    copies = kept(allocation(docs, plan).select(
-        F.col("row_key").alias(key), F.col("doc_id").alias(own), F.explode("times").alias(time)), "copies")
-    once = docs.withColumn(key, row_key(docs)).dropDuplicates(["doc_id", key])
-    out = copies.join(once, (copies[key] == once[key]) & copies[own].eqNullSafe(once["doc_id"])).drop(copies[key])
+    # Null ids are empty here (the key tells them apart), so rows are dealt once by these two, for the duplicates and for the join.
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    copies = kept(allocation(docs, plan).select(name.alias(own), F.col("row_key").alias(key), F.explode("times").alias(time)), "copies")
+    once = docs.withColumns({own: name, key: row_key(docs)}).dropDuplicates([own, key])
+    out = copies.join(once, [own, key])
     return out.repartitionByRange(time, key).sortWithinPartitions(time, key).select(*docs.columns)

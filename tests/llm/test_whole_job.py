@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from riskloom.llm import chosen_path, packing_nnls, pii_boost, quality_rules
+from riskloom.llm import chosen_path, curriculum, packing_nnls, pii_boost, quality_rules
 from riskloom.llm.words import PIECE_BYTES
 
 
@@ -111,3 +112,21 @@ def test_the_joint_level():
     assert list(quality_rules.sequence([], [], sizes)) == [(0, -1), (0, 0), (1, 0), (1, 1)]
     assert quality_rules.tail(217, 0, 0.02) <= 0.05 / 4 < quality_rules.tail(216, 0, 0.02)
     assert abs(quality_rules.tail(10, 10, 0.3) - 1) < 1e-12
+
+
+def test_mixing_deals_texts_by_key_once(spark):
+    """Duplicates and the join share one exchange of the texts; the other one orders the copies."""
+    rows = [(None, "a", "x y", 1), (None, "a", "x y", 1), (None, "a", None, 1), (1, "a", "x y", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, own_id int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = curriculum.mixed(docs, curriculum.Curriculum(share=2.0))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = Counter(tuple(r) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # one for the texts, one for the times, one for the order
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Exchange rangepartitioning") == 1
+    assert 1 <= got.pop((None, "a", None, 1)) <= 2
+    assert got == {(None, "a", "x y", 1): 4, (1, "a", "x y", 1): 2}
