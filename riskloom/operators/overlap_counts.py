@@ -84,25 +84,32 @@ def alike_titles(titles: DataFrame, known: DataFrame, keys: list[str]) -> DataFr
 
     Both sides hold distinct ``title`` keys per ``keys``. Titles meet where they
     share a word of more than three letters, or where one begins like some stretch
-    of the other; candidates are then compared in full.
+    of the other, of the lengths that beginnings have on that side; candidates are
+    then compared in full.
     """
     used = titles.where("title <> ''")
     others = known.where("title <> ''").withColumnRenamed("title", "other")
 
+    def probe(name: str) -> Column:
+        t = _text(F.col(name))
+        return reduce(lambda found, k: F.when(F.length(t) >= k, F.lit(k)).otherwise(found), sorted(_PROBES), F.lit(0))
+
+    def asked_by(side: DataFrame, beside: DataFrame, name: str) -> DataFrame:
+        """``side`` with the lengths that beginnings have ``beside`` it: one row, whatever the number of titles."""
+        return side.crossJoin(F.broadcast(beside.agg(F.collect_set(probe(name)).alias("lengths"))))
+
     def stretches(name: str) -> Column:
         t, n = _text(F.col(name)), F.length(_text(F.col(name)))
 
         def of_length(k: int) -> Column:
             places = F.sequence(F.lit(1), n - k + 1)
-            return F.when(n >= k, F.transform(places, lambda i: t.substr(i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+            cut = F.transform(places, lambda i: t.substr(i, F.lit(k))) if k else F.array(F.lit(""))
+            return F.when(F.array_contains("lengths", k) & (n >= k), cut).otherwise(F.array().cast("array<string>"))
 
-        some = [of_length(k) for k in _PROBES if k]
-        return F.array_distinct(F.concat(F.array(F.lit("")), *some))
+        return F.array_distinct(F.concat(*map(of_length, _PROBES)))
 
     def beginning(name: str) -> Column:
-        t = _text(F.col(name))
-        return F.substring(t, F.lit(1), reduce(
-            lambda found, k: F.when(F.length(t) >= k, F.lit(k)).otherwise(found), sorted(_PROBES), F.lit(0)))
+        return F.substring(_text(F.col(name)), F.lit(1), probe(name))
 
     def marked(sign: str, found: Column) -> Column:
         return F.transform(found, lambda x: F.concat(F.lit(sign), x))
@@ -115,8 +122,9 @@ def alike_titles(titles: DataFrame, known: DataFrame, keys: list[str]) -> DataFr
             marked(holds, stretches(name)), marked(begins, F.array(beginning(name))), long_words(name)))
 
     inner, outer = _text(F.col("other")), _text(F.col("title"))
-    candidates = used.withColumn("key", met("title", "s", "b")).join(
-        others.withColumn("key", met("other", "b", "s")), [*keys, "key"]).drop("key").distinct()
+    one = asked_by(used, others, "other").withColumn("key", met("title", "s", "b")).drop("lengths")
+    two = asked_by(others, used, "title").withColumn("key", met("other", "b", "s")).drop("lengths")
+    candidates = one.join(two, [*keys, "key"]).drop("key").distinct()
     pairs = candidates.where(F.contains(outer, inner) | F.contains(inner, outer) | title_match(outer, inner)["similar"])
     return pairs.where("title <> other")
 

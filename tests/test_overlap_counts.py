@@ -69,3 +69,17 @@ def test_alike_titles_against_all_pairs(spark):
 
     # the shared words are counted from the first title's side, as in the comparison of two events
     assert got == {(a, b) for a in titles for b in titles if a != b and alike(a, b)}
+
+
+def test_stretches_only_of_lengths_that_beginnings_have(spark):
+    """Titles are cut into stretches of the lengths found beside them, and short or empty titles are still met."""
+    new = spark.createDataFrame([(1, f"={t}") for t in ("order 123456", "xweekly planningx", "a b")], "k int, title string")
+    for others, want in (
+            (["weekly planning"], {("xweekly planningx", "weekly planning")}),
+            (["weekly planning", "1", "pla", ""], {
+                ("xweekly planningx", "weekly planning"), ("order 123456", "1"), ("xweekly planningx", "pla"),
+                *((t, "") for t in ("order 123456", "xweekly planningx", "a b"))})):
+        found = alike_titles(new, spark.createDataFrame([(1, f"={t}") for t in others], "k int, title string"), ["k"])
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("collect_set") == 2
+        assert {(r.title[1:], r.other[1:]) for r in found.collect()} == want
