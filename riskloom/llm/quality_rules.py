@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from riskloom.llm.shared import free_name, kept
+from riskloom.llm.shared import kept
 
 SPACES = r"[\x20\x09-\x0D]+"
 SIGNS = r"[^#*$%&|<>]+"
@@ -101,16 +101,17 @@ def _measures(text: Column) -> Column:
     return F.struct(of_words.alias("w"), of_lines.alias("l"))
 
 
-def measured(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """``doc_id, stratum`` and the measures of every row. One narrow stage."""
+def measured(docs: DataFrame, stratum: str = "lang", whole: bool = False) -> DataFrame:
+    """``doc_id, stratum`` and the measures of every row, with the ``whole`` row as the struct ``doc``. One narrow stage."""
+    doc = [F.struct(*docs.columns).alias("doc")] if whole else []
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
-        "doc_id", F.col(stratum).alias("stratum"), F.xxhash64("doc_id", "text").alias("row_key"),
-        _measures(text).alias("m"), F.length(F.regexp_replace(text, SIGNS, "")).cast("long").alias("n_symbols"),
-        F.length(F.regexp_replace(text, "[^A-Z]+", "")).cast("long").alias("n_capitals"))
+        "doc_id", F.col(stratum).alias("stratum"), _measures(text).alias("m"),
+        F.length(F.regexp_replace(text, SIGNS, "")).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace(text, "[^A-Z]+", "")).cast("long").alias("n_capitals"), *doc)
     return rows.select(
-        "doc_id", "stratum", "row_key", "m.w.n_words", "m.w.word_chars", "n_symbols", "m.l.n_dup_lines", "m.w.n_repeat_words",
-        "m.l.n_lines", "n_capitals")
+        "doc_id", "stratum", "m.w.n_words", "m.w.word_chars", "n_symbols", "m.l.n_dup_lines", "m.w.n_repeat_words",
+        "m.l.n_lines", "n_capitals", *(["doc"] if whole else []))
 
 
 def base_failed() -> Column:
@@ -238,13 +239,15 @@ def jointly_certified(rows: DataFrame, labels: DataFrame, control: RiskControl)
 
 def judged(
     docs: DataFrame, labels: DataFrame, control: RiskControl = RiskControl(), stratum: str = "lang", joint: bool = False,
+    whole: bool = False,
 ) -> DataFrame:
-    """Measures of every row with ``base_failed``, ``rejected_by`` (rules) and ``kept``.
+    """Measures of every row with ``base_failed``, ``rejected_by`` (rules) and ``kept``; ``whole`` rows are kept beside them as ``doc``.
 
-    Measures are kept once as a narrow table; texts are read once and never shuffled.
+    Measures are kept once as a table; texts are read once and never shuffled.
     """
-    rows = kept(measured(docs, stratum), "measures")
-    cutoffs = kept((jointly_certified if joint else certified)(rows, labels, control), "cutoffs").withColumnRenamed("stratum", "__stratum")
+    rows = kept(measured(docs, stratum, whole), "measures")
+    narrow = rows.drop("doc")
+    cutoffs = kept((jointly_certified if joint else certified)(narrow, labels, control), "cutoffs").withColumnRenamed("stratum", "__stratum")
     found = rows.join(cutoffs, F.col("stratum").eqNullSafe(F.col("__stratum")), "left").drop("__stratum")
     values = features()
     hits = F.array_compact(F.array(*(
@@ -257,9 +260,5 @@ def judged(
 def filtered(
     docs: DataFrame, labels: DataFrame, control: RiskControl = RiskControl(), stratum: str = "lang", joint: bool = False,
 ) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns; rows of one id and text are judged by their own stratum."""
-    key, group = free_name(docs, "row_key"), free_name(docs, "row_stratum")
-    keep = judged(docs, labels, control, stratum, joint).where("kept").select(
-        F.col("row_key").alias(key), F.col("stratum").alias(group)).distinct()
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
-    return keyed.join(keep, (keyed[key] == keep[key]) & keyed[stratum].eqNullSafe(keep[group]), "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that are kept, with their columns; every row is judged by its own stratum."""
+    return judged(docs, labels, control, stratum, joint, whole=True).where("kept").select("doc.*")

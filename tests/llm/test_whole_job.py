@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from riskloom.llm import chosen_path, curriculum, packing_nnls, pii_boost, quality_rules
@@ -31,6 +33,36 @@ def test_a_short_text_before_one_above_a_piece():
             assert [n for b in work(iter([batch])) for n in b.column(0).to_pylist()] == [1, 2]
 
 
+def _most_memory(work) -> int:
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_drawing_holds_arrays_of_a_small_piece_only():
+    text = " ".join(f"w{k % 5000}" for k in range(400))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(3000)), "text": [f"{k} {text}" for k in range(3000)]})
+    for work in (chosen_path._draw(13), chosen_path._full):
+        assert _most_memory(lambda work=work: [None for _ in work(iter([batch]))]) < 40 << 20
+
+
+def test_sets_of_a_bunch_are_not_copied_number_by_number():
+    sets = [np.arange(k, k + 2000) for k in range(0, 300_000, 1000)]
+    rows = {"rep": list(range(300)), "root": list(range(300)), "n": [2000] * 300, "tokens": [bytes(256)] * 300, "shingles": sets}
+    types = {"rep": pa.int64(), "root": pa.int64(), "n": pa.int64(), "tokens": pa.binary(), "shingles": pa.list_(pa.int64())}
+    table = pa.table({name: pa.array(values, types[name]) for name, values in rows.items()})
+    table = pa.concat_tables([table.slice(0, 120), table.slice(120)])
+    assert [x.tolist() for x in chosen_path._sets(table.column("shingles"))] == [x.tolist() for x in sets]
+    assert chosen_path._sets(table.slice(0, 0).column("shingles")) == []
+    plan = chosen_path.ChosenPath(percent=30)
+    out = []
+    assert _most_memory(lambda: out.append(chosen_path._links(plan)(table))) < 4 << 20
+    assert out[0].num_rows == 299
+
+
 # ---- personal data ----------------------------------------------------------------------------------------------------
 
 
@@ -104,6 +136,14 @@ def test_strata_with_few_labels_lose_their_junk(spark, tmp_path):
         assert sum(k not in kept for k in good) <= 0.02 * len(good)
 
 
+def test_the_filter_leaves_texts_where_they_are(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (1, " ".join("abcdefghijkl"), None), (None, " ".join("mnopqrstuvwx"), "x"), (2, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("doc", F.lit(7))
+    out = quality_rules.filtered(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"), joint=True)
+    assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(map(str, docs.where("length(text) > 20").collect()))
+
+
 def test_the_joint_level():
     sizes = [2, 2]
     assert list(quality_rules.sequence([((2, 1), 5)], [], sizes)) == [(-1, 1), (0, 1), (1, 1)]
