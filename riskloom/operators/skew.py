@@ -1,4 +1,4 @@
-"""Helpers for keys that hold a large share of all rows."""
+"""Helpers for keys that hold a large share of all rows, and for rows that lie in few files."""
 
 from __future__ import annotations
 
@@ -24,6 +24,15 @@ def salted_lookup(
     return left.join(right, [key, SALT], how).drop(SALT)
 
 
+def spread_rows(df: DataFrame) -> DataFrame:
+    """The same rows dealt evenly over the shuffle partitions.
+
+    For costly work on small rows: a table is read by at most one task per row
+    group, and one may hold a million rows.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def hot_keys(df: DataFrame, keys: list[str], one_in: int = 2000) -> DataFrame:
     """Keys that hold more than one row in ``one_in``.
 

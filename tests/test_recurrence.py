@@ -99,3 +99,11 @@ def test_rules_agree_with_an_independent_expansion(spark):
             want = []
         want = list(itertools.takewhile(lambda t: t < high, (t for t in want if t + timedelta(minutes=30) > low)))
         assert sorted(r["instance_start"] for r in rows if r["event_id"] == n) == want, (rule, begin)
+
+
+def test_events_of_one_file_are_worked_out_by_several_tasks(spark):
+    start = datetime(2024, 1, 8, 9)
+    rows = [(str(k), start, start + timedelta(hours=1), ["RRULE:FREQ=DAILY;COUNT=2"]) for k in range(64)]
+    events = spark.createDataFrame(rows, "event_id string, start_ts timestamp, end_ts timestamp, recurrence array<string>").coalesce(1)
+    found = instances(events, datetime(2024, 1, 1), datetime(2024, 2, 1)).withColumn("task", F.spark_partition_id()).collect()
+    assert len(found) == 128 and len({r.task for r in found}) > 1
