@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskloom.llm import chosen_path, curriculum, packing_nnls, pii_boost, quality_rules
+from riskloom.llm import chosen_path, curriculum, packing_nnls, pii_boost, quality_rules, tokens
 from riskloom.llm.words import PIECE_BYTES
 
 
@@ -49,6 +49,12 @@ def test_drawing_holds_arrays_of_a_small_piece_only():
         assert _most_memory(lambda work=work: [None for _ in work(iter([batch]))]) < 40 << 20
 
 
+def test_words_remembered_by_a_tokenizer_do_not_stay_beside_the_sets(monkeypatch):
+    for work in (chosen_path._draw(3), chosen_path._full):
+        monkeypatch.setattr(tokens, "_ENCODERS", {"one": object()})
+        assert list(work(iter([]))) == [] and not tokens._ENCODERS
+
+
 def test_sets_of_a_bunch_are_not_copied_number_by_number():
     sets = [np.arange(k, k + 2000) for k in range(0, 300_000, 1000)]
     rows = {"rep": list(range(300)), "root": list(range(300)), "n": [2000] * 300, "tokens": [bytes(256)] * 300, "shingles": sets}
