@@ -5,6 +5,7 @@ from __future__ import annotations
 import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from riskloom.llm import chosen_path, curriculum, packing_nnls, pii_boost, quality_rules, tokens
+from riskloom.llm.shared import work_root
 from riskloom.llm.words import PIECE_BYTES
 
 
@@ -49,6 +51,18 @@ def test_drawing_holds_arrays_of_a_small_piece_only():
         assert _most_memory(lambda work=work: [None for _ in work(iter([batch]))]) < 40 << 20
 
 
+def test_tables_made_on_the_way_to_the_classes_do_not_stay(spark):
+    base = [" ".join(f"w{(k * 7 + j) % 997}" for j in range(30)) for k in range(40)]
+    texts = [*base, *base[:20], *(f"{t} tail" for t in base[:20])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder = Path(work_root(spark).removeprefix("file:"))
+    before = set(folder.glob("*"))
+    out = chosen_path.classes(docs)
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.glob("*")) - before}
+    assert left <= {"ids", "names", "labels"}
+    assert [r["component_id"] for r in out.orderBy("doc_id").collect()] == [*range(40), *range(20), *range(20)]
+
+
 def test_words_remembered_by_a_tokenizer_do_not_stay_beside_the_sets(monkeypatch):
     for work in (chosen_path._draw(3), chosen_path._full):
         monkeypatch.setattr(tokens, "_ENCODERS", {"one": object()})
