@@ -18,8 +18,8 @@ FENCED = "(?s)```.*?```"
 BASE64_RUN = "[A-Za-z0-9+/]{32,}={0,2}"
 # A run starts where the character before is no run character: scanning stays linear.
 BASE64_GUARD = "(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32}"
-# No run crosses a space; this is far cheaper to look for in prose.
-LONG_WORD = "(?<! )[^ ]{32}"
+# No run crosses a space; this is far cheaper to look for in prose. The text gets a space in front, so words are tried at their start only.
+LONG_WORD = " [^ ]{32}"
 _PREFIX_BLOCK = 64
 
 
@@ -86,7 +86,7 @@ def preview(col: Column, width: int, suffix: bool = False) -> Column:
 
 
 def may_hold_base64(col: Column) -> Column:
-    return F.rlike(col, F.lit(LONG_WORD)) & F.rlike(col, F.lit(BASE64_GUARD))
+    return F.rlike(F.concat(F.lit(" "), col), F.lit(LONG_WORD)) & F.rlike(col, F.lit(BASE64_GUARD))
 
 
 def has_non_ascii(col: Column) -> Column:

@@ -1,5 +1,7 @@
 """The scan is made once per query, and texts without a pattern's words are left alone."""
 
+import base64
+
 from pyspark.sql import functions as F
 
 from riskloom.checks.payloads import PAYLOADS
@@ -63,6 +65,15 @@ def test_anchor_words_do_not_change_detections(spark):
         assert found == expected and any(found)
 
 
+def test_a_base64_run_of_32_between_spaces_is_found(spark):
+    run = base64.b64encode(b"bash -c reboot now pleas").decode()
+    texts = [run, f"a {run} b", f"a\n{run} b", f"a  {run}", f"ab{run}", run[:31], f"a {run[:31]} b", None]
+    df = spark.createDataFrame([(i, t, "title", False) for i, t in enumerate(texts)], "i int, text string, field_type string, is_external boolean")
+    rows = {r["i"]: [(d["offset"], d["length"]) for d in r["structural"] if d["rule_id"] == "STRUCT-002"] for r in detect(df, content="text").collect()}
+    assert len(run) == 32
+    assert rows == {0: [(0, 32)], 1: [(2, 32)], 2: [(2, 32)], 3: [(3, 32)], 4: [], 5: [], 6: [], 7: []}
+
+
 def test_detections_of_a_null_text_stay_null(spark):
     df = spark.createDataFrame([(None, "title", False)], "text string, field_type string, is_external boolean")
     row = detect(df, content="text").first()
