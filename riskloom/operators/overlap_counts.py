@@ -2,9 +2,11 @@
 
 Of intervals that do not end before they start, those that overlap [s, e) are the
 ones that start before e, less the ones that end by s: a difference of two ranks.
-Ranks come from prefix sums over the distinct times of a calendar, taken in each
-hour first and then over the hours, so a calendar or a slot that holds a third of
-all events is folded before any window sees it.
+A calendar's rows are shuffled once, and running sums over its starts and over its
+ends give the ranks. Calendars that hold a large share of all events are few; their
+ranks come from prefix sums over distinct times, taken in each hour first and then
+over the hours, so a calendar or a slot that holds a third of all events is folded
+before any window sees it.
 
 Duplicates need the titles: alike titles are found once per distinct title, by the
 words and beginnings they share, and each one's overlaps are counted in the same way.
@@ -19,9 +21,12 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.text import strip, words
 from riskloom.operators.conflicts import events_overlap, similarity, title_match, warning_text
+from riskloom.operators.skew import hot_keys
 
 _HOUR = 3_600_000_000
 _SPAN = ("start_ts", "end_ts")
+#: A calendar with more than one of so many rows is not worked on by one task.
+_CROWDED = 128
 #: Lengths of the beginnings by which a title is looked up inside others.
 _PROBES = (8, 4, 2, 1, 0)
 # Likelihoods of overlapping events (same title, alike, one of them lasts all day, else).
@@ -69,6 +74,44 @@ def overlap_counts(spans: DataFrame, intervals: DataFrame, keys: list[str], grou
         F.coalesce(F.sum(F.when(F.col("__m") == name, n)), F.lit(0)).alias(name) for name in MEASURES))
 
 
+def running_counts(asked: DataFrame, pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Per row of ``asked`` and mark of it: ``event_id`` and its shares in the ``LEVELS``, which sum to the counts.
+
+    ``asked`` and ``held`` have a calendar, kind, title and proper span, ``pairs``
+    alike titles. Starts and the ends asked for run in one order, ends and the starts
+    asked for in another, so what lies before a mark are the intervals it counts.
+    """
+    slot = ["calendar_id", "is_all_day", "title"]
+    row = [*slot, *_SPAN]
+    own = asked.select(*row, "event_id", F.lit("own").alias("role"))
+    alike = asked.join(pairs, slot).select(*slot[:2], F.col("other").alias("title"), *_SPAN, "event_id", F.lit("alike").alias("role"))
+    none = F.lit(None).cast("string")
+    rows = own.unionByName(alike).unionByName(held.select(*row, none.alias("event_id"), none.alias("role")))
+    # At one time: an end asked for lies before the starts, a start asked for behind the ends. A point does not meet points at its own time.
+    is_held, is_point = F.col("role").isNull(), F.col("start_ts") == F.col("end_ts")
+    at_start = F.when(is_held, F.lit(1)).otherwise(F.when(is_point, 1).otherwise(3))
+    at_end = F.when(is_held, F.when(is_point, 2).otherwise(0)).otherwise(F.lit(0))
+    mark = lambda among, t, turn: F.struct(among.alias("of_starts"), F.col(t).alias("t"), turn.alias("turn"))
+    marks = rows.repartition("calendar_id").select(*slot, "event_id", "role", F.inline(F.array(
+        mark(is_held, "start_ts", at_start), mark(~is_held, "end_ts", at_end))))
+
+    def before(*scope: str):
+        return Window.partitionBy("calendar_id", "of_starts", *scope).orderBy("t", "turn").rowsBetween(Window.unboundedPreceding, 0)
+
+    one = F.col("role").isNull().cast("long")
+    ranked = marks.withColumns({
+        "days": F.sum(F.when(F.col("is_all_day"), one).otherwise(0)).over(before()),
+        "timed": F.sum(F.when(F.col("is_all_day"), 0).otherwise(one)).over(before()),
+    }).withColumn("titled", F.sum(F.when(F.col("title") != "", one).otherwise(0)).over(before("is_all_day", "title")))
+    kind, other = (F.when(F.col("is_all_day"), F.col(a)).otherwise(F.col(b)) for a, b in (("days", "timed"), ("timed", "days")))
+    sign, is_own, zero = F.when(F.col("of_starts"), 1).otherwise(-1), F.col("role") == "own", F.lit(0).cast("long")
+    shares = {
+        "n_exact": F.when(is_own, F.col("titled")).otherwise(zero), "n_alike": F.when(is_own, zero).otherwise(F.col("titled")),
+        "n_other_kind": F.when(is_own, other).otherwise(zero),
+        "n_rest": F.when(is_own, kind - F.col("titled")).otherwise(-F.col("titled"))}
+    return ranked.where("role IS NOT NULL").select("event_id", *((sign * shares[name]).alias(name) for name in LEVELS))
+
+
 def _title() -> Column:
     """Key of a title: empty where it matches nothing, else the trimmed lower-case title behind a mark."""
     usable = F.coalesce("summary", F.lit("")) != ""
@@ -118,8 +161,9 @@ def alike_titles(titles: DataFrame, known: DataFrame, keys: list[str]) -> DataFr
         return marked("w", F.array_distinct(F.filter(words(_text(F.col(name))), lambda w: F.length(w) > 3)))
 
     def met(name: str, holds: str, begins: str) -> Column:
-        return F.explode(F.concat(
-            marked(holds, stretches(name)), marked(begins, F.array(beginning(name))), long_words(name)))
+        # As numbers, which take less room in a shuffle: what meets by chance alone is told apart below.
+        return F.explode(F.transform(F.concat(
+            marked(holds, stretches(name)), marked(begins, F.array(beginning(name))), long_words(name)), lambda x: F.xxhash64(x)))
 
     inner, outer = _text(F.col("other")), _text(F.col("title"))
     one = asked_by(used, others, "other").withColumn("key", met("title", "s", "b")).drop("lengths")
@@ -142,7 +186,14 @@ def check_counts(new: DataFrame, existing: DataFrame, threshold: float = 0.7) ->
     known = existing.where(F.coalesce("status", F.lit("")) != "cancelled").select(*columns).withColumn("title", _title())
     proper = F.col("start_ts") <= F.col("end_ts")
     slot = ["calendar_id", "is_all_day", "title"]
-    slots = asked.where(proper).select(*slot, *_SPAN).distinct()
+    crowded = F.broadcast(hot_keys(asked.select("calendar_id").unionByName(known.select("calendar_id")), ["calendar_id"], _CROWDED))
+
+    def of(df: DataFrame, how: str) -> DataFrame:
+        return df.where(proper & F.col("calendar_id").isNotNull()).join(crowded, "calendar_id", how)
+
+    pairs = alike_titles(asked.where(proper).select(*slot).distinct(), known.select(*slot).distinct(), slot[:2])
+    few = running_counts(of(asked, "left_anti"), pairs, of(known, "left_anti"))
+    slots = of(asked, "left_semi").select(*slot, *_SPAN).distinct()
 
     # One count serves all questions: a scope is the whole calendar, one kind of event, or one title of a kind.
     def scopes(title: str, *roles: tuple[str, Column]) -> Column:
@@ -151,19 +202,18 @@ def check_counts(new: DataFrame, existing: DataFrame, threshold: float = 0.7) ->
         each = F.array(*(F.struct(F.lit(name).alias("role"), found[scope].alias("scope")) for name, scope in roles))
         return F.explode(F.filter(each, lambda x: x["scope"].isNotNull()))
 
-    pairs = alike_titles(slots.select(*slot).distinct(), known.select(*slot).distinct(), slot[:2])
     plain = scopes("title", ("n_every", "every"), ("n_kind", "kind"), ("n_exact", "titled"))
     wanted = slots.select(*slot, *_SPAN, plain.alias("q")).unionByName(
         slots.join(pairs, slot).select(*slot, *_SPAN, scopes("other", ("n_alike", "titled")).alias("q"))).select(
         *slot, *_SPAN, "q.role", "q.scope")
-    held = known.where(proper).select("calendar_id", *_SPAN, plain.alias("q")).select("calendar_id", *_SPAN, "q.scope")
+    held = of(known, "left_semi").select("calendar_id", *_SPAN, plain.alias("q")).select("calendar_id", *_SPAN, "q.scope")
     sums = overlap_counts(wanted, held, ["calendar_id", "scope"], [*slot, *_SPAN], F.col("role"))
     per_slot = sums.select(
         *slot, *_SPAN, "n_exact", "n_alike", (F.col("n_every") - F.col("n_kind")).alias("n_other_kind"),
         (F.col("n_kind") - F.col("n_exact") - F.col("n_alike")).alias("n_rest"))
 
     names = list(LEVELS)
-    counted = asked.where(proper).join(per_slot, [*slot, *_SPAN]).select("event_id", *names)
+    counted = of(asked, "left_semi").join(per_slot, [*slot, *_SPAN]).select("event_id", *names).unionByName(few.select("event_id", *names))
     # What an event counted of itself is taken off again; only rows of one id meet here.
     sides = [df.where(proper).select("calendar_id", "event_id", F.struct(*columns[:5], "is_all_day").alias(n)) for df, n in ((asked, "a"), (known, "b"))]
     own = sides[0].join(sides[1], ["calendar_id", "event_id"]).where(events_overlap(F.col("a"), F.col("b"))).select(

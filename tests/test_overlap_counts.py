@@ -83,3 +83,19 @@ def test_stretches_only_of_lengths_that_beginnings_have(spark):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("collect_set") == 2
         assert {(r.title[1:], r.other[1:]) for r in found.collect()} == want
+
+
+def test_small_and_crowded_calendars_equal_the_pairs(spark):
+    """Most calendars hold few rows, one holds a fifth of them: both ways of counting give what the pairs give."""
+    rng = random.Random(5)
+
+    def spread(given):
+        return [(rng.choice(["x", None, *(f"c{k}" for k in range(200))] + ["x"] * 50), *row[1:]) for row in given]
+
+    existing = spread(rows(rng, 2500, lambda k: k % 2000))
+    new = spread(rows(rng, 1200, lambda k: 1500 + k % 1000))
+    given, asked = spark.createDataFrame(existing, SCHEMA), spark.createDataFrame(new, SCHEMA)
+    for one, two in ((asked, given), (given, given)):
+        want = shown(cf.check_summary(cf.conflict_pairs_with(one, two)))
+        assert len(want) > 400 and {w[3] for w in want} >= {0.95, 0.7, 0.2, 0.1}
+        assert shown(check_counts(one, two)) == want
