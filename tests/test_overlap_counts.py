@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from riskloom.operators import conflicts as cf
+from riskloom.operators.changes import apply_changes
 from riskloom.operators.overlap_counts import alike_titles, check_counts
 
 SCHEMA = "calendar_id string, event_id string, summary string, start_ts timestamp, end_ts timestamp, is_all_day boolean, status string"
@@ -99,3 +100,26 @@ def test_small_and_crowded_calendars_equal_the_pairs(spark):
         want = shown(cf.check_summary(cf.conflict_pairs_with(one, two)))
         assert len(want) > 400 and {w[3] for w in want} >= {0.95, 0.7, 0.2, 0.1}
         assert shown(check_counts(one, two)) == want
+
+
+def test_a_batch_of_changes_in_small_calendars(spark):
+    """Inserts are refused as the pairs say, and no hours are folded for calendars that hold few rows."""
+    rng = random.Random(11)
+    titles = ["Weekly planning", "Budget", "Order 7", None]
+
+    def made(n, sign):
+        start = lambda: BASE + timedelta(minutes=15 * rng.randrange(40))
+        return [(f"c{rng.randrange(200)}", f"{sign}{k}", rng.choice(titles), s, s + timedelta(hours=1), False, "confirmed")
+                for k, s in ((k, start()) for k in range(n))]
+
+    events, new = spark.createDataFrame(made(1500, "e"), SCHEMA), spark.createDataFrame(made(900, "n"), SCHEMA)
+    inserts = new.withColumn("allow_duplicates", F.col("event_id").endswith("3"))
+    patches = events.select("calendar_id", "event_id", F.lit(1).alias("change_no"), F.lit("patched").alias("summary")).where("event_id LIKE '%1'")
+    gone = events.where("event_id LIKE '%2'")
+    found = apply_changes(events, inserts, patches, gone).select("event_id", "summary")
+    rows_found = sorted(found.collect(), key=lambda r: r.event_id)
+    refused = {r.event_id for r in cf.duplicates(cf.conflict_pairs_with(new, events), cf.BLOCK_SIMILARITY).collect()}
+    want = {r.event_id: "patched" if r.event_id.endswith("1") else r.summary for r in events.collect() if not r.event_id.endswith("2")}
+    want |= {r.event_id: r.summary for r in new.collect() if r.event_id not in refused or r.event_id.endswith("3")}
+    assert 50 < len(refused) < 900 and [(r.event_id, r.summary) for r in rows_found] == sorted(want.items())
+    assert "hour#" not in found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
