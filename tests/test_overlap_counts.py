@@ -123,3 +123,18 @@ def test_a_batch_of_changes_in_small_calendars(spark):
     want |= {r.event_id: r.summary for r in new.collect() if r.event_id not in refused or r.event_id.endswith("3")}
     assert 50 < len(refused) < 900 and [(r.event_id, r.summary) for r in rows_found] == sorted(want.items())
     assert "hour#" not in found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_small_calendars_are_shuffled_once_for_their_ranks(spark):
+    """Of 300 equal calendars none is crowded: no hours are folded, and every running sum reads one shuffle."""
+    k = F.col("id")
+    at = lambda minutes: F.timestamp_seconds(F.lit(1_709_251_200) + 60 * (k % 2000 + minutes))
+    events = spark.range(6000).select(
+        F.concat(F.lit("c"), k % 300).alias("calendar_id"), F.concat(F.lit("e"), k).alias("event_id"),
+        F.when(k % 2 == 0, "Weekly planning").otherwise("weekly planning session").alias("summary"), at(0).alias("start_ts"),
+        at(400).alias("end_ts"), (k % 7 == 0).alias("is_all_day"), F.lit("confirmed").alias("status"))
+    found = check_counts(events, events)
+    assert len(found.collect()) == 6000
+    done = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert done.count("Window [") == 2 and "hour#" not in done
+    assert done.count("REPARTITION_BY_COL") == 1
