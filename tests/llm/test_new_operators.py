@@ -259,3 +259,53 @@ def test_whitening_of_huge_entries(spark):
     rows = [(k, [float(10 ** 14 * k), float(k % 2)]) for k in range(50)]
     got = whitening.whitened(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), replace(whitening.Whitening(), components=1))
     assert {r.deviation for r in got.collect()} == {None} and got.count() == 50
+
+
+def test_words_hashed_together_have_the_hashes_of_single_words():
+    """Stretches of every length, beside the end of the bytes too, folded to lower case."""
+    import numpy as np
+    import pyarrow as pa
+
+    from riskloom.llm.words import Words, hashed, hashes
+
+    given = ["".join(chr(33 + (7 * k + j) % 90) for j in range(k)) for k in range(1, 80)]
+    texts = pa.array([None, "", "  ", " ".join(given), "Grüße\tAUS  wien ", *given])
+    for lower in (False, True):
+        words = Words(texts, lower=lower)
+        found, bounds = hashed(texts, lower=lower)
+        assert (found == hashes(words.distinct)[words.codes]).all() and (bounds == words.bounds).all()
+    assert len(hashed(pa.array([], pa.string()))[0]) == 0 and found.dtype == np.uint64
+
+
+def test_groups_are_worked_on_many_at_a_time(spark, monkeypatch):
+    """Whatever the cut into batches, groups stay whole, and small and large groups give the bunches of all pairs."""
+    import numpy as np
+    import pyarrow as pa
+
+    from riskloom.llm import chosen_path as cp
+
+    rng, plan, rows = np.random.default_rng(4), cp.ChosenPath(), []
+    for node in range(60):
+        size = int(rng.choice([2, 3, 5, 30, 130]))
+        bases = rng.integers(0, 2**32, (4, cp.TOKENS), dtype=np.uint32)
+        for _ in range(size):
+            tokens = bases[rng.integers(4)].copy()
+            tokens[: rng.integers(0, 40)] = 7
+            side = 0 if node % 3 else 1 + int(rng.integers(2))
+            rows.append((node // 2, node % 2, side, len(rows), int(rng.integers(size)), int(rng.integers(90, 111)), tokens))
+    want = set()
+    for node in {r[:2] for r in rows}:
+        mine = [r for r in rows if r[:2] == node]
+        group = cp._Groups(np.arange(len(mine)))
+        pairs = [(i, j) for i, a in enumerate(mine) for j, b in enumerate(mine) if i < j and a[4] != b[4] and (
+            a[2] == 0 or a[2] != b[2]) and 100 * min(a[5], b[5]) >= plan.percent * max(a[5], b[5]) and (a[6] == b[6]).sum() >= plan.least_match]
+        for i, j in pairs:
+            group.join(i, j)
+        hit = {k for pair in pairs for k in pair}
+        want |= {tuple(sorted(mine[k][3] for k in hit if group.find(k) == top)) for top in {group.find(k) for k in hit}}
+    names = ("node", "block", "side", "rep", "root", "n")
+    table = pa.table({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(names)} | {
+        "tokens": pa.array([r[6].tobytes() for r in rows], pa.binary())})
+    for cut in (1, 7, 100, len(rows)):
+        found = [tuple(m) for b in cp._suspects(plan)(iter(table.to_batches(cut))) for m in b.column(0).to_pylist()]
+        assert len(want) > 20 and len(found) == len(want) and set(found) == want
